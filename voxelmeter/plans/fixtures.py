@@ -150,7 +150,7 @@ def scores(spark, sf) -> DataFrame:
 
 def journal(spark, sf) -> DataFrame:
     """events as training journals: one run per event type, dense update numbers by time."""
-    hour = F.floor(F.unix_micros("ts") / 3_600_000_000)
+    hour = F.date_format("ts", "yyyyMMddHH").cast("bigint")
     rows = table(spark, sf, "events").select(F.col("event_type").alias("arm"), "ts", "event_id",
                                              F.col("value").alias("loss"))
     return bucketed_row_number(rows, ["arm"], hour, ["ts", "event_id"], "global_update")
