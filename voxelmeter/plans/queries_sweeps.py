@@ -44,7 +44,7 @@ def d2(spark, sf):
 _SW = """swp as materialized (select candidate_id, k.case_id, k.finding_id, t as threshold, coalesce(n,0) as pred, coalesce(tp,0) as tp, coalesce(ng,0) as n_gt
  from keys k cross join (select unnest(%s)::double as t) cross join (select unnest(%s) as candidate_id) left join
  (select candidate_id, case_id, finding_id, t, count(*) n, count(*) filter (is_gt) tp from scores, (select unnest(%s)::double as t)
- where z >= ln(t/(1-t)) group by all) c using (candidate_id, case_id, finding_id, t) left join
+ where p >= t group by all) c using (candidate_id, case_id, finding_id, t) left join
  (select case_id, finding_id, count(*) ng from gt group by all) g using (case_id, finding_id)),
  swm as materialized (select *, """ + dice_sql("tp", "pred", "n_gt") + " as dice, " + dice_sql("tp", "pred", "n_gt") + """>=0.1 as hit from swp)"""
 
@@ -59,7 +59,7 @@ _PR = f"{r('case when pred>0 then tp/pred else 0 end')} as \"precision\", {r('ca
 @query("d3_sweep", sql(f"""select case_id, finding_id, threshold, pred, tp, pred-tp as fp, n_gt-tp as fn, {r('dice')} as dice, hit, {_PR} from swm""",
                        "keys", "scores", "gt", extra=_swx(THRESHOLDS)))
 def d3(spark, sf):
-    return sw.sweep(_one(spark, sf), fx.finding_keys(spark, sf), truth(spark, sf), THRESHOLDS)
+    return sw.sweep(_one(spark, sf), fx.finding_keys(spark, sf), truth(spark, sf), THRESHOLDS, "p", "probability")
 
 
 def _removal_rows(spark, sf):
@@ -126,7 +126,7 @@ _BT = """pt as materialized (select %s threshold, round(avg(dice),12) as dice, c
 
 def _all_sweep(spark, sf):
     keys = fx.finding_keys(spark, sf).withColumn("candidate_id", F.explode(F.array(*[F.lit(c) for c in ALL])))
-    return sw.sweep(fx.scores(spark, sf), keys, truth(spark, sf), FINE, key=["candidate_id", *KEY])
+    return sw.sweep(fx.scores(spark, sf), keys, truth(spark, sf), FINE, "p", "probability", key=["candidate_id", *KEY])
 
 
 @query("d6_best_threshold", sql(f"""select candidate_id, threshold, {r('dice')} as dice, hits, findings, {r('hits/findings')} as hit_rate from pt join cz using (candidate_id)
