@@ -27,9 +27,11 @@ def stable_unit(df: DataFrame, seed: int | str, keys: list[str], name: str = "un
 
 
 def fixed_subset(df: DataFrame, key: list[str], n: int, seed: int, order: list[str]) -> DataFrame:
-    """N seeded rows with ``position`` in the original order of ``order``."""
-    picked = hash_smallest(df, n, seed, key)
-    return picked.withColumn("position", F.row_number().over(W.orderBy(*order)) - 1) if n <= 10_000 else picked
+    """N seeded rows with ``position`` in the original order of ``order``.
+
+    Only the n picked rows, a size the caller fixes, are put in order.
+    """
+    return hash_smallest(df, n, seed, key).withColumn("position", F.row_number().over(W.orderBy(*order)) - 1)
 
 
 def target_subset(findings: DataFrame, categories: list[str], base: DataFrame | None = None) -> DataFrame:
@@ -66,13 +68,14 @@ def in_chunks(rows: DataFrame, position: str, total: int, chunk: int, assign: Ca
         known = state(spark.read.parquet(path)) if number else {}
         part = rows.where((F.col(position) > number * chunk) & (F.col(position) <= (number + 1) * chunk))
 
-        def run(group: pd.DataFrame, known: dict = known) -> pd.DataFrame:
-            return assign(group.sort_values(position, kind="stable"), known)
-
-        part.groupBy(F.lit(0)).applyInPandas(run, schema).write.mode("append").parquet(path)
+        part.withColumn("__chunk", F.lit(number)).groupBy("__chunk").applyInPandas(_ordered(assign, position, known), schema).write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 
+def _ordered(assign, position: str, known: dict):
+    return lambda group: assign(group.sort_values(position, kind="stable"), known)
+
+
 def grouped_kfold(findings: DataFrame, k: int, seed: int, chunk: int = 50_000) -> DataFrame:
     """Cases to folds with even category, finding and case counts.
 
