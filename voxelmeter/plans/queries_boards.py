@@ -10,7 +10,6 @@ from voxelmeter.operators import masks
 from voxelmeter.plans import atlas, queries_masks
 from voxelmeter.plans import fixtures as fx
 from voxelmeter.plans.fixtures import KEY, r, sql
-from voxelmeter.plans.queries_masks import _C13
 from voxelmeter.plans.queries_stats import _BOUT, _boot
 from voxelmeter.plans.registry import query
 
@@ -73,13 +72,14 @@ def i5(spark, sf):
     return bd.head_to_head(ev.where("candidate_id < 'm4'"), ev.where("candidate_id >= 'm4'"), ("mine", "theirs"))
 
 
-_C13B = _C13[_C13.index("with "):]
+_C13R = queries_masks._c13(lambda x, digits=6: f"({x})")
+_C13B = _C13R[_C13R.index("with "):]
 _SW = ("sweepr as materialized (" + _C13B[_C13B.rindex("\nselect case_id"):] + ")")
 _I6X = _C13B[len("with "):_C13B.rindex("\nselect case_id")]
 _I6 = f"""with {_I6X}, {_SW}, base as materialized (select case_id, finding_id, dice as base_dice, hit as base_hit from (
  select k.case_id, k.finding_id, case when p+g=0 then 1.0 else (2*t+1e-6)/(p+g+1e-6) end as dice, (case when p+g=0 then 1.0 else (2*t+1e-6)/(p+g+1e-6) end)>=0.1 as hit from
  (select case_id, finding_id from attrs) k left join (select case_id, finding_id, sum(p)::bigint p, sum(g)::bigint g, sum(p*g)::bigint t from flags group by all) f using (case_id, finding_id))),
- pr as materialized (select s.*, family||':'||shape||':'||margin_mm as policy, round(base_dice,6)+0.0 as base_dice, base_hit, category, s.dice-(round(base_dice,6)+0.0) as d from sweepr s join base using (case_id, finding_id) join attrs using (case_id, finding_id)),
+ pr as materialized (select s.*, family||':'||shape||':'||margin_mm as policy, base_dice, base_hit, category, s.dice-base_dice as d from sweepr s join base using (case_id, finding_id) join attrs using (case_id, finding_id)),
  ps as materialized (select *, unnest(['all', category]) as stratum from pr)
  select policy, stratum, count(*) as n, count(*) filter (selected) as selected, {r('avg(base_dice)')} as before, {r('avg(dice)')} as after, {r('avg(d)')} as delta, count(*) filter (base_hit) as hits_before,
  count(*) filter (hit) as hits_after, count(*) filter (d>1e-7) as improved, count(*) filter (d < -1e-7) as worsened, count(*) filter (abs(d)<=1e-7) as unchanged, count(*) filter (hit and not base_hit) as hit_gains,
@@ -92,9 +92,8 @@ _I6 = f"""with {_I6X}, {_SW}, base as materialized (select case_id, finding_id,
 
 @query("i6_policy_summary", _I6)
 def i6(spark, sf):
-    from voxelmeter.functions import tidy
-    swept = tidy(queries_masks.c13(spark, sf))
-    base = tidy(masks.mask_metrics(fx.finding_keys(spark, sf), fx.pred(spark, sf), fx.gt(spark, sf))).select(
+    swept = queries_masks.c13(spark, sf)
+    base = masks.mask_metrics(fx.finding_keys(spark, sf), fx.pred(spark, sf), fx.gt(spark, sf)).select(
         *KEY, F.col("dice").alias("base_dice"), F.col("hit").alias("base_hit"))
     cats = fx.with_attributes(fx.finding_keys(spark, sf)).select(*KEY, "category")
     rows = swept.join(base, KEY).join(cats, KEY).withColumn("policy", F.concat_ws(":", "family", "shape", F.col("margin_mm").cast("string")))
@@ -112,13 +111,13 @@ def i7(spark, sf):
     return bd.slice_summary(fx.evals_cat(spark, sf), ["candidate_id"], ["2a", "2b", "2d"], big)
 
 
-_MS = """ms as materialized (select category as arm, substr(candidate_id,2)::bigint as epoch, round(avg(dice),2) as dice, count(*) filter (hit)/count(*) as hit_rate from evalc group by all)"""
+_MS = """ms as materialized (select category as arm, substr(candidate_id,2)::bigint as epoch, floor(avg(dice)*50+1e-9)/50 as dice, count(*) filter (hit)/count(*) as hit_rate from evalc group by all)"""
 
 
 def _milestones(spark, sf):
     """Candidates read as milestones of each category's arm; coarse dice, so that ties occur."""
     return fx.evals_cat(spark, sf).groupBy(F.col("category").alias("arm"), F.substring("candidate_id", 2, 9).cast("bigint").alias("epoch")).agg(
-        F.round(F.avg("dice"), 2).alias("dice"), (F.count_if("hit") / F.count(F.lit(1))).alias("hit_rate"))
+        (F.floor(F.avg("dice") * 50 + 1e-9) / 50).alias("dice"), (F.count_if("hit") / F.count(F.lit(1))).alias("hit_rate"))
 
 
 @query("i8_select_milestone", sql(f"""select m.arm, m.epoch, {r('m.dice')} as dice, {r('m.hit_rate')} as hit_rate, {r('m.dice-z.dice')} as delta_from_start from
@@ -158,13 +157,13 @@ _I11X = ",\n".join([queries_masks.FLAGS, queries_masks._REL, queries_masks._GREA
  pq as materialized (select case_id, finding_id, {", ".join(f"count(*) filter (part='{n}') as {n}" for n in _AN)} from parts group by 1,2),
  rc as materialized (select case_id, finding_id, count(*) comps, count(*) filter (known_positive=0) det, count(*) filter (known_positive=0 and ipsilateral+contralateral+outside_lung>0) dof from rel group by 1,2),
  gc as materialized (select case_id, finding_id, count(*) gtc, count(*) filter (seen) rec from (select g.case_id, g.finding_id, g.component, bool_or(p.i is not null) seen from gcomp g left join pred p using (case_id, finding_id, i, j, k) group by all) group by 1,2),
- at as materialized (select case_id, finding_id, category, case when np+ng=0 then 1.0 else 2*tp/(np+ng) end as dice, np, ng, np=0 as prediction_empty, tp/nullif(ng,0) as kpr, np*sx*sy*sz as mm3, category<>'1a' as sup,
+ atl as materialized (select case_id, finding_id, category, case when np+ng=0 then 1.0 else 2*tp/(np+ng) end as dice, np, ng, np=0 as prediction_empty, tp/nullif(ng,0) as kpr, np*sx*sy*sz as mm3, category<>'1a' as sup,
  coalesce(known_positive,0) kp, coalesce(ipsilateral+contralateral+outside_lung,0) as off, coalesce(other_certified,0) oc, coalesce(unknown,0) unk, sx*sy*sz as unit, coalesce(comps,0) comps, coalesce(det,0) det, coalesce(dof,0) dof, coalesce(gtc,0) gtc,
  coalesce(rec,0) rec, ins/nullif(np,0) as anat from mm join attrs using (case_id, finding_id) join hdr using (case_id) left join pq using (case_id, finding_id) left join rc using (case_id, finding_id) left join gc using (case_id, finding_id))"""
 _I11 = sql(f"""select case_id, finding_id, category, {r('dice')} as dice, dice>=0.1 as hit, prediction_empty, np as prediction_voxels, ng as known_positive_voxels, {r('kpr')} as known_positive_recall, {r('mm3')} as predicted_mm3,
  {r('case when sup then kp/nullif(kp+off+oc,0) end')} as certified_precision, case when sup then off+oc end as certified_fp_voxels, unk as unknown_voxels, case when sup then off end as off_location_voxels,
  {r('case when sup then off*unit end')} as off_location_mm3, {r('case when sup then off/nullif(np,0) end')} as off_location_fraction, comps as components, det as detached, case when sup then dof end as detached_off_location,
- {r('det/nullif(comps,0)')} as detached_fraction, gtc as gt_components, rec as recalled, {r('rec/nullif(gtc,0)')} as candidate_recall, {r('anat')} as anatomy_fraction from at""",
+ {r('det/nullif(comps,0)')} as detached_fraction, gtc as gt_components, rec as recalled, {r('rec/nullif(gtc,0)')} as candidate_recall, {r('anat')} as anatomy_fraction from atl""",
            "keys", "attrs", "pred", "gt", "hdr", extra=_I11X, recursive=True)
 
 
@@ -184,9 +183,9 @@ _MET = {"dice": "dice", "hit": "(dice>=0.1)::int", "known_positive_recall": "kpr
 _TOT = {"prediction_voxels": "np", "known_positive_voxels": "ng", "certified_fp_voxels": "case when sup then off+oc end", "unknown_voxels": "unk", "off_location_voxels": "case when sup then off end",
         "components": "comps", "detached": "det", "detached_off_location": "case when sup then dof end"}
 _I11S = sql(f"""select 'mean' as kind, metric, {r('estimate', 4)} as value, observations, {r('ci_low', 4)} as ci_low, {r('ci_high', 4)} as ci_high from es join bt using (metric) union all
- select 'total', unnest({list(_TOT)}), unnest([{','.join(f'sum({v})::double' for v in _TOT.values())}]), unnest([{','.join(f'count({v})' for v in _TOT.values())}]), null, null from at""",
+ select 'total', unnest({list(_TOT)}), unnest([{','.join(f'sum({v})::double' for v in _TOT.values())}]), unnest([{','.join(f'count({v})' for v in _TOT.values())}]), null, null from atl""",
             "keys", "attrs", "pred", "gt", "hdr", extra=_I11X + f""",
- src as materialized (select case_id, unnest({list(_MET)}) as metric, unnest([{','.join(f'({v})::double' for v in _MET.values())}]) as v from at),""" + _boot("src", 77, 100, None), recursive=True)
+ src as materialized (select case_id, unnest({list(_MET)}) as metric, unnest([{','.join(f'({v})::double' for v in _MET.values())}]) as v from atl),""" + _boot("src", 77, 100, None), recursive=True)
 
 
 @query("i11_atlas_summary", _I11S, digits=4)

@@ -33,13 +33,17 @@ def _allowed(spark, sf):
     return fx.anatomy(spark, sf).where("label > 0")
 
 
-_SUP = f"""select k.*, {r("(case when pn+g0=0 then 1.0 else (2*tp+1e-6)/(pn+g0+1e-6) end)")} as dice,
+def _sup(r):
+    """Gated metric columns; ``r`` rounds them or leaves them as they are."""
+    return f"""select k.*, {r("(case when pn+g0=0 then 1.0 else (2*tp+1e-6)/(pn+g0+1e-6) end)")} as dice,
  (case when pn+g0=0 then 1.0 else (2*tp+1e-6)/(pn+g0+1e-6) end) >= 0.1 as hit,
  {r("case when pn>0 then tp/pn else 0 end")} as "precision", {r("case when g0>0 then tp/g0 else 1 end")} as recall,
  {r("case when g0>0 then gn/g0 else 1 end")} as gt_coverage, g0 as gt_voxels, pn as pred_voxels, tp, pn-tp as fp,
  tp0-tp as tp_removed, (p0-tp0)-(pn-tp) as fp_removed, g0>0 and gn=0 as gt_completely_excluded,
  p0>0 and pn=0 as prediction_emptied """
 
+
+_SUP = _sup(r)
 _C2 = sql(_SUP + """ from keys k join (select k.case_id, k.finding_id, coalesce(sum(p*g),0)::bigint tp0,
  coalesce(sum(p),0)::bigint p0, coalesce(sum(g),0)::bigint g0, coalesce(sum(p*g*a),0)::bigint tp,
  coalesce(sum(p*a),0)::bigint pn, coalesce(sum(g*a),0)::bigint gn from keys k left join
@@ -294,7 +298,8 @@ def _supports(spark, sf):
 
 
 MARGINS = [0.0, 1.0, 2.0, 5.0]
-_C13 = sql(_SUP.replace("select k.*,", "select case_id, finding_id, family, shape, margin_mm, selected,") + """ from (
+def _c13(r):
+    return sql(_sup(r).replace("select k.*,", "select case_id, finding_id, family, shape, margin_mm, selected,") + """ from (
  select z.case_id, z.finding_id, family, shape, m::double as margin_mm, scope is not null as selected, coalesce(sum(p*g),0)::bigint tp0,
  coalesce(sum(p),0)::bigint p0, coalesce(sum(g),0)::bigint g0,
  coalesce(sum(p*g*ok),0)::bigint tp, coalesce(sum(p*ok),0)::bigint pn, coalesce(sum(g*ok),0)::bigint gn from
@@ -312,6 +317,9 @@ _C13 = sql(_SUP.replace("select k.*,", "select case_id, finding_id, family, shap
     "case when scope is null then 1 when case shape", "case when scope_key='-' then 1 when case shape")
 
 
+_C13 = _c13(r)
+
+
 @query("c13_margin_sweep", _C13)
 def c13(spark, sf):
     return dist.margin_sweep(fx.finding_keys(spark, sf), fx.pred(spark, sf), fx.gt(spark, sf), _routing(spark, sf),
