@@ -234,7 +234,7 @@ def fidelity_of(means: DataFrame, full: DataFrame, groups: DataFrame, by: list[s
     pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter(F.col("m"), lambda b: b["candidate_id"] > a["candidate_id"]),
                                                              lambda b: F.struct(a.alias("a"), b.alias("b")))))
     d = arr.select(*by, F.explode(pairs).alias("p"))
-    gap = lambda c: F.col(f"p.a.{c}") - F.col(f"p.b.{c}")
+    gap = lambda c: F.round(F.col(f"p.a.{c}") - F.col(f"p.b.{c}"), TIE_DIGITS)
     aggs = []
     for s, f, n in (("sd", "fd", "dice"), ("sh", "fh", "hit")):
         aggs.append(F.sqrt(F.avg(F.pow(gap(s) - gap(f), F.lit(2.0)))).alias(f"{n}_delta_rmse"))

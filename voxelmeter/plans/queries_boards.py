@@ -77,7 +77,7 @@ _C13B = _C13R[_C13R.index("with "):]
 _SW = ("sweepr as materialized (" + _C13B[_C13B.rindex("\nselect case_id"):] + ")")
 _I6X = _C13B[len("with "):_C13B.rindex("\nselect case_id")]
 _I6 = f"""with {_I6X}, {_SW}, base as materialized (select case_id, finding_id, dice as base_dice, hit as base_hit from (
- select k.case_id, k.finding_id, case when p+g=0 then 1.0 else (2*t+1e-6)/(p+g+1e-6) end as dice, (case when p+g=0 then 1.0 else (2*t+1e-6)/(p+g+1e-6) end)>=0.1 as hit from
+ select k.case_id, k.finding_id, case when coalesce(p+g,0)=0 then 1.0 else (2*t+1e-6)/(p+g+1e-6) end as dice, (case when coalesce(p+g,0)=0 then 1.0 else (2*t+1e-6)/(p+g+1e-6) end)>=0.1 as hit from
  (select case_id, finding_id from attrs) k left join (select case_id, finding_id, sum(p)::bigint p, sum(g)::bigint g, sum(p*g)::bigint t from flags group by all) f using (case_id, finding_id))),
  pr as materialized (select s.*, family||':'||shape||':'||margin_mm as policy, base_dice, base_hit, category, s.dice-base_dice as d from sweepr s join base using (case_id, finding_id) join attrs using (case_id, finding_id)),
  ps as materialized (select *, unnest(['all', category]) as stratum from pr)

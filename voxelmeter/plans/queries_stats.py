@@ -202,7 +202,7 @@ _FS = """sb as materialized (select case_id from findings group by 1 having sum(
  su as materialized (select candidate_id, category, avg(dice) sd, avg(hit::int) sh, count(*) m, sum(dice) ds, sum(hit::int) hs from evalc where case_id in (select case_id from sb) group by all),
  jn as materialized (select *, case when candidate_id<'m4' then 'g1' else 'g2' end as g from fu join su using (candidate_id, category)),
  pcr as materialized (select category, sqrt(avg((sd-fd)**2)) rd, sqrt(avg((sh-fh)**2)) rh from jn group by 1),
- prs as materialized (select a.sd-b.sd as sd, a.fd-b.fd as fd, a.sh-b.sh as sh, a.fh-b.fh as fh from jn a join jn b on a.g=b.g and a.category=b.category and a.candidate_id<b.candidate_id)"""
+ prs as materialized (select round(a.sd-b.sd,12) as sd, round(a.fd-b.fd,12) as fd, round(a.sh-b.sh,12) as sh, round(a.fh-b.fh,12) as fh from jn a join jn b on a.g=b.g and a.category=b.category and a.candidate_id<b.candidate_id)"""
 
 
 @query("f9_subset_fidelity", sql(f"""select * from (select {r('avg(rd)')} as macro_dice_rmse, {r('quantile_cont(rd,0.9)')} as p90_dice_rmse, {r('max(rd)')} as worst_dice_rmse,
@@ -277,7 +277,7 @@ def f13(spark, sf):
     return st.difficulty_strata(fx.evals_cat(spark, sf))
 
 
-@query("f13_strata_summary", sql(f"select category, difficulty_bin, bins, count(*) as findings, {r('avg(d)')} as mean_dice, {r('avg(h)')} as mean_hit_rate from sx group by 1,2,3", "evalc", extra=_ST))
+@query("f13_strata_summary", sql(f"select category, difficulty_bin, bins, count(*) as findings, {r('avg(d)', 9)} as mean_dice, {r('avg(h)', 9)} as mean_hit_rate from sx group by 1,2,3", "evalc", extra=_ST), digits=9)
 def f13b(spark, sf):
     return st.strata_summary(f13(spark, sf))
 
