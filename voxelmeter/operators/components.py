@@ -15,36 +15,44 @@ from voxelmeter.functions import ratio, salted_join
 from voxelmeter.operators.masks import CERTIFIED, KEY, OFF_LOCATION, PARTITION, VOXEL, voxel_volume
 from voxelmeter.session import checkpointed
 
-# Lines visited after (i, j) in C order that can touch it.
+# Lines after (i, j) in C order that can touch it.
 _FORWARD_LINES = [(0, 1), (1, -1), (1, 0), (1, 1)]
 
 
+# A voxel is one bigint in C order, 21 bits per axis, so label minima stay hash-aggregated.
+_BITS = 21
+
+
+def _code(i, j, k) -> F.Column:
+    wide = 1 << _BITS
+    return (i.cast("bigint") * wide + j) * wide + k
+
+
 def _runs(voxels: DataFrame, key: list[str]) -> DataFrame:
-    """Tag voxels with the first k of their run; a line is bounded by the volume depth."""
+    """Tag voxels with the node of their run; a line is bounded by the volume depth."""
     line = W.partitionBy(*key, "i", "j").orderBy("k")
     start = F.when(F.col("k") - F.lag("k").over(line) == 1, F.lit(None)).otherwise(F.col("k"))
-    return voxels.select(*key, *VOXEL).withColumn("k0", F.last(start, ignorenulls=True).over(line))
+    rows = voxels.select(*key, *VOXEL).withColumn("k0", F.last(start, ignorenulls=True).over(line))
+    return rows.withColumn("node", _code(F.col("i"), F.col("j"), F.col("k0")))
 
 
 def components(voxels: DataFrame, key: list[str] = KEY, max_rounds: int = 200) -> DataFrame:
     """``voxels`` plus ``component``, numbered from 1 by first voxel in C order.
 
-    The label of a run is its first voxel ``struct(i, j, k)``, so the minimum label of a
-    component is its first voxel and the numbering needs no second search.
+    The label of a run is the code of its first voxel, so the minimum label of a component
+    is its first voxel and the numbering needs no second search. Indices are non-negative
+    and below 2^21 per axis.
     """
-    runs = checkpointed(_runs(voxels.distinct(), key).repartition(*key, "i", "j"))
-    label = F.struct(F.col("i"), F.col("j"), F.col("k0").alias("k"))
-    nodes = runs.groupBy(*key, "i", "j", "k0").agg(F.max("k").alias("k1")).select(
-        *key, label.alias("node"), "i", "j", "k0", "k1")
+    runs = checkpointed(_runs(voxels.distinct(), key))
+    nodes = runs.groupBy(*key, "node", "i", "j", "k0").agg(F.max("k").alias("k1"))
     moves = F.explode(F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a, b in _FORWARD_LINES]))
-    near = nodes.select(*key, "node", "k0", "k1", (F.col("i")).alias("i"), F.col("j").alias("j"), moves.alias("m")).select(
-        *key, F.col("node").alias("a"), (F.col("i") + F.col("m.di")).alias("i"), (F.col("j") + F.col("m.dj")).alias("j"),
+    near = nodes.select(*key, F.col("node").alias("a"), "i", "j", "k0", "k1", moves.alias("m")).select(
+        *key, "a", (F.col("i") + F.col("m.di")).alias("i"), (F.col("j") + F.col("m.dj")).alias("j"),
         F.explode(F.sequence(F.col("k0") - 1, F.col("k1") + 1)).alias("k"))
-    half = near.join(runs.select(*key, "i", "j", "k", label.alias("b")), [*key, "i", "j", "k"]).select(*key, "a", "b")
-    half = half.distinct()
+    half = near.join(runs.select(*key, "i", "j", "k", F.col("node").alias("b")), [*key, "i", "j", "k"]).select(*key, "a", "b").distinct()
     edges = checkpointed(half.union(half.select(*key, F.col("b").alias("a"), F.col("a").alias("b"))))
 
-    labels = checkpointed(nodes.select(*key, "node", F.col("node").alias("label")))
+    labels = nodes.select(*key, "node", F.col("node").alias("label"))
     for _ in range(max_rounds):
         pulled = (edges.join(labels.select(*key, F.col("node").alias("b"), "label"), [*key, "b"])
                   .groupBy(*key, F.col("a").alias("node")).agg(F.min("label").alias("near")))
@@ -58,21 +66,19 @@ def components(voxels: DataFrame, key: list[str] = KEY, max_rounds: int = 200) -
             break
     else:
         raise RuntimeError(f"component labels did not settle in {max_rounds} rounds")
-    roots = labels.where(F.col("node") == F.col("label")).select(*key, "label")
-    number = _number_roots(roots, key)
+    number = _number_roots(labels.where(F.col("node") == F.col("label")).select(*key, "label"), key)
     numbered = salted_join(labels, number, [*key, "label"], ["node"]).select(*key, "node", "component")
-    return (runs.withColumn("node", label).join(numbered, [*key, "node"])
-            .select(*key, *VOXEL, "component"))
+    return runs.join(numbered, [*key, "node"]).select(*key, *VOXEL, "component")
 
 
 def _number_roots(roots: DataFrame, key: list[str]) -> DataFrame:
     """Dense ids by first voxel: count per i-slab, then rank inside a slab."""
-    slab = roots.groupBy(*key, F.col("label.i").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    rows = roots.withColumn("s", F.shiftright("label", 2 * _BITS))
+    slab = rows.groupBy(*key, "s").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(W.partitionBy(*key).orderBy("s").rowsBetween(W.unboundedPreceding, -1))
     slab = slab.select(*key, "s", F.coalesce(before, F.lit(0)).alias("off"))
-    rows = roots.withColumn("s", F.col("label.i")).join(slab, [*key, "s"])
     rank = F.row_number().over(W.partitionBy(*key, "s").orderBy("label"))
-    return rows.select(*key, "label", (F.col("off") + rank).alias("component"))
+    return rows.join(slab, [*key, "s"]).select(*key, "label", (F.col("off") + rank).alias("component"))
 
 
 def component_records(labels: DataFrame, headers: DataFrame, key: list[str] = KEY) -> DataFrame:

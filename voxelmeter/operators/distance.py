@@ -28,30 +28,35 @@ def boundary(support: DataFrame, key: list[str]) -> DataFrame:
     return seen.where(F.col("own") & (F.col("around") < 6)).select(*key, *VOXEL)
 
 
-def _spread(seeds: DataFrame, key: list[str], cap_mm: float, bounds: str) -> DataFrame:
+def _spread(seeds: DataFrame, key: list[str], cap_mm: float) -> DataFrame:
     """Squared distance ``d2`` to the nearest seed for every position within the cap.
 
-    ``seeds`` carries ``spacing`` (array) and ``bounds`` (array of [lo, hi] per axis).
+    ``seeds`` carries the scalars ``p0..p2`` (mm per step) and ``lo0..hi2`` (range to fill);
+    scalars keep the aggregates hash-based.
     """
     limit = (cap_mm + 1e-6) ** 2
     rows = seeds.withColumn("d2", F.lit(0.0))
     for axis, name in enumerate(VOXEL):
-        pace = F.col("spacing")[axis]
+        pace = F.col(f"p{axis}")
         reach = F.floor(F.lit(cap_mm + 1e-6) / pace).cast("int")
-        lo = F.greatest(F.col(name) - reach, F.col(bounds)[axis][0])
-        hi = F.least(F.col(name) + reach, F.col(bounds)[axis][1])
+        lo = F.greatest(F.col(name) - reach, F.col(f"lo{axis}"))
+        hi = F.least(F.col(name) + reach, F.col(f"hi{axis}"))
         others = [ax for ax in VOXEL if ax != name]
+        later = [f"{c}{n}" for n in range(axis + 1, 3) for c in ("p", "lo", "hi")]
         moved = rows.where(lo <= hi).withColumn("to", F.explode(F.sequence(lo, hi)))
         moved = moved.withColumn("d2", F.col("d2") + F.pow((F.col("to") - F.col(name)) * pace, F.lit(2.0)))
-        rows = (moved.where(F.col("d2") <= limit)
-                .groupBy(*key, *others, F.col("to").alias(name))
-                .agg(F.min("d2").alias("d2"), F.first("spacing").alias("spacing"), F.first(bounds).alias(bounds)))
+        rows = (moved.where(F.col("d2") <= limit).groupBy(*key, *others, F.col("to").alias(name))
+                .agg(F.min("d2").alias("d2"), *[F.max(c).alias(c) for c in later]))
     return rows.select(*key, *VOXEL, "d2")
 
 
-def boxes(voxels: DataFrame, key: list[str], name: str = "box") -> DataFrame:
-    """Inclusive [lo, hi] per axis as one array column."""
-    return voxels.groupBy(*key).agg(F.array(*[F.array(F.min(a), F.max(a)) for a in VOXEL]).alias(name))
+def _paces(headers: DataFrame, *extra) -> DataFrame:
+    return headers.select("case_id", *[F.col("spacing")[n].alias(f"p{n}") for n in range(3)], *extra)
+
+
+def _box(voxels: DataFrame, key: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """Inclusive range of a voxel set per axis."""
+    return voxels.groupBy(*key).agg(*[f(a).cast("int").alias(f"{name}{n}") for n, a in enumerate(VOXEL) for f, name in ((F.min, lo), (F.max, hi))])
 
 
 def support_distance(query: DataFrame, support: DataFrame, headers: DataFrame, cap_mm: float = 20.0,
@@ -64,21 +69,22 @@ def support_distance(query: DataFrame, support: DataFrame, headers: DataFrame, c
     key = key or ["case_id"]
     query = query.select(*key, *VOXEL).distinct()
     support = support.select(*key, *VOXEL).distinct()
-    spacing = headers.select("case_id", "spacing")
-    window = boxes(query, key, "bounds")
-    seeds = salted_join(boundary(support, key), window, key, VOXEL)
-    seeds = salted_join(seeds, spacing, ["case_id"], VOXEL)
-    near = _spread(seeds, key, cap_mm, "bounds")
-    inside = support.withColumn("inside", F.lit(True))
-    rows = query.join(near, [*key, *VOXEL], "left").join(inside, [*key, *VOXEL], "left")
-    rows = salted_join(rows, boxes(support, key).join(spacing, "case_id"), key, VOXEL, "left")
-    gaps = [F.greatest(F.lit(0.0), (F.col("box")[n][0] - F.col(a)) * F.col("spacing")[n],
-                       (F.col(a) - F.col("box")[n][1]) * F.col("spacing")[n]) for n, a in enumerate(VOXEL)]
+    paces = _paces(headers)
+    seeds = salted_join(boundary(support, key), _box(query, key), key, VOXEL)
+    near = _spread(salted_join(seeds, paces, ["case_id"], VOXEL), key, cap_mm)
+    # One aggregate joins query, reach and support on the voxel instead of three joins.
+    tagged = (query.select(*key, *VOXEL, F.lit(True).alias("q"), F.lit(None).cast("double").alias("d2"))
+              .unionByName(near.select(*key, *VOXEL, F.lit(False).alias("q"), "d2"))
+              .unionByName(support.select(*key, *VOXEL, F.lit(False).alias("q"), F.lit(0.0).alias("d2"))))
+    rows = tagged.groupBy(*key, *VOXEL).agg(F.max("q").alias("q"), F.min("d2").alias("d2")).where("q")
+    frame = _box(support, key, "blo", "bhi").join(paces, "case_id")
+    rows = salted_join(rows, frame, key, VOXEL, "left")
+    gaps = [F.greatest(F.lit(0.0), (F.col(f"blo{n}") - F.col(a)) * F.col(f"p{n}"), (F.col(a) - F.col(f"bhi{n}")) * F.col(f"p{n}"))
+            for n, a in enumerate(VOXEL)]
     far = F.lit(float("inf"))
     return rows.select(
-        *key, *VOXEL,
-        F.when(F.col("inside"), F.lit(0.0)).otherwise(F.coalesce(F.sqrt("d2"), far)).alias("dist_mm"),
-        F.when(F.col("box").isNotNull(), F.greatest(*gaps)).otherwise(far).alias("box_mm"))
+        *key, *VOXEL, F.coalesce(F.sqrt("d2"), far).alias("dist_mm"),
+        F.when(F.col("blo0").isNotNull(), F.greatest(*gaps)).otherwise(far).alias("box_mm"))
 
 
 def dilate(mask: DataFrame, headers: DataFrame, mm: float, key: list[str] | None = None) -> DataFrame:
@@ -87,10 +93,9 @@ def dilate(mask: DataFrame, headers: DataFrame, mm: float, key: list[str] | None
     mask = mask.select(*key, *VOXEL).distinct()
     if mm == 0:
         return mask
-    grid = headers.select("case_id", "spacing", F.transform(
-        "shape", lambda n: F.array(F.lit(0), (n - 1).cast("int"))).alias("bounds"))
-    seeds = salted_join(boundary(mask, key), grid, ["case_id"], VOXEL)
-    grown = _spread(seeds, key, mm, "bounds").where(F.col("d2") <= F.lit((mm + SLACK) ** 2))
+    ends = [c for n in range(3) for c in (F.lit(0).alias(f"lo{n}"), (F.col("shape")[n] - 1).cast("int").alias(f"hi{n}"))]
+    seeds = salted_join(boundary(mask, key), _paces(headers, *ends), ["case_id"], VOXEL)
+    grown = _spread(seeds, key, mm).where(F.col("d2") <= F.lit((mm + SLACK) ** 2))
     return grown.select(*key, *VOXEL).union(mask).distinct()
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from voxelmeter.functions import dice, exact_quantiles, hit, ordered_counts, precision, ratio, recall
 from voxelmeter.operators.masks import KEY
+from voxelmeter.session import checkpointed
 
 # Means that decide a choice are rounded, so that summation order cannot.
 TIE_DIGITS = 12
@@ -192,24 +193,20 @@ def per_threshold(swept: DataFrame, by: list[str]) -> DataFrame:
         F.round(F.avg("dice"), TIE_DIGITS).alias("dice"), F.count_if("hit").alias("hits"), F.count(F.lit(1)).alias("findings"))
 
 
-def _best(rows: DataFrame, by: list[str]) -> DataFrame:
-    order = F.struct(-F.col("dice"), -F.col("hits"), F.col("threshold"))
-    pick = F.min_by(F.struct("threshold", "dice", "hits", "findings"), order)
-    return rows.groupBy(*by).agg(pick.alias("b")).select(*by, "b.*")
-
-
 def best_threshold(rows: DataFrame, by: list[str], coarse: list[float], reach: float = 0.04) -> DataFrame:
     """Best of a coarse grid, then best of all thresholds within ``reach`` of it.
 
-    ``rows`` is :func:`per_threshold`. Order: dice, hits, lower threshold.
+    ``rows`` is :func:`per_threshold`, so a group is one short array of thresholds and both
+    steps happen on it. Order: dice, hits, lower threshold.
     """
-    on_grid = F.lit(False)
-    for c in coarse:
-        on_grid = on_grid | (F.abs(F.col("threshold") - F.lit(float(c))) < 1e-9)
-    first = _best(rows.where(on_grid), by).select(*by, F.col("threshold").alias("__c"))
-    near = rows.join(first, by) if by else rows.crossJoin(F.broadcast(first))
-    near = near.where(F.abs(F.col("threshold") - F.col("__c")) <= reach + 1e-7)
-    out = _best(near, by)
+    grid = F.array(*[F.lit(float(c)) for c in coarse])
+    arrays = rows.groupBy(*by).agg(F.collect_list(F.struct((-F.col("dice")).alias("d"), (-F.col("hits")).alias("h"), F.col("threshold").alias("t"),
+                                                           F.col("findings").alias("n"))).alias("a"))
+    on_grid = F.filter("a", lambda x: F.exists(grid, lambda c: F.abs(c - x["t"]) < 1e-9))
+    arrays = arrays.withColumn("c", F.array_min(on_grid)["t"])
+    best = F.array_min(F.filter("a", lambda x: F.abs(x["t"] - F.col("c")) <= reach + 1e-7))
+    out = arrays.select(*by, best.alias("b")).where("b is not null").select(
+        *by, F.col("b.t").alias("threshold"), (-F.col("b.d")).alias("dice"), (-F.col("b.h")).alias("hits"), F.col("b.n").alias("findings"))
     return out.withColumn("hit_rate", F.col("hits") / F.col("findings"))
 
 
@@ -218,8 +215,13 @@ def category_thresholds(swept: DataFrame, by: list[str], coarse: list[float], mi
 
     Chosen on the rows it is scored on, hence ``in_sample``.
     """
-    overall = best_threshold(per_threshold(swept, by), by, coarse, reach).select(*by, F.col("threshold").alias("global_threshold"))
-    cats = per_threshold(swept, [*by, "category"])
+    # (by, category, threshold) is the only table the choices need, so it is kept once.
+    cats = checkpointed(swept.groupBy(*by, "category", "threshold").agg(
+        F.sum("dice").alias("dice_sum"), F.count_if("hit").alias("hits"), F.count(F.lit(1)).alias("findings")))
+    whole = cats.groupBy(*by, "threshold").agg(F.round(F.sum("dice_sum") / F.sum("findings"), TIE_DIGITS).alias("dice"),
+                                               F.sum("hits").alias("hits"), F.sum("findings").alias("findings"))
+    overall = best_threshold(whole, by, coarse, reach).select(*by, F.col("threshold").alias("global_threshold"))
+    cats = cats.withColumn("dice", F.round(F.col("dice_sum") / F.col("findings"), TIE_DIGITS))
     own = best_threshold(cats, [*by, "category"], coarse, reach).withColumnRenamed("threshold", "own_threshold")
     own = own.join(overall, by) if by else own.crossJoin(F.broadcast(overall))
     small = F.col("findings") < min_findings
