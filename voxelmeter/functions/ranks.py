@@ -58,8 +58,15 @@ def with_buckets(counted: DataFrame, by: list[str], value: str, buckets: int = 6
     cuts = [i / buckets for i in range(1, buckets)]
     edges = counted.groupBy(*by).agg(F.percentile_approx(value, cuts, 2000).alias("__edges"))
     joined = counted.join(edges, by) if by else counted.crossJoin(edges)
-    bucket = F.size(F.filter("__edges", lambda e: e < F.col(value)))
-    return joined.withColumn("__b", bucket).drop("__edges")
+
+    def place(lo: int, hi: int) -> Column:
+        """Cuts below the value, by a balanced comparison tree over the cut array."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.get("__edges", F.lit(mid)) < F.col(value), place(mid + 1, hi)).otherwise(place(lo, mid))
+
+    return joined.withColumn("__b", place(0, len(cuts))).drop("__edges")
 
 
 def ordered_counts(df: DataFrame, by: list[str], value: str, weight: Column | None = None,
@@ -115,7 +122,7 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[s
                 salts: int = 16) -> DataFrame:
     """Equi-join where a few keys of ``left`` may hold a large share of its rows.
 
-    ``right`` holds at most a few rows per key and is repeated ``salts`` times;
+    ``right`` is small beside ``left`` (per case, group or finding) and is repeated ``salts`` times;
     ``left`` rows pick a salt from ``spread``. Left-preserving join types only.
     """
     if how not in {"inner", "left", "left_semi", "left_anti"}:

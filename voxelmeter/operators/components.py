@@ -59,7 +59,9 @@ def components(voxels: DataFrame, key: list[str] = KEY, max_rounds: int = 200) -
         stepped = labels.join(pulled, [*key, "node"], "left").select(
             *key, "node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = stepped.select(*key, F.col("node").alias("label"), F.col("label").alias("root"))
-        moved = checkpointed(salted_join(stepped, jump, [*key, "label"], ["node"]).select(
+        # A huge component makes its label a hot key of the left side; the right side has one
+        # row per key, so adaptive execution splits that partition without copying rows.
+        moved = checkpointed(stepped.join(jump, [*key, "label"]).select(
             *key, "node", F.col("root").alias("label"), (F.col("root") != F.col("was")).alias("changed")))
         labels = moved.drop("changed")
         if moved.where("changed").isEmpty():
@@ -67,7 +69,7 @@ def components(voxels: DataFrame, key: list[str] = KEY, max_rounds: int = 200) -
     else:
         raise RuntimeError(f"component labels did not settle in {max_rounds} rounds")
     number = _number_roots(labels.where(F.col("node") == F.col("label")).select(*key, "label"), key)
-    numbered = salted_join(labels, number, [*key, "label"], ["node"]).select(*key, "node", "component")
+    numbered = labels.join(number, [*key, "label"]).select(*key, "node", "component")
     return runs.join(numbered, [*key, "node"]).select(*key, *VOXEL, "component")
 
 

@@ -28,21 +28,26 @@ def boundary(support: DataFrame, key: list[str]) -> DataFrame:
     return seen.where(F.col("own") & (F.col("around") < 6)).select(*key, *VOXEL)
 
 
-def _spread(seeds: DataFrame, key: list[str], cap_mm: float) -> DataFrame:
+def _spread(seeds: DataFrame, key: list[str], cap_mm: float, query: DataFrame | None = None) -> DataFrame:
     """Squared distance ``d2`` to the nearest seed for every position within the cap.
 
-    ``seeds`` carries the scalars ``p0..p2`` (mm per step) and ``lo0..hi2`` (range to fill);
-    scalars keep the aggregates hash-based.
+    ``seeds`` carries the scalars ``p0..p2`` (mm per step) and, without a ``query``,
+    ``lo0..hi2`` (range to fill); scalars keep the aggregates hash-based. With a query each
+    axis is only filled over the range the query needs there, given the axes already done.
     """
     limit = (cap_mm + 1e-6) ** 2
     rows = seeds.withColumn("d2", F.lit(0.0))
     for axis, name in enumerate(VOXEL):
+        if query is not None:
+            done = [*key, *VOXEL[:axis]]
+            need = query.groupBy(*done).agg(F.min(name).alias(f"lo{axis}"), F.max(name).alias(f"hi{axis}"))
+            rows = salted_join(rows, need, done, VOXEL) if axis == 0 else rows.join(need, done)
         pace = F.col(f"p{axis}")
         reach = F.floor(F.lit(cap_mm + 1e-6) / pace).cast("int")
-        lo = F.greatest(F.col(name) - reach, F.col(f"lo{axis}"))
-        hi = F.least(F.col(name) + reach, F.col(f"hi{axis}"))
+        lo = F.greatest(F.col(name) - reach, F.col(f"lo{axis}")).cast("int")
+        hi = F.least(F.col(name) + reach, F.col(f"hi{axis}")).cast("int")
         others = [ax for ax in VOXEL if ax != name]
-        later = [f"{c}{n}" for n in range(axis + 1, 3) for c in ("p", "lo", "hi")]
+        later = [f"{c}{n}" for n in range(axis + 1, 3) for c in (("p",) if query is not None else ("p", "lo", "hi"))]
         moved = rows.where(lo <= hi).withColumn("to", F.explode(F.sequence(lo, hi)))
         moved = moved.withColumn("d2", F.col("d2") + F.pow((F.col("to") - F.col(name)) * pace, F.lit(2.0)))
         rows = (moved.where(F.col("d2") <= limit).groupBy(*key, *others, F.col("to").alias(name))
@@ -70,8 +75,7 @@ def support_distance(query: DataFrame, support: DataFrame, headers: DataFrame, c
     query = query.select(*key, *VOXEL).distinct()
     support = support.select(*key, *VOXEL).distinct()
     paces = _paces(headers)
-    seeds = salted_join(boundary(support, key), _box(query, key), key, VOXEL)
-    near = _spread(salted_join(seeds, paces, ["case_id"], VOXEL), key, cap_mm)
+    near = _spread(salted_join(boundary(support, key), paces, ["case_id"], VOXEL), key, cap_mm, query)
     # One aggregate joins query, reach and support on the voxel instead of three joins.
     tagged = (query.select(*key, *VOXEL, F.lit(True).alias("q"), F.lit(None).cast("double").alias("d2"))
               .unionByName(near.select(*key, *VOXEL, F.lit(False).alias("q"), "d2"))

@@ -9,6 +9,7 @@ from voxelmeter.functions import ratio
 from voxelmeter.operators import components as comp
 from voxelmeter.operators import masks, stats
 from voxelmeter.operators.masks import KEY
+from voxelmeter.session import checkpointed
 
 MEANS = ["dice", "hit", "known_positive_recall", "certified_precision", "predicted_mm3", "off_location_fraction",
          "detached_fraction", "candidate_recall", "anatomy_fraction"]
@@ -26,7 +27,11 @@ def error_atlas(findings: DataFrame, pred: DataFrame, gt: DataFrame, regions: Da
     m = masks.mask_metrics(findings, pred, gt, epsilon=0.0, recall_empty="null")
     parts = masks.partition_fp(pred, gt, regions)
     place = masks.partition_summary(findings, parts, headers)
-    rel = comp.relation_summary(findings, comp.component_relations(comp.components(pred), parts), comp.components(gt), pred)
+    # Both masks are labelled in the same rounds, with the mask as part of the key.
+    both = pred.select(F.lit("pred").alias("mask"), *KEY, *masks.VOXEL).union(gt.select(F.lit("gt").alias("mask"), *KEY, *masks.VOXEL))
+    labels = checkpointed(comp.components(both, ["mask", *KEY]))
+    of = lambda name: labels.where(F.col("mask") == name).drop("mask")
+    rel = comp.relation_summary(findings, comp.component_relations(of("pred"), parts), of("gt"), pred)
     out = m.join(place, KEY).join(rel, KEY)
     if anatomy is not None:
         inside = masks.supported_metrics(findings.select(*KEY), pred, gt, anatomy).select(*KEY, F.col("pred_voxels").alias("__in"))
