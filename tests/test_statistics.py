@@ -122,6 +122,19 @@ def test_greedy_and_refine_match_brute_force(spark, small):
     assert refined.dice >= path[1].dice - 0.001 * 2 * len(path[1].recipe.weights)
 
 
+def test_greedy_out_of_fold(spark, small):
+    z, gt, stack, keys, truth = small
+    folds = spark.createDataFrame([(c, c % 2) for c in range(6)], "case_id bigint, fold int")
+    ts = [0.4, 0.5]
+    rows = en.oof_greedy(stack, keys, truth, folds, ["m0", "m1", "m2"], "probability", 1, ts, ts).collect()
+    for r in rows:
+        held = {k for k in gt if k[0] % 2 == r.fold}
+        fit = {k for k in gt if k[0] % 2 != r.fold}
+        m = int(r.recipe[-1])
+        assert r.fit_dice == pytest.approx(float(np.mean(mean_dice(z, gt, {m: 1.0}, r.threshold, fit))))
+        assert r.held_dice == pytest.approx(float(np.mean(mean_dice(z, gt, {m: 1.0}, r.threshold, held)))) and r.findings == len(held)
+
+
 def test_replacement_selection(spark, small):
     z, gt, stack, keys, truth = small
     rows = en.caruana(stack, keys, truth, ["m0", "m1", "m2"], 3).collect()
@@ -173,7 +186,7 @@ def test_probe_candidates_cover_strata(spark):
     rows = sp.probe_candidates(strata, must, 15, 6, 5)
     per = rows.join(strata, "case_id").groupBy("draw").agg(F.countDistinct("case_id").alias("n"), F.countDistinct("stratum").alias("s"), F.count_if(F.col("case_id").isin(0, 17)).alias("m"))
     got = per.collect()
-    assert len(got) == 6 and all(r.n == 15 and r.s == 9 and r.m == 2 for r in got)
+    assert len(got) == 6 and all(r.n == 15 and r.s == 9 and r.m == 4 for r in got)
 
 
 def test_normalise_is_unicode_aware(spark):

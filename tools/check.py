@@ -61,6 +61,10 @@ def main():
             print(f"ERROR {name}: {str(e)[:1500]}", flush=True)
             continue
         dt = time.time() - t
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        odd = {k: plan.count(k) for k in ("CartesianProduct", "BroadcastNestedLoopJoin") if k in plan}
+        if odd:
+            print(f"plan  {name}: {odd}", flush=True)
         if name not in registry.ORACLES:
             print(f"rows  {name}: {len(rows)} rows {dt:.1f}s", flush=True)
             continue

@@ -52,7 +52,8 @@ def components(voxels: DataFrame, key: list[str] = KEY, max_rounds: int = 200) -
     half = near.join(runs.select(*key, "i", "j", "k", F.col("node").alias("b")), [*key, "i", "j", "k"]).select(*key, "a", "b").distinct()
     edges = checkpointed(half.union(half.select(*key, F.col("b").alias("a"), F.col("a").alias("b"))))
 
-    labels = nodes.select(*key, "node", F.col("node").alias("label"))
+    # Runs that touch no other run are finished; only the rest takes part in the rounds.
+    labels = edges.select(*key, F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(max_rounds):
         pulled = (edges.join(labels.select(*key, F.col("node").alias("b"), "label"), [*key, "b"])
                   .groupBy(*key, F.col("a").alias("node")).agg(F.min("label").alias("near")))
@@ -68,6 +69,7 @@ def components(voxels: DataFrame, key: list[str] = KEY, max_rounds: int = 200) -
             break
     else:
         raise RuntimeError(f"component labels did not settle in {max_rounds} rounds")
+    labels = nodes.select(*key, "node").join(labels, [*key, "node"], "left").withColumn("label", F.coalesce("label", "node"))
     number = _number_roots(labels.where(F.col("node") == F.col("label")).select(*key, "label"), key)
     numbered = labels.join(number, [*key, "label"]).select(*key, "node", "component")
     return runs.join(numbered, [*key, "node"]).select(*key, *VOXEL, "component")

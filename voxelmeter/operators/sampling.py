@@ -253,9 +253,10 @@ def _draw_distance(picks: DataFrame, strata: DataFrame, sizes: DataFrame) -> Dat
     part = kinds.join(picks, "case_id").groupBy("draw", "kind", "bin").agg(F.count(F.lit(1)).alias("n"))
     part = part.join(part.groupBy("draw", "kind").agg(F.sum("n").alias("t")), ["draw", "kind"]).select(
         "draw", "kind", "bin", (F.col("n") / F.col("t")).alias("q"))
-    grid = picks.select("draw").distinct().crossJoin(whole)
-    both = grid.join(part, ["draw", "kind", "bin"], "left").withColumn("d", F.abs(F.col("p") - F.coalesce("q", F.lit(0.0))))
-    return both.groupBy("draw", "kind").agg((0.5 * F.sum("d")).alias("tv")).groupBy("draw").agg(F.round(F.avg("tv"), TIE_DIGITS).alias("distance"))
+    # Bins a draw lacks add their whole share: sum |p - q| = 1 + sum over its bins (|p - q| - p).
+    both = part.join(whole, ["kind", "bin"]).withColumn("d", F.abs(F.col("p") - F.col("q")) - F.col("p"))
+    return both.groupBy("draw", "kind").agg((0.5 * (1.0 + F.sum("d"))).alias("tv")).groupBy("draw").agg(
+        F.round(F.avg("tv"), TIE_DIGITS).alias("distance"))
 
 
 def _draw_scores(means: DataFrame, full: DataFrame, groups: DataFrame, tv: DataFrame) -> DataFrame:

@@ -582,7 +582,7 @@ def c23c(spark, sf):
 
 
 def _proposals(spark, sf):
-    pool = fx.scores(spark, sf).where("candidate_id = 'm0'").withColumnRenamed("p", "score")
+    pool = fx.scores(spark, sf).groupBy(*VOX).agg(F.max("p").alias("score"))
     return grids.topk_nms(pool, fx.headers(spark, sf), 3, 2, TILE)
 
 

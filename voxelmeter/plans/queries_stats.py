@@ -51,18 +51,18 @@ def _boot(src, seed, draws, metrics, mode="pooled"):
 
 _BOUT = f"""select metric, {r('estimate')} as estimate, clusters_with_values, observations, {r('bootstrap_mean')} as bootstrap_mean, {r('ci_low')} as ci_low,
  {r('ci_high')} as ci_high, valid_draws, %d as draws, k as clusters from es join bt using (metric), sz"""
-_M0 = """src as materialized (select unnest(['dice','good']) as metric, case_id, unnest([dice, case when dice>=0.1 then dice end]) as v from eval where candidate_id='m0')"""
+_M0 = """src as materialized (select unnest(['dice','good']) as metric, case_id, unnest([dice, case when dice>=0.1 then dice end]) as v from eval)"""
 
 
 @query("f2_cluster_bootstrap", sql(_BOUT % 200, "eval", extra=_M0 + "," + _boot("src", 7, 200, None)))
 def f2(spark, sf):
-    rows = fx.evals(spark, sf).where("candidate_id = 'm0'").withColumn("good", F.when(F.col("hit"), F.col("dice")))
+    rows = fx.evals(spark, sf).withColumn("good", F.when(F.col("hit"), F.col("dice")))
     return st.cluster_bootstrap(rows, "case_id", ["dice", "good"], 200, 7)
 
 
 @query("f2_bootstrap_equal_case", sql(_BOUT % 200, "eval", extra=_M0 + "," + _boot("src", 8, 200, None, "equal_case")))
 def f2b(spark, sf):
-    rows = fx.evals(spark, sf).where("candidate_id = 'm0'").withColumn("good", F.when(F.col("hit"), F.col("dice")))
+    rows = fx.evals(spark, sf).withColumn("good", F.when(F.col("hit"), F.col("dice")))
     return st.cluster_bootstrap(rows, "case_id", ["dice", "good"], 200, 8, "equal_case")
 
 

@@ -19,15 +19,19 @@ def truth(spark, sf):
     return fx.gt(spark, sf).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_gt"))
 
 
-def _one(spark, sf, c="m0"):
-    return fx.scores(spark, sf).where(F.col("candidate_id") == c)
+ALL = ("m0", "m1", "m2", "m3", "m4")
+CKEY = ["candidate_id", *KEY]
+
 
+def _per_candidate(df):
+    return df.withColumn("candidate_id", F.explode(F.array(*[F.lit(c) for c in ALL])))
 
-@query("d1_binarise", sql("""select case_id, finding_id, coalesce(sum((p>=0.5)::int),0)::bigint as thresholded, count(*) filter (m) as stored,
+
+@query("d1_binarise", sql("""select candidate_id, case_id, finding_id, coalesce(sum((p>=0.5)::int),0)::bigint as thresholded, count(*) filter (m) as stored,
  sum(((p>=0.5)<>m)::int)::bigint as mismatches, sum(((p>=0.5)<>m)::int)=0 as exact from (select s.*, g.i is not null as m from scores s
- left join gt g using (case_id,finding_id,i,j,k) where candidate_id='m0') group by all""", "scores", "gt"))
+ left join gt g using (case_id,finding_id,i,j,k)) group by all""", "scores", "gt"))
 def d1(spark, sf):
-    return sw.mask_equivalence(_one(spark, sf), fx.gt(spark, sf), VOX, KEY, 0.5, "z", "logit")
+    return sw.mask_equivalence(fx.scores(spark, sf), _per_candidate(fx.gt(spark, sf)), ["candidate_id", *VOX], CKEY, 0.5, "z", "logit")
 
 
 _HALF = "round_even(x/pow(2.0,greatest(floor(log2(abs(x))),-14)-10),0)*pow(2.0,greatest(floor(log2(abs(x))),-14)-10)"
@@ -56,10 +60,10 @@ def _swx(ts, cands=("m0",)):
 _PR = f"{r('case when pred>0 then tp/pred else 0 end')} as \"precision\", {r('case when n_gt>0 then tp/n_gt end')} as recall"
 
 
-@query("d3_sweep", sql(f"""select case_id, finding_id, threshold, pred, tp, pred-tp as fp, n_gt-tp as fn, {r('dice')} as dice, hit, {_PR} from swm""",
-                       "keys", "scores", "gt", extra=_swx(THRESHOLDS)))
+@query("d3_sweep", sql(f"""select candidate_id, case_id, finding_id, threshold, pred, tp, pred-tp as fp, n_gt-tp as fn, {r('dice')} as dice, hit, {_PR} from swm""",
+                       "keys", "scores", "gt", extra=_swx(THRESHOLDS, ALL)))
 def d3(spark, sf):
-    return sw.sweep(_one(spark, sf), fx.finding_keys(spark, sf), truth(spark, sf), THRESHOLDS, "p", "probability")
+    return sw.sweep(fx.scores(spark, sf), _per_candidate(fx.finding_keys(spark, sf)), truth(spark, sf), THRESHOLDS, "p", "probability", key=CKEY)
 
 
 def _removal_rows(spark, sf):
@@ -93,15 +97,15 @@ def _halves(spark, sf):
     return fx.finding_keys(spark, sf).withColumn("half", F.when(F.col("case_id") % 2 == 0, "A").otherwise("B"))
 
 
-@query("d5_sweep_summary", sql(f"""select threshold, subset, count(*) as findings, {r('avg(dice)')} as dice, {r('avg(case when pred>0 then tp/pred else 0 end)')} as "precision",
+@query("d5_sweep_summary", sql(f"""select candidate_id, threshold, subset, count(*) as findings, {r('avg(dice)')} as dice, {r('avg(case when pred>0 then tp/pred else 0 end)')} as "precision",
  {r('avg(case when n_gt>0 then tp/n_gt end)')} as recall, sum(tp)::bigint as tp, sum(pred-tp)::bigint as fp, sum(n_gt-tp)::bigint as fn, count(*) filter (hit) as hits,
  {r('avg(dice-bd)')} as delta_dice, count(*) filter (dice-bd>1e-12) as improved, count(*) filter (abs(dice-bd)<=1e-12) as unchanged,
  count(*) filter (dice-bd < -1e-12) as worsened, count(*) filter (hit and not bh) as hits_gained, count(*) filter (bh and not hit) as hits_lost,
  {r('count(*) filter (hit)/count(*)')} as hit_rate, {r('2*sum(tp)/(2*sum(tp)+sum(pred-tp)+sum(n_gt-tp))')} as pooled_dice from swm join
- (select case_id, finding_id, dice as bd, hit as bh from swm where threshold=0.5) using (case_id, finding_id), 
- lateral (select unnest([case when case_id%2=0 then 'A' else 'B' end, 'full']) as subset) group by threshold, subset""", "keys", "scores", "gt", extra=_swx(THRESHOLDS)))
+ (select candidate_id, case_id, finding_id, dice as bd, hit as bh from swm where threshold=0.5) using (candidate_id, case_id, finding_id), 
+ lateral (select unnest([case when case_id%2=0 then 'A' else 'B' end, 'full']) as subset) group by candidate_id, threshold, subset""", "keys", "scores", "gt", extra=_swx(THRESHOLDS, ALL)))
 def d5(spark, sf):
-    return sw.sweep_summary(d3(spark, sf).join(_halves(spark, sf), KEY), "half")
+    return sw.sweep_summary(d3(spark, sf).join(_halves(spark, sf), KEY), "half", by=["candidate_id"])
 
 
 @query("d5_removal_summary", sql(f"""select threshold::double as threshold, subset, count(*) as findings, {r('avg(dice)')} as dice, {r('avg(base_dice)')} as base_dice,
@@ -119,14 +123,12 @@ def d5b(spark, sf):
     return sw.removal_summary(swept.join(_halves(spark, sf), KEY), "half")
 
 
-ALL = ("m0", "m1", "m2", "m3", "m4")
 _BT = """pt as materialized (select %s threshold, round(avg(dice),12) as dice, count(*) filter (hit) as hits, count(*) as findings from %s group by all),
  cz as materialized (select %s threshold as c from pt where threshold in (0.3,0.4,0.5,0.6,0.7) qualify row_number() over (partition by %s order by dice desc, hits desc, threshold)=1)"""
 
 
 def _all_sweep(spark, sf):
-    keys = fx.finding_keys(spark, sf).withColumn("candidate_id", F.explode(F.array(*[F.lit(c) for c in ALL])))
-    return sw.sweep(fx.scores(spark, sf), keys, truth(spark, sf), FINE, "p", "probability", key=["candidate_id", *KEY])
+    return sw.sweep(fx.scores(spark, sf), _per_candidate(fx.finding_keys(spark, sf)), truth(spark, sf), FINE, "p", "probability", key=CKEY)
 
 
 @query("d6_best_threshold", sql(f"""select candidate_id, threshold, {r('dice')} as dice, hits, findings, {r('hits/findings')} as hit_rate from pt join cz using (candidate_id)
