@@ -10,7 +10,7 @@ from voxelmeter.operators import masks
 from voxelmeter.plans import atlas, queries_masks
 from voxelmeter.plans import fixtures as fx
 from voxelmeter.plans.fixtures import KEY, r, sql
-from voxelmeter.plans.queries_stats import _BOUT, _boot
+from voxelmeter.plans.queries_stats import _boot
 from voxelmeter.plans.registry import query
 
 _CATS = "(select unnest(" + str(CATEGORIES) + ") as category)"

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelmeter.operators import integrity as ok
-from voxelmeter.operators import masks
 from voxelmeter.plans import fixtures as fx
 from voxelmeter.plans.fixtures import KEY, VOX, r, sql
 from voxelmeter.plans.registry import query
