@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmeter.llm import decontamination, language, packing, token_counts, toxicity
+from voxelmeter.llm import decontamination, language, near_dedup, packing, suffix_array, suffix_tree, token_counts, toxicity
 from voxelmeter.llm.io import held_out, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.learn(documents, training)
     scored = toxicity.score(documents, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+@query("op8_near_dedup")
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+@query("op2_suffix_tree")
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.dedup_word_windows(read(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op10_suffix_array")
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.dedup_substrings(read(spark, sf_dir, "documents")).drop("kept")
