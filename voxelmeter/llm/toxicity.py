@@ -218,24 +218,24 @@ def learn(documents: DataFrame, training: DataFrame, prior_tokens: float = PRIOR
     return model
 
 
-def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD, name: str = "score") -> DataFrame:
-    """``documents`` with columns ``score`` (0 to 1), ``predicted`` and ``passages`` (first and end token, surprise in nats).
+def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD, name: str = "score", flag: str = "predicted", spans: str = "passages") -> DataFrame:
+    """``documents`` with columns ``name`` (0 to 1), ``flag`` (0 or 1) and ``spans`` (first and end token, surprise in nats).
 
     Passages are the maximal segments whose score is rarer than chance in a clean text of that length. A null or empty
     text has no token and gets the score of a text without any passage. Columns of these names are replaced.
     """
-    names = [c for c in documents.columns if c not in (name, "predicted", "passages")]
+    names = [c for c in documents.columns if c not in (name, flag, spans)]
     kept = documents.select(*names)
-    schema = kept.select("*", F.lit(0.0).alias(name), F.lit(0).alias("predicted"), F.expr("cast(null as array<struct<first:int,end:int,surprise:double>>)").alias("passages")).schema
+    schema = kept.select("*", F.lit(0.0).alias(name), F.lit(0).alias(flag), F.expr("cast(null as array<struct<first:int,end:int,surprise:double>>)").alias(spans)).schema
     kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("surprise", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p, passages = [], []
             for _, _, data, offsets in byte_chunks(batch.column("text")):
-                x, spans = _features(model, data, offsets)
+                x, found = _features(model, data, offsets)
                 p.append(_probability(model, x))
-                passages += [[{"first": a, "end": b, "surprise": s} for a, b, s in row] for row in spans]
+                passages += [[{"first": a, "end": b, "surprise": s} for a, b, s in row] for row in found]
             p = np.concatenate([np.zeros(0), *p])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(passages, kind)], [*names, name, "predicted", "passages"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(passages, kind)], [*names, name, flag, spans])
     return kept.mapInArrow(run, schema)
