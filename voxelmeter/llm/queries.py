@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmeter.llm import decontamination, language, near_dedup, packing, suffix_array, suffix_tree, token_counts, toxicity
+from voxelmeter.llm import decontamination, language, near_dedup, packing, sanitisation, suffix_array, suffix_tree, token_counts, toxicity, winnowing
 from voxelmeter.llm.io import held_out, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,13 @@ def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_suffix_array")
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.dedup_substrings(read(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op3_sanitise")
+def op3_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitisation.report(sanitisation.find(read(spark, sf_dir, "documents")))
+
+
+@query("op7_winnow")
+def op7_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.fingerprints(read(spark, sf_dir, "documents"))
