@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmeter.llm import decontamination, near_dedup, packing, toxicity
+from voxelmeter.llm import decontamination, near_dedup, packing, sanitisation, toxicity
 from voxelmeter.llm.io import checkpointed, held_out, read
 from voxelmeter.llm.queries import tokenizer
 
@@ -30,7 +30,6 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data, and terms that reveal it, replaced by placeholders."""
-    from voxelmeter.llm import sanitisation
     return sanitisation.sanitise(docs)
 
 
