@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
 
@@ -72,7 +72,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i up to n."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) <= n:
-        size = 1 << max(16, n.bit_length())
+        size = (n | 0xFFFF) + 1
         inverse = pow(base, -1, 1 << 64)
         out = []
         for b in (base, inverse):
@@ -84,7 +84,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
                 done *= 2
             out.append(p)
         have = (out[0], out[1])
-        if size <= 1 << 24:
+        if size <= 4 * CHUNK_BYTES:  # those of one very long text are not kept
             _POWERS[base] = have
     return have
 

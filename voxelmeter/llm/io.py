@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from voxelmeter.session import checkpointed
 
 
+BATCH_ROWS = 2000
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A given table. Arrow batches of the session hold at most BATCH_ROWS rows from then on, so whole texts fit small Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

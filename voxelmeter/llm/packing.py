@@ -19,7 +19,7 @@ TIERS = (2048, 1024, 512, 256, 128)
 END_ID = 1
 POOL_TOKENS = 4 << 20
 STEP_TOKENS = 1 << 19
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "tier int, sequence_length long, step_group int")
 

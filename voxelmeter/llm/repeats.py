@@ -27,7 +27,7 @@ from voxelmeter.llm.io import checkpointed
 BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 192
 PIECES_PER_BUCKET = 40_000
-FLUSH_ROWS = 3_000_000
+FLUSH_ROWS = 1_000_000
 _PLACE_BITS = 24
 _SEGMENT = 1 << 23
 _U = np.uint64

@@ -49,31 +49,42 @@ def _ranks(columns: list[np.ndarray]) -> np.ndarray:
 def sort_block(text: np.ndarray, windows: np.ndarray, owners: np.ndarray, length: int) -> np.ndarray:
     """Least owner among the windows (places in ``text``) that spell the same ``length`` bytes, for each window.
 
-    The cover sample, places that are 0, 1 or 3 modulo 7, is ranked once by the length - 6 bytes behind each. Then one
-    class of places modulo 7 at a time is sorted: by its first 7 bytes, by the rank of the sample place that it shares with the
-    other class, and by its last 7 bytes. No comparison is longer than that, however long the tie.
+    Windows are sorted by their first and last 7 bytes and 8 in the middle. Those that tie there with a window of another owner go on:
+    sample places, which are 0, 1 or 3 modulo 7, are ranked once by the length - 6 bytes behind each; then one pair of classes of
+    places modulo 7 at a time is sorted by first bytes, by the rank of the sample place that both classes reach by the same step,
+    and by last bytes. No comparison is longer than that, however long the tie.
     """
-    deep = length - PERIOD + 1
     least = owners.copy()
-    if not len(windows):
+    front, back = (_ranks([_numbers(text, windows + j, PERIOD)]) for j in (0, length - PERIOD)) if len(windows) else (owners, owners)
+    tie = _ranks([front, back, _numbers(text, windows + length // 2, 8)]) if len(windows) else owners
+    low = _lowest(tie, owners)
+    open_ = np.flatnonzero(np.bincount(tie, low[tie] < owners)[tie] > 0) if len(windows) else owners[:0]
+    if not len(open_):
         return least
-    sample = np.flatnonzero(np.isin(np.arange(len(text) - deep + 1) % PERIOD, COVER)) if len(text) >= deep else np.zeros(0, np.int64)
-    rank = np.zeros(len(text), np.int64)
-    steps = [*range(0, deep - 8, 8), deep - 8]
-    rank[sample] = _ranks([_numbers(text, sample + j, 8) for j in steps])
-    front, back = (_ranks([_numbers(text, windows + j, PERIOD)]) for j in (0, length - PERIOD))
-    shift = {(r, s): next(d for d in range(PERIOD) if (r + d) % PERIOD in COVER and (s + d) % PERIOD in COVER) for r in range(PERIOD) for s in range(PERIOD)}
-    classes = [np.flatnonzero(windows % PERIOD == r) for r in range(PERIOD)]
+    at, front, back, own = windows[open_], front[open_], back[open_], owners[open_]
+    deep = length - PERIOD + 1
+    shift = np.array([[next(d for d in range(PERIOD) if (r + d) % PERIOD in COVER and (s + d) % PERIOD in COVER) for s in range(PERIOD)] for r in range(PERIOD)])
+    sample = np.unique((at[:, None] + shift[at % PERIOD]).ravel())
+    sample = sample[sample + deep <= len(text)]
+    rank = _ranks([_numbers(text, sample + j, 8) for j in (*range(0, deep - 8, 8), deep - 8)])
+    classes = [np.flatnonzero(at % PERIOD == r) for r in range(PERIOD)]
+    found = own.copy()
     for r in range(PERIOD):
         for s in range(r, PERIOD):
             both = np.concatenate([classes[r], classes[s]]) if r < s else classes[r]
-            key = _ranks([front[both], rank[windows[both] + shift[r, s]], back[both]])
-            lowest = np.full(int(key.max()) + 1 if len(key) else 0, np.iinfo(np.int64).max)
-            np.minimum.at(lowest, key, owners[both])
-            least[both] = np.minimum(least[both], lowest[key])
+            if len(both):
+                key = _ranks([front[both], rank[np.searchsorted(sample, at[both] + shift[r, s])], back[both]])
+                found[both] = np.minimum(found[both], _lowest(key, own[both])[key])
+    least[open_] = found
     return least
 
 
+def _lowest(key: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    out = np.full(int(key.max()) + 1 if len(key) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(out, key, owners)
+    return out
+
+
 def _solve(key, doc, start, n, pieces):
     """Windows whose bytes also start in a smaller document, one block of whole groups at a time."""
     order = np.argsort(key, kind="stable")
