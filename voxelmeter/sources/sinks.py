@@ -16,20 +16,21 @@ class ContentConflict(RuntimeError):
 
 
 def _stored(spark: SparkSession, path: str) -> str | None:
+    """Fingerprint of the newest finished result, or None."""
     try:
-        row = spark.read.json(f"{path}/fingerprint").first()
+        row = spark.read.schema("fingerprint string, turn bigint").json(f"{path}/pointer").agg(F.max_by("fingerprint", "turn").alias("f"), F.max("turn").alias("t")).first()
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             return None
         raise
-    return row["fingerprint"] if row else None
+    return row["f"]
 
 
 def write_immutable(df: DataFrame, path: str, overwrite: bool = False, fmt: str = "parquet") -> str:
     """``written``, ``unchanged`` or ``replaced``; other content under the path is an error.
 
-    The fingerprint is written last, so a job that died half-way leaves no valid result and
-    the next call writes again.
+    Rows go to a folder named by their fingerprint, and a line that points to it is appended last. A job that dies before that leaves
+    the former result in place, and the next call writes again.
     """
     spark = df.sparkSession
     new = fingerprint(df).first()["fingerprint"]
@@ -38,16 +39,18 @@ def write_immutable(df: DataFrame, path: str, overwrite: bool = False, fmt: str
         return "unchanged"
     if old is not None and not overwrite:
         raise ContentConflict(f"{path} holds other content")
-    df.write.mode("overwrite").format(fmt).save(f"{path}/data")
-    spark.createDataFrame([(new,)], "fingerprint string").coalesce(1).write.mode("overwrite").json(f"{path}/fingerprint")
+    df.write.mode("overwrite").format(fmt).save(f"{path}/data-{new}")
+    turn = 0 if old is None else spark.read.schema("fingerprint string, turn bigint").json(f"{path}/pointer").agg(F.max("turn")).first()[0] + 1
+    spark.createDataFrame([(new, turn)], "fingerprint string, turn bigint").coalesce(1).write.mode("append").json(f"{path}/pointer")
     return "written" if old is None else "replaced"
 
 
 def read_immutable(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Rows of a finished :func:`write_immutable` result."""
-    if _stored(spark, path) is None:
+    """Rows of the newest finished :func:`write_immutable` result."""
+    mark = _stored(spark, path)
+    if mark is None:
         raise FileNotFoundError(f"no finished result under {path}")
-    return spark.read.format(fmt).load(f"{path}/data")
+    return spark.read.format(fmt).load(f"{path}/data-{mark}")
 
 
 def recipe_key(spark: SparkSession, recipe: str, *sources: DataFrame) -> str:
