@@ -9,7 +9,7 @@ import pytest
 
 from voxelmeter.operators import integrity
 from voxelmeter.session import scratch_path
-from voxelmeter.sources import census, pages, sinks, volumes
+from voxelmeter.sources import census, markdown, sinks, volumes
 
 
 def nifti(array, order="<", slope=1.0, inter=0.0):
@@ -71,17 +71,13 @@ def test_scores_must_be_finite(spark):
 
 
 def test_pages(spark):
-    html = ("<html><head><title>t</title><script>x()</script></head><body><h1>Top</h1><p>Some <b>bold</b> and <a href='/u'>link</a></p>"
-            "<h2>Part</h2><ul><li>one<ul><li>deep</li></ul></li><li>two</li></ul><table><tr><th>A</th><th>B</th></tr><tr><td>1</td></tr></table>"
-            "<h2>Next</h2><pre><code class='language-py'>a = 1\n</code></pre></body></html>")
-    df = spark.createDataFrame([(1, "http://e.org/x", html)], "page_id bigint, url string, html string")
-    text = pages.pages_to_markdown(df).first()["markdown"]
-    for piece in ("# Top\n", "**bold**", "[link](http://e.org/u)", "- one\n  - deep\n- two", "| A | B |\n| --- | --- |\n| 1 | -- |", "```py\na = 1\n```"):
-        assert piece in text
-    assert "x()" not in text and "\n\n\n\n" not in text
-    cut = pages.pages_to_markdown(df, heading="part").first()["markdown"]
-    assert cut.startswith("## Part") and "Next" not in cut and "two" in cut
-    assert pages.pages_to_markdown(df, heading="absent").first()["markdown"] is None
+    html = ("<html><head><title>x</title></head><body><script>var a = '<p>';</script><h1>Top</h1><p>One &amp; <b>two</b><br>three</p>"
+            "<h2 class='c'>Part A</h2><ul><li>first</li><li><a href=\"/u\">link</a></li></ul><h2>Rest</h2><p>end</p></body></html>")
+    df = spark.createDataFrame([(1, "u", html), (2, "u", None)], "page_id int, url string, html string")
+    rows = {r.page_id: r for r in markdown.section(markdown.pages_to_markdown(df), "part").collect()}
+    assert rows[1].markdown == "# Top\n\nOne & **two**\nthree\n\n## Part A\n\n- first\n- [link](/u)\n\n## Rest\n\nend"
+    assert rows[1].section == "## Part A\n\n- first\n- [link](/u)" and rows[2].markdown is None and rows[2].section is None
+    assert markdown.section(markdown.pages_to_markdown(df), "absent").first()["section"] is None
 
 
 def test_write_once_and_cache(spark):
@@ -105,6 +101,19 @@ def test_write_once_and_cache(spark):
         sinks.cached(lambda: a.limit(3), key, root, spark, verify=True)
 
 
+def test_overwrite_that_dies_keeps_the_former_result(spark, monkeypatch):
+    path = scratch_path(spark, "imm")
+    a, b = spark.range(10), spark.range(5)
+    sinks.write_immutable(a, path)
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *x, **y: (_ for _ in ()).throw(RuntimeError("killed between data and pointer")))
+    with pytest.raises(RuntimeError):
+        sinks.write_immutable(b, path, overwrite=True)
+    monkeypatch.undo()
+    assert sinks.read_immutable(spark, path).count() == 10
+    assert sinks.write_immutable(a, path) == "unchanged"
+    assert sinks.write_immutable(b, path, overwrite=True) == "replaced" and sinks.read_immutable(spark, path).count() == 5
+
+
 def test_fingerprint_counts_copies(spark):
     a = spark.createDataFrame([(1, "x"), (2, None)], "i int, s string")
     mark = lambda df: integrity.fingerprint(df).first()["fingerprint"]

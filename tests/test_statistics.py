@@ -151,28 +151,30 @@ def test_replacement_selection(spark, small):
             basket.append(want[2])
 
 
-def test_kfold_is_balanced_and_chunk_free(spark):
+def test_kfold_is_balanced_and_order_free(spark):
     rng = np.random.default_rng(2)
     rows = [(c, f, ["1a", "1b", "2a"][rng.integers(3)]) for c in range(60) for f in range(rng.integers(1, 5))]
     df = spark.createDataFrame(rows, "case_id bigint, finding_id int, category string")
-    a = {r.case_id: r.fold for r in sp.grouped_kfold(df, 5, 1).collect()}
-    assert a == {r.case_id: r.fold for r in sp.grouped_kfold(df.repartition(3), 5, 1, chunk=13).collect()}
-    per = np.zeros(5)
-    for c, _, _ in rows:
-        per[a[c]] += 1
-    assert len(a) == 60 and per.max() - per.min() <= 4
-
-
-def test_longest_first_matches_heap(spark):
-    loads = [(i, (i * 7919) % 50 + 1) for i in range(40)]
+    got = sp.grouped_kfold(df, 5, 1).collect()
+    a = {r.case_id: r.fold for r in got}
+    assert a == {r.case_id: r.fold for r in sp.grouped_kfold(df.repartition(3), 5, 1).collect()}
+    cases, signatures = np.zeros(5), {}
+    for c in a:
+        cases[a[c]] += 1
+        mark = tuple(sorted(x for k, _, x in rows if k == c))
+        signatures.setdefault(mark, np.zeros(5))[a[c]] += 1
+    assert len(a) == len(got) == 60 and cases.max() - cases.min() <= 1
+    assert all(v.max() - v.min() <= 1 for v in signatures.values())
+
+
+def test_longest_first_there_and_back(spark):
+    loads = [(i, 50 if i % 2 else (i * 7919) % 50 + 1) for i in range(400)]  # one weight holds half of the rows
     df = spark.createDataFrame(loads, "case_id bigint, w bigint")
-    got = {r.case_id: r.shard for r in sp.shards(df, 4, "case_id", "w", chunk=9).collect()}
-    bins, want = [0] * 4, {}
-    for i, w in sorted(loads, key=lambda x: (-x[1], x[0])):
-        b = min(range(4), key=lambda s: (bins[s], s))
-        bins[b] += w
-        want[i] = b
-    assert got == want
+    got = {r.case_id: r.shard for r in sp.shards(df, 4, "case_id", "w").collect()}
+    order = [i for i, _ in sorted(loads, key=lambda x: (-x[1], x[0]))]
+    assert got == {i: (3 - p % 4 if p // 4 % 2 else p % 4) for p, i in enumerate(order)}
+    sums = [sum(w for i, w in loads if got[i] == s) for s in range(4)]
+    assert max(sums) - min(sums) <= 50
 
 
 def test_allocate_ties_go_to_larger_key(spark):

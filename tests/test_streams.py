@@ -19,14 +19,19 @@ def stream(spark, batches):
 
 
 def drain(spark, df, mode="append"):
-    out = scratch_path(spark, "out")
-    sm.run_available(df, out, scratch_path(spark, "chk"), mode)
-    return spark.read.parquet(out)
+    return sm.run_available(df, scratch_path(spark, "out"), scratch_path(spark, "chk"), mode)
 
 
-def test_dedup_across_batches(spark):
-    got = drain(spark, sm.journal_stream(stream(spark, [[(1, "a", 1), (0, "a", 2)], [(3, "a", 1), (2, "b", 1)], [(4, "a", 3)]]), "ts", ["arm", "n"]))
-    assert sorted((r.arm, r.n) for r in got.collect()) == [("a", 1), ("a", 2), ("a", 3), ("b", 1)]
+def test_merge_takes_late_and_far_apart_copies(spark):
+    src = stream(spark, [[(100, "a", 1), (99, "a", 2)], [(3, "a", 1), (2, "b", 1)], [(900, "a", 2), (1, "a", 3), (901, "c", 1), (900, "c", 1)]])
+    got = sm.merge_by_key(src, ["arm", "n"], "ts", scratch_path(spark, "out"), scratch_path(spark, "chk"))
+    assert sorted((int((r.ts - T0).total_seconds() // 60), r.arm, r.n) for r in got.collect()) == [(1, "a", 3), (2, "b", 1), (99, "a", 2), (100, "a", 1), (900, "c", 1)]
+
+
+def test_late_rows_reach_the_side_table(spark):
+    path = scratch_path(spark, "late")
+    sm.late_rows(stream(spark, [[(100, "a", 1)], [(95, "b", 1), (89, "c", 1)], [(200, "d", 1), (10, "e", 1)]]), "ts", path, scratch_path(spark, "chk"))
+    assert sorted(r.arm for r in spark.read.parquet(f"{path}/late").collect()) == ["c", "e"]
 
 
 def test_heartbeat_ends_only_stale_sessions(spark):
@@ -44,7 +49,12 @@ def test_progress_eta(spark):
 
 
 def test_barrier_needs_exact_keys(spark):
-    expected = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "m int, key int")
-    rows = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (1, "b", 2), (1, "b", 1), (2, "a", 1), (2, "b", 1), (2, "b", 1)], "m int, arm string, key int")
-    got = {r.m: r.released for r in sm.released(sm.barrier_stream(rows, "m", "arm", ["key"]), expected, "m", "arm", 2, ["key"]).collect()}
-    assert got == {1: True, 2: False}
+    expected = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (3, 1)], "m int, key int")
+    ddl = "m int, arm string, key int"
+    path = scratch_path(spark, "in")
+    for rows in ([(1, "a", 1), (1, "a", 2), (1, "b", 2), (2, "a", 1)], [(1, "b", 1), (2, "b", 1), (2, "b", 1), (3, "a", 1), (3, "b", 2)]):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(path)
+    src = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(path)
+    reported = sm.barrier_stream(src, "m", "arm", ["key"], scratch_path(spark, "out"), scratch_path(spark, "chk"))
+    got = {r.m: r.released for r in sm.released(reported, expected, "m", "arm", 2, ["key"]).collect()}
+    assert got == {1: True, 2: False, 3: False}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from voxelmeter.functions.columns import sha_unit
 
-__all__ = ["bucketed_row_number", "hash_rank", "hash_smallest", "with_buckets", "ordered_counts",
+__all__ = ["bucketed_row_number", "hash_rank", "hash_smallest", "with_buckets", "tied_row_number", "ordered_counts",
            "exact_quantiles", "quantiles_of_counts", "salted_join", "trailing_window"]
 
 
@@ -69,6 +69,17 @@ def with_buckets(counted: DataFrame, by: list[str], value: str, buckets: int = 6
     return joined.withColumn("__b", place(0, len(cuts))).drop("__edges")
 
 
+def tied_row_number(df: DataFrame, by: list[str], value: str, key: str, name: str = "rn") -> DataFrame:
+    """1-based row number inside ``by`` in order of (value, key), where one value may hold most rows.
+
+    Values are counted first and give offsets; rows of one value are ranked by ``key``, a number, in buckets of their own.
+    """
+    offsets = ordered_counts(df, by, value).select(*by, value, (F.col("cum") - F.col("cnt")).alias("__before"))
+    inside = with_buckets(df, [*by, value], key, 256)
+    ranked = bucketed_row_number(inside, [*by, value], F.col("__b"), [key], "__rank")
+    return ranked.join(offsets, [*by, value]).withColumn(name, F.col("__before") + F.col("__rank")).drop("__before", "__rank")
+
+
 def ordered_counts(df: DataFrame, by: list[str], value: str, weight: Column | None = None,
                    buckets: int = 64) -> DataFrame:
     """(by, value, cnt, cum, total): running counts over sorted distinct values, skew-safe.

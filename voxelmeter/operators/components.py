@@ -25,7 +25,9 @@ _BITS = 21
 
 def _code(i, j, k) -> F.Column:
     wide = 1 << _BITS
-    return (i.cast("bigint") * wide + j) * wide + k
+    fits = (i >= 0) & (i < wide) & (j >= 0) & (j < wide) & (k >= 0) & (k < wide)
+    return F.when(fits, (i.cast("bigint") * wide + j) * wide + k).otherwise(
+        F.raise_error(F.concat(F.lit("voxel index outside 0 to 2^21 - 1: "), F.concat_ws(",", i, j, k))).cast("bigint"))
 
 
 def _runs(voxels: DataFrame, key: list[str]) -> DataFrame:
@@ -40,8 +42,8 @@ def components(voxels: DataFrame, key: list[str] = KEY, max_rounds: int = 200) -
     """``voxels`` plus ``component``, numbered from 1 by first voxel in C order.
 
     The label of a run is the code of its first voxel, so the minimum label of a component
-    is its first voxel and the numbering needs no second search. Indices are non-negative
-    and below 2^21 per axis.
+    is its first voxel and the numbering needs no second search. An index that is negative
+    or not below 2^21 is an error.
     """
     runs = checkpointed(_runs(voxels.distinct(), key))
     nodes = runs.groupBy(*key, "node", "i", "j", "k0").agg(F.max("k").alias("k1"))

@@ -323,7 +323,8 @@ def topk_nms(scores: DataFrame, headers: DataFrame, k: int, radius: int, patch:
     Greedy by score, then C order. A peak whose clipped patch start was already proposed
     suppresses its box but is not kept. One distributed arg-max per attempt: the state is
     one short row of peaks per key, cut with a checkpoint, and scores are never grouped
-    into one task.
+    into one task. Runs until each key is done or out of scores; a ``max_attempts`` that
+    does not suffice is an error, never a shorter result.
     """
     best = F.max_by(F.struct(*VOXEL, "score"), F.struct("score", *[-F.col(a) for a in VOXEL]))
     peak_type = "array<struct<i:int,j:int,k:int,score:double>>"
@@ -337,7 +338,11 @@ def topk_nms(scores: DataFrame, headers: DataFrame, k: int, radius: int, patch:
         F.lit(False).alias("done")))
     state = state.fillna(False).withColumn("peaks", F.coalesce("peaks", F.array().cast(peak_type))).withColumn(
         "kept", F.coalesce("kept", F.array().cast(peak_type)))
-    for _ in range(max_attempts or max(k * 64, 256)):
+    attempts = 0
+    while True:
+        attempts += 1
+        if max_attempts is not None and attempts > max_attempts:
+            raise RuntimeError(f"peaks not settled in {max_attempts} attempts")
         open_rows = state.where(~F.col("done")).select(*key, "peaks")
         near = lambda p: reduce(lambda x, y: x & y, [F.abs(p[a] - F.col(a)) <= radius for a in VOXEL])
         live = salted_join(pool, open_rows, key, VOXEL).where(~F.exists("peaks", near))
@@ -359,8 +364,11 @@ def topk_nms(scores: DataFrame, headers: DataFrame, k: int, radius: int, patch:
 
 
 def proposal_metrics(proposals: DataFrame, gt: DataFrame, findings: DataFrame, patch: tuple[int, int, int],
-                     ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
-    """Any hit, full inclusion by one patch and covered share within the first k proposals."""
+                     ks: tuple[int, ...] = (1, 3, 5), empty_included: bool = False) -> DataFrame:
+    """Any hit, full inclusion by one patch and covered share within the first k proposals.
+
+    An empty truth is never hit and has coverage 0; whether it counts as fully included by any proposal is ``empty_included``.
+    """
     # At most max(ks) proposals per finding are ever looked at, so the array is short.
     starts = proposals.where(F.col("rank") <= max(ks)).groupBy(*KEY).agg(F.sort_array(F.collect_list(
         F.struct("rank", *[f"s{a}" for a in VOXEL]))).alias("ps"))
@@ -376,10 +384,14 @@ def proposal_metrics(proposals: DataFrame, gt: DataFrame, findings: DataFrame, p
     sums = rows.groupBy(*KEY).agg(*aggs)
     names = [c for c in sums.columns if c not in KEY]
     out = findings.select(*KEY).join(sums, KEY, "left").fillna(0, names)
+    if empty_included:
+        proposed = starts.select(*KEY, F.transform("ps", lambda p: p["rank"]).alias("ranks"))
+        out = out.join(proposed, KEY, "left")
     cols = []
     for k in ks:
         full = reduce(lambda x, y: x | y, [F.col(f"one_{n}") == F.col("total") for n in range(k)])
-        cols += [(F.col(f"cov_{k}") > 0).alias(f"hit_at_{k}"), (full & (F.col("total") > 0)).alias(f"full_inclusion_at_{k}"),
+        nothing = F.coalesce(F.exists("ranks", lambda x: x <= k), F.lit(False)) if empty_included else F.lit(False)  # noqa: B023
+        cols += [(F.col(f"cov_{k}") > 0).alias(f"hit_at_{k}"), F.when(F.col("total") > 0, full).otherwise(nothing).alias(f"full_inclusion_at_{k}"),
                  F.coalesce(ratio(f"cov_{k}", "total"), F.lit(0.0)).alias(f"coverage_at_{k}")]
     return out.select(*KEY, *cols)
 

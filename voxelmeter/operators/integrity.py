@@ -46,20 +46,18 @@ def recompose(evals: DataFrame, reported: DataFrame, tolerance: float = RECOMPOS
         (F.col("bad_hit_rows") == 0).alias("hit_rule_ok"))
 
 
-def fingerprint(df: DataFrame, exclude: tuple[str, ...] = (), by: list[str] | None = None, leaf: int = 4) -> DataFrame:
+def fingerprint(df: DataFrame, exclude: tuple[str, ...] = (), by: list[str] | None = None) -> DataFrame:
     """sha256 of a row set, independent of physical order.
 
-    Rows become canonical JSON digests; equal rows are counted before the shuffle, digests
-    are joined per ``leaf``-digit prefix, and the prefixes give the root.
+    Rows become digests of canonical JSON; each digest is cut into eight 32-bit words, and their sums over all rows, with the row count,
+    are hashed. Sums combine before the shuffle, so one short row per task moves, however many rows there are.
     """
     by = by or []
-    rows = df.select(*by, row_digest(df, exclude).alias("d")).groupBy(*by, "d").agg(F.count(F.lit(1)).alias("n"))
-    mark = F.concat_ws(":", "d", F.col("n").cast("string"))
-    leaves = rows.groupBy(*by, F.substring("d", 1, leaf).alias("p")).agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list(mark)), ","), 256).alias("h"), F.sum("n").alias("n"))
-    return leaves.groupBy(*by).agg(
-        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "h"))), lambda s: s["h"]), ","), 256)
-        .alias("fingerprint"), F.sum("n").alias("rows"))
+    rows = df.select(*by, row_digest(df, exclude).alias("d"))
+    words = [F.conv(F.substring("d", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)") for i in range(8)]
+    sums = rows.groupBy(*by).agg(*[F.sum(w).alias(f"w{i}") for i, w in enumerate(words)], F.count(F.lit(1)).alias("rows"))
+    marks = [F.coalesce(F.col(f"w{i}").cast("string"), F.lit("0")) for i in range(8)]
+    return sums.select(*by, F.sha2(F.concat_ws(":", F.col("rows").cast("string"), *marks), 256).alias("fingerprint"), "rows")
 
 
 def manifest(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:

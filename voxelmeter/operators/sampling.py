@@ -6,17 +6,14 @@ or retries of lost tasks.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxelmeter.functions import (bucketed_row_number, exact_quantiles, hash_rank, hash_smallest, md5_int, sha_unit, with_buckets)
+from voxelmeter.functions import (bucketed_row_number, exact_quantiles, hash_rank, hash_smallest, md5_int, sha_unit, tied_row_number, with_buckets)
 from voxelmeter.operators import stats
 from voxelmeter.operators.masks import KEY
-from voxelmeter.session import checkpointed, scratch_path
+from voxelmeter.session import checkpointed
 
 TIE_DIGITS = 12
 
@@ -52,111 +49,45 @@ def complement(parent: DataFrame, subset: DataFrame, key: list[str]) -> DataFram
     return seen.select(*key, F.when(F.col("p") & F.col("s"), "subset").when(F.col("p"), "complement").otherwise("foreign").alias("part"))
 
 
-# ------------------------------------------------------------------ sequential greedy in bounded chunks
-
-def in_chunks(rows: DataFrame, position: str, total: int, chunk: int, assign: Callable[[pd.DataFrame, dict], pd.DataFrame], schema: str,
-              state: Callable[[DataFrame], dict]) -> DataFrame:
-    """Run an inherently sequential assignment over ordered rows, ``chunk`` rows per task.
-
-    A chunk sees only its rows and the small state left by the chunks before it, which is an
-    aggregate of the rows assigned so far. Every chunk is a written table in the shared
-    folder, so a lost executor repeats one chunk.
-    """
-    spark = rows.sparkSession
-    path = scratch_path(spark, "chunks")
-    for number in range(-(-total // chunk)):
-        known = state(spark.read.parquet(path)) if number else {}
-        part = rows.where((F.col(position) > number * chunk) & (F.col(position) <= (number + 1) * chunk))
-
-        part.withColumn("__chunk", F.lit(number)).groupBy("__chunk").applyInPandas(_ordered(assign, position, known), schema).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
-
-
-def _ordered(assign, position: str, known: dict):
-    return lambda group: assign(group.sort_values(position, kind="stable"), known)
-
-
-def grouped_kfold(findings: DataFrame, k: int, seed: int, chunk: int = 50_000) -> DataFrame:
-    """Cases to folds with even category, finding and case counts.
+def grouped_kfold(findings: DataFrame, k: int, seed: int) -> DataFrame:
+    """Cases to folds with even case, finding and category counts.
 
-    Cases with rare categories go first; each takes the fold whose squared deviation grows
-    least (0.35 weight on findings, 0.15 on cases), ties by fewer cases, fewer findings, hash.
+    Cases with the same number of findings of each category are interchangeable, so only their numbers matter: cases are put in order of
+    rarity of their categories, then of that signature, then of a hash, and dealt to the folds in turn. Each
+    signature, and the cases as a whole, then differ by at most one between folds.
     """
     if k < 2:
         raise ValueError("at least two folds are needed")
-    cats = sorted(r[0] for r in findings.select("category").distinct().collect())
-    per = checkpointed(findings.groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("n"), F.array(*[F.count_if(F.col("category") == c) for c in cats]).alias("counts")))
-    sums = per.agg(F.count(F.lit(1)).alias("cases"), F.sum("n").alias("n"), *[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(len(cats))]).first()
-    totals = [sums[f"c{i}"] for i in range(len(cats))]
-    rarity = sum((F.col("counts")[i] / F.lit(float(t)) for i, t in enumerate(totals)), F.lit(0.0))
-    keyed = per.withColumn("neg", F.round(-rarity, TIE_DIGITS)).withColumn("u", sha_unit(seed, "case_id"))
-    keyed = keyed.withColumn("ties", F.array(*[sha_unit(seed, "case_id", F.lit(f"fold{f}")) for f in range(k)]))
-    tagged = with_buckets(keyed, [], "neg")
-    order = ["neg", F.desc("n"), "u", "case_id"]
-    ranked = checkpointed(bucketed_row_number(tagged, [], F.col("__b"), order, "pos"))
-    want_cat = [t / k for t in totals]
-    want_n, want_cases = sums["n"] / k, sums["cases"] / k
-    width = len(cats)
-
-    def assign(group: pd.DataFrame, known: dict) -> pd.DataFrame:
-        folds = [list(known.get(f, [0, 0] + [0] * width)) for f in range(k)]
-        out = []
-        for row in group.itertuples():
-            def growth(have, add, want, scale):
-                return ((have + add - want) ** 2 - (have - want) ** 2) / scale
-
-            def cost(f):
-                have = folds[f]
-                by_cat = sum(growth(have[2 + i], row.counts[i], want_cat[i], max(want_cat[i], 1.0)) for i in range(width))
-                return by_cat + 0.35 * growth(have[1], row.n, want_n, want_n) + 0.15 * growth(have[0], 1, want_cases, want_cases)
-
-            best = min(range(k), key=lambda f: (cost(f), folds[f][0], folds[f][1], row.ties[f], f))
-            folds[best][0] += 1
-            folds[best][1] += int(row.n)
-            for i in range(width):
-                folds[best][2 + i] += int(row.counts[i])
-            out.append((row.case_id, best, int(row.n), [int(c) for c in row.counts]))
-        return pd.DataFrame(out, columns=["case_id", "fold", "n", "counts"])
-
-    def state(done: DataFrame) -> dict:
-        rows = done.groupBy("fold").agg(F.count(F.lit(1)).alias("cases"), F.sum("n").alias("n"),
-                                        *[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(width)]).collect()
-        return {r["fold"]: [r["cases"], r["n"], *[r[f"c{i}"] for i in range(width)]] for r in rows}
-
-    kind = per.schema["case_id"].dataType.simpleString()
-    return in_chunks(ranked, "pos", sums["cases"], chunk, assign, f"case_id {kind}, fold int, n bigint, counts array<bigint>", state).select(
-        "case_id", "fold", F.col("n").alias("findings"))
-
-
-def shards(df: DataFrame, n: int, key: str, weight: str | None = None, chunk: int = 100_000) -> DataFrame:
-    """Round-robin over the key order, or longest-first to the lightest shard.
-
-    Ties go to the smaller key and the lower shard.
+    tally = findings.groupBy("case_id", "category").agg(F.count(F.lit(1)).alias("c"))
+    totals = tally.groupBy("category").agg(F.sum("c").alias("t"))
+    per = tally.join(totals, "category").groupBy("case_id").agg(
+        F.sum("c").alias("findings"), F.round(F.sum(F.col("c") / F.col("t")), TIE_DIGITS).alias("rarity"),
+        F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "category", "c"))), ",").alias("signature"))
+    keyed = checkpointed(per)
+    signatures = keyed.groupBy("rarity", "signature").agg(F.count(F.lit(1)).alias("cases")).withColumn("neg", -F.col("rarity"))
+    tagged = with_buckets(signatures, [], "neg")
+    totals = tagged.groupBy("__b").agg(F.sum("cases").alias("n"))
+    before = totals.select("__b", F.coalesce(F.sum("n").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("off"))  # a row per bucket
+    inner = W.partitionBy("__b").orderBy("neg", "signature").rowsBetween(W.unboundedPreceding, -1)
+    starts = tagged.join(before, "__b").select("signature", (F.col("off") + F.coalesce(F.sum("cases").over(inner), F.lit(0))).alias("start"))
+    ranked = hash_rank(keyed, ["signature"], seed, ["case_id"]).join(starts, "signature")
+    return ranked.select("case_id", ((F.col("start") + F.col("rn") - 1) % k).cast("int").alias("fold"), "findings")
+
+
+def shards(df: DataFrame, n: int, key: str, weight: str | None = None) -> DataFrame:
+    """Round-robin over the key order; with a weight, longest first and there and back over the shards.
+
+    The i-th block of ``n`` keys by falling weight (ties by key) goes to shards 0 to n - 1, or n - 1 to 0 in every
+    other block, so loads differ by at most the largest weight.
     """
     if weight is None:
         tagged = with_buckets(df.select(key), [], key)
         return bucketed_row_number(tagged, [], F.col("__b"), [key], "pos").select(key, ((F.col("pos") - 1) % n).cast("int").alias("shard"))
-    import heapq
-    slim = df.select(key, F.col(weight).cast("bigint").alias("w"), (-F.col(weight)).alias("neg"))
-    ranked = checkpointed(bucketed_row_number(with_buckets(slim, [], "neg"), [], F.col("__b"), ["neg", key], "pos"))
-    total = ranked.count()
-
-    def assign(group: pd.DataFrame, known: dict) -> pd.DataFrame:
-        heap = [(known.get(s, 0), s) for s in range(n)]
-        heapq.heapify(heap)
-        out = []
-        for case, w in zip(group[key], group["w"]):
-            load, shard = heap[0]
-            heapq.heapreplace(heap, (load + int(w), shard))
-            out.append((case, shard, int(w)))
-        return pd.DataFrame(out, columns=[key, "shard", "w"])
-
-    def state(done: DataFrame) -> dict:
-        return {r["shard"]: r["w"] for r in done.groupBy("shard").agg(F.sum("w").alias("w")).collect()}
-
-    kind = df.schema[key].dataType.simpleString()
-    return in_chunks(ranked, "pos", total, chunk, assign, f"{key} {kind}, shard int, w bigint", state).withColumnRenamed("w", weight)
+    slim = df.select(key, F.col(weight).cast("bigint").alias(weight), (-F.col(weight)).cast("bigint").alias("neg"))
+    ranked = tied_row_number(slim, [], "neg", key, "pos")
+    place = (F.col("pos") - 1) % n
+    back = F.floor((F.col("pos") - 1) / n) % 2 == 1
+    return ranked.select(key, F.when(back, n - 1 - place).otherwise(place).cast("int").alias("shard"), weight)
 
 
 def balanced_halves(findings: DataFrame, candidates: int, seed: int) -> DataFrame:

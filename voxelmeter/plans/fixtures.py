@@ -16,24 +16,24 @@ VOX = ["case_id", "finding_id", "i", "j", "k"]
 KEY = ["case_id", "finding_id"]
 SHAPE = (12, 10, 8)
 
-# Example prompts for the text operators.
+# Example prompts, at least one for each kind of rule of the text operators.
 PROMPTS = [
-    "Nodule in the right upper lobe",
-    "Subpleural opacity in the left lower lobe",
-    "No effusion in the right hemithorax",
-    "Possible consolidation in the left upper lobe",
-    "Bilateral ground-glass opacities in both lungs",
-    "Diffuse bronchial wall thickening",
-    "Peripheral consolidation, right lower lobe",
-    "Perihilar mass in the right middle lobe",
-    "Pleural effusion on the left",
-    "Pneumothorax at the right apex",
-    "Multiple scattered nodules",
-    "Linear atelectasis in the lingula",
-    "Mass in the right lung and left lower lobe",
-    "Central opacity; peribronchial thickening",
-    "Emphysema",
-    "Solitary nodule in the left upper lobe / apical segment",
+    "Small calcified granuloma, upper lobe on the right side",
+    "Subpleural reticulation along the left lower lobe",
+    "There is no pleural fluid on the right",
+    "Likely infiltrate within the left upper lobe",
+    "Ground-glass change in both lungs, bilateral",
+    "Diffuse thickening of the bronchial walls",
+    "Peripheral wedge-shaped density of the right lower lobe",
+    "Perihilar soft tissue next to the right middle lobe",
+    "Layering effusion, left pleural space",
+    "Apical pneumothorax, right",
+    "Several scattered nodules, multifocal",
+    "Band of atelectasis, lingula",
+    "Density spanning the right lung and the left lower lobe",
+    "Central density with peribronchial cuffing",
+    "Centrilobular emphysema",
+    "Single nodule, apical segment of the left upper lobe",
 ]
 
 

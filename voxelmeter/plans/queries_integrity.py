@@ -38,18 +38,18 @@ def b2(spark, sf):
 
 
 _JSON = """'{"case_id":'||case_id||',"finding_id":'||finding_id||',"i":'||i||',"j":'||j||',"k":'||k||'}'"""
-_FP = f"""select %s sha256(string_agg(h, ',' order by p)) as fingerprint, sum(n)::bigint as rows from (select %s substr(d,1,4) as p,
- sha256(string_agg(d||':'||n, ',' order by d||':'||n)) as h, sum(n) as n from (select %s sha256({_JSON}) as d, count(*) as n from pred group by all) group by all) group by all"""
+_FP = f"""select %s sha256(concat_ws(':', count(*), {", ".join(f"sum(('0x'||substr(d,{8 * i + 1},8))::bigint)" for i in range(8))})) as fingerprint, count(*) as rows from
+ (select %s sha256({_JSON}) as d from pred) group by all"""
 
 
-@query("b3_fingerprint", sql(_FP % ("", "", ""), "pred"))
+@query("b3_fingerprint", sql(_FP % ("", ""), "pred"))
 def b3(spark, sf):
     return ok.fingerprint(fx.pred(spark, sf))
 
 
-@query("b3_fingerprint_by_case", sql(_FP % ("case_id,", "case_id,", "case_id,"), "pred"))
+@query("b3_fingerprint_by_case", sql(_FP % ("case_id,", "case_id,"), "pred"))
 def b3b(spark, sf):
-    return ok.fingerprint(fx.pred(spark, sf).select(*VOX), by=["case_id"], leaf=4)
+    return ok.fingerprint(fx.pred(spark, sf).select(*VOX), by=["case_id"])
 
 
 @query("b4_manifest_diff")

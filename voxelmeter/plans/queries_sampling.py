@@ -51,7 +51,9 @@ def g3(spark, sf):
     return sp.complement(fx.finding_keys(spark, sf), big.union(fx.cases(spark, sf).select("case_id", F.lit(7))), KEY)
 
 
-@query("g4_grouped_kfold")
+@query("g4_grouped_kfold", sql(f"""select case_id, ((row_number() over (order by rarity desc, signature, {_u(42, 'case_id')}, case_id)-1)%5)::int as fold, findings from
+ (select case_id, sum(c)::bigint as findings, round(sum(c/t),12) as rarity, string_agg(category||':'||c, ',' order by category||':'||c) as signature from
+ (select case_id, category, count(*) as c from attrs group by all) join (select category, count(*) as t from attrs group by 1) using (category) group by 1)""", "attrs"))
 def g4(spark, sf):
     return sp.grouped_kfold(_attrs(spark, sf), 5, 42)
 
@@ -166,7 +168,7 @@ def _indexed(rows):
 
 _MX = f"""t as materialized (select *, row_number() over (order by {_u(37, 'case_id', 'finding_id')}, case_id, finding_id)-1 as si from attrs where category>='2'),
  rp as materialized (select *, row_number() over (order by {_u(37, 'case_id', 'finding_id')}, case_id, finding_id)-1 as si from attrs where category<'2'),
- ne as materialized (select least((select count(*) from t)//8, (select count(*) from rp)//4) as e),
+ ne as materialized (select least(((select count(*) from t)+7)//8, ((select count(*) from rp)+3)//4) as e),
  mx as materialized (select source, source_index, epoch, case_id, finding_id, category, epoch*12+row_number() over (partition by epoch order by h, source, source_index)-1 as event_index from (
  select *, {_h(41, 'source', 'source_index')} as h from (select 'targeted' as source, si as source_index, si//8 as epoch, case_id, finding_id, category from t, ne where si<8*e union all
  select 'replay', si, si//4, case_id, finding_id, category from rp, ne where si<4*e)))"""
@@ -174,7 +176,7 @@ _MX = f"""t as materialized (select *, row_number() over (order by {_u(37, 'case
 
 def _mixed(spark, sf):
     t, p = _target(spark, sf), _replay(spark, sf)
-    epochs = min(t.count() // 8, p.count() // 4)
+    epochs = min(-(-t.count() // 8), -(-p.count() // 4))  # the last one may be partial
     return sp.mix_schedule(t, p, "event_index", 12, 2 / 3, epochs, 41)
 
 
@@ -184,7 +186,8 @@ def g11(spark, sf):
 
 
 @query("g11_audit_schedule", sql("""select epoch, source, count(*) as rows, min(event_index) as first, max(event_index) as last, count(distinct category) as categories,
- case source when 'targeted' then 8 else 4 end::bigint as expected, true as ok from mx group by all""", "attrs", extra=_MX))
+ case source when 'targeted' then 8 else 4 end::bigint as expected,
+ count(*)=case source when 'targeted' then 8 else 4 end and min(event_index)//12=epoch and max(event_index)//12=epoch as ok from mx group by epoch, source""", "attrs", extra=_MX))
 def g11b(spark, sf):
     return sp.audit_schedule(_mixed(spark, sf), "event_index", 12, 2 / 3, "category")
 
@@ -217,7 +220,8 @@ def g13(spark, sf):
     return sp.shards(fx.cases(spark, sf), 6, "case_id")
 
 
-@query("g13_longest_first")
+@query("g13_longest_first", sql("""select case_id, rows, (case when ((p-1)//6)%2=1 then 5-(p-1)%6 else (p-1)%6 end)::int as shard from
+ (select case_id, rows, row_number() over (order by rows desc, case_id) as p from (select case_id, count(*) as rows from vox group by 1))""", "vox"))
 def g13b(spark, sf):
     size = fx.vox(spark, sf).groupBy("case_id").agg(F.count(F.lit(1)).alias("rows"))
     return sp.shards(size, 6, "case_id", "rows")

@@ -11,7 +11,7 @@ from voxelmeter.plans import fixtures as fx
 from voxelmeter.plans.fixtures import KEY, r, sql
 from voxelmeter.plans.registry import query
 from voxelmeter.session import scratch_path
-from voxelmeter.sources import census, pages, sinks, volumes
+from voxelmeter.sources import census, markdown, sinks, volumes
 
 
 def _cases_json(spark, sf):
@@ -159,14 +159,26 @@ def a7(spark, sf):
     return census.with_path_parts(f.select(name.alias("file")), "file")
 
 
-@query("a8_pages_to_markdown")
+def _markdown_sql() -> str:
+    text = "html"
+    for pattern, put in markdown.RULES:
+        quoted = [x.replace("'", "''") for x in (pattern, put.replace("{1}", "\\1").replace("{2}", "\\2"))]
+        text = f"regexp_replace({text}, '{quoted[0]}', '{quoted[1]}', 'g')"
+    return text
+
+
+_A8 = f"select page_id, {_markdown_sql()} as markdown from pages"
+
+
+@query("a8_pages_to_markdown", _A8)
 def a8(spark, sf):
-    return pages.pages_to_markdown(fx.table(spark, sf, "pages"))
+    return markdown.pages_to_markdown(fx.table(spark, sf, "pages")).select("page_id", "markdown")
 
 
-@query("a8_page_section")
+@query("a8_page_section", f"""with m as ({_A8}), b as (select page_id, string_split(regexp_replace(chr(10)||markdown, '\\n(#{{1,6}} )', chr(1)||'\\1', 'g'), chr(1)) as blocks from m)
+ select page_id, regexp_replace(([x for x in blocks if starts_with(x, '#') and contains(lower(split_part(x, chr(10), 1)), 'a')])[1], '[ \\n]+$', '') as section from b""")
 def a8b(spark, sf):
-    return pages.pages_to_markdown(fx.table(spark, sf, "pages"), heading="the")
+    return markdown.section(markdown.pages_to_markdown(fx.table(spark, sf, "pages")), "a").select("page_id", "section")
 
 
 @query("a9_write_immutable", sql("select step, outcome, (select count(*) from pred) as stored from (values (1,'written'),(2,'unchanged'),(3,'conflict'),(4,'replaced')) t(step, outcome)"

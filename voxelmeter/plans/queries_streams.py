@@ -11,18 +11,16 @@ from voxelmeter.session import scratch_path
 from voxelmeter.streaming import streams as sm
 
 
-def _source(spark, sf, rows=None):
-    """The events as several files in shuffled time order, then as a stream."""
+def _source(spark, sf, rows=None, files_per_batch=6):
+    """The events as six files in shuffled time order, then as a stream."""
     path = scratch_path(spark, "events")
     ev = fx.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")) if rows is None else rows
     ev.repartition(6, F.xxhash64(*ev.columns)).write.parquet(path)
-    return spark.readStream.schema(ev.schema).parquet(path)
+    return spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def _drain(spark, stream, mode="append"):
-    out = scratch_path(spark, "out")
-    sm.run_available(stream, out, scratch_path(spark, "offsets"), mode)
-    return spark.read.parquet(out)
+    return sm.run_available(stream, scratch_path(spark, "out"), scratch_path(spark, "offsets"), mode)
 
 
 @query("j1_progress_windows", """select date_trunc('hour', ts)::timestamp as window_start, count(*) filter (event_type in ('view','purchase')) as done,
@@ -49,7 +47,7 @@ def j1b(spark, sf):
 def j2(spark, sf):
     j = fx.journal(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     doubled = j.union(j.where("loss > 50"))
-    out = _drain(spark, sm.journal_stream(_source(spark, sf, doubled), "ts", ["arm", "global_update"]))
+    out = sm.merge_by_key(_source(spark, sf, doubled, 2), ["arm", "global_update"], "ts", scratch_path(spark, "out"), scratch_path(spark, "offsets"))
     return out.select("arm", "global_update", "loss")
 
 
@@ -64,8 +62,8 @@ def j3(spark, sf):
     # In even milestones every arm also reports the keys it lacks; repeats may remain.
     both = expected.where("milestone % 2 = 0").withColumn("arm", F.explode(F.array(F.lit("click"), F.lit("view"))))
     rest = both.join(own, ["milestone", "arm", "user_id"], "left_anti").select("arm", "user_id", "milestone")
-    marks = _drain(spark, sm.barrier_stream(_source(spark, sf, own.union(rest)), "milestone", "arm", ["user_id"]), "complete")
-    return sm.released(marks, expected, "milestone", "arm", 2, ["user_id"])
+    reported = sm.barrier_stream(_source(spark, sf, own.union(rest), 2), "milestone", "arm", ["user_id"], scratch_path(spark, "out"), scratch_path(spark, "offsets"))
+    return sm.released(reported, expected, "milestone", "arm", 2, ["user_id"])
 
 
 _J4 = """with s as (select *, sum(fresh) over (partition by user_id order by ts, event_id) as sid from (select user_id, event_id, ts,
