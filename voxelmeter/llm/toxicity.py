@@ -102,9 +102,7 @@ def _extreme_law(values: np.ndarray, shares: np.ndarray) -> tuple[float, float]:
     """lambda with E[exp(lambda s)] = 1, and a bound-type K, for tokens drawn independently from the background."""
     if not len(values) or values.max() <= 0 or values @ shares >= 0:
         return 1.0, 0.1
-    lo, hi = 1e-6, 1.0
-    while shares @ np.exp(hi * values) < 1 and hi < 1e3:
-        hi *= 2
+    lo, hi = 1e-6, 300 / values.max()
     for _ in range(100):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if shares @ np.exp(mid * values) < 1 else (lo, mid)
@@ -201,7 +199,7 @@ def learn(documents: DataFrame, training: DataFrame, prior_tokens: float = PRIOR
     order = np.argsort([t["token"] for t in tokens]) if tokens else []
     hashes = np.array([tokens[i]["token"] for i in order], np.int64)
     scores = np.array([tokens[i]["score"] for i in order], float)
-    shares = np.array([tokens[i]["n_clean"] for i in order], float) / max(n_clean, 1)
+    shares = np.array([tokens[i]["n_clean"] + prior_tokens * tokens[i]["n"] / total for i in order], float) / (n_clean + prior_tokens)
     lam, k = _extreme_law(np.append(scores, DRIFT), np.append(shares, max(0.0, 1 - shares.sum())))
     model = Model(hashes, scores, DRIFT, lam, k, np.array([0.0, 0, 0, -30.0]))
 
