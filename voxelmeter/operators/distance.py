@@ -1,9 +1,9 @@
 """Physical distance to a support mask, dilation, and margin sweeps.
 
-The exact squared distance is separable, so it is built axis by axis: every row spreads
-its value over the positions within the cap along one axis and a map-side combined
-``min`` keeps the best. The work is (surface rows x positions within the cap) per axis,
-never pairs of voxels.
+The exact squared distance is separable, so it is built axis by axis: the values of one line
+of voxels, bounded by the depth of the volume, meet in one row, and each position of the line
+within the cap takes the least of them. What is shuffled per axis is one value per voxel
+reached so far, whatever the cap.
 """
 
 from __future__ import annotations
@@ -42,16 +42,17 @@ def _spread(seeds: DataFrame, key: list[str], cap_mm: float, query: DataFrame |
             done = [*key, *VOXEL[:axis]]
             need = query.groupBy(*done).agg(F.min(name).alias(f"lo{axis}"), F.max(name).alias(f"hi{axis}"))
             rows = salted_join(rows, need, done, VOXEL) if axis == 0 else rows.join(need, done)
-        pace = F.col(f"p{axis}")
-        reach = F.floor(F.lit(cap_mm + 1e-6) / pace).cast("int")
-        lo = F.greatest(F.col(name) - reach, F.col(f"lo{axis}")).cast("int")
-        hi = F.least(F.col(name) + reach, F.col(f"hi{axis}")).cast("int")
         others = [ax for ax in VOXEL if ax != name]
         later = [f"{c}{n}" for n in range(axis + 1, 3) for c in (("p",) if query is not None else ("p", "lo", "hi"))]
-        moved = rows.where(lo <= hi).withColumn("to", F.explode(F.sequence(lo, hi)))
-        moved = moved.withColumn("d2", F.col("d2") + F.pow((F.col("to") - F.col(name)) * pace, F.lit(2.0)))
-        rows = (moved.where(F.col("d2") <= limit).groupBy(*key, *others, F.col("to").alias(name))
-                .agg(F.min("d2").alias("d2"), *[F.max(c).alias(c) for c in later]))
+        lines = rows.groupBy(*key, *others).agg(
+            F.collect_list(F.struct(F.col(name).alias("at"), "d2")).alias("seeds"), F.max(f"p{axis}").alias("pace"), F.min(name).alias("first"), F.max(name).alias("last"),
+            F.max(f"lo{axis}").alias("lo"), F.max(f"hi{axis}").alias("hi"), *[F.max(c).alias(c) for c in later])
+        reach = F.floor(F.lit(cap_mm + 1e-6) / F.col("pace")).cast("int")
+        lo, hi = F.greatest(F.col("first") - reach, F.col("lo")).cast("int"), F.least(F.col("last") + reach, F.col("hi")).cast("int")
+        best = F.transform(F.sequence(lo, hi), lambda to: F.struct(to.alias("to"), F.array_min(F.transform(
+            "seeds", lambda s: s["d2"] + F.pow((to - s["at"]) * F.col("pace"), F.lit(2.0)))).alias("d2")))
+        rows = lines.where(lo <= hi).select(*key, *others, *later, F.explode(best).alias("x")).select(
+            *key, *others, *later, F.col("x.to").alias(name), F.col("x.d2").alias("d2")).where(F.col("d2") <= limit)
     return rows.select(*key, *VOXEL, "d2")
 
 

@@ -139,11 +139,11 @@ def partition_fp(pred: DataFrame, positive: DataFrame, regions: DataFrame) -> Da
     """
     key = [*KEY, *VOXEL]
     known = positive.select(*key).withColumn("y", F.lit(True))
-    named = regions.groupBy(*key).agg(F.min("region").alias("region"), F.countDistinct("region").alias("claims"))
+    named = regions.groupBy(*key).agg(F.min("region").alias("region"), (F.min("region") != F.max("region")).alias("disputed"))
     rows = pred.select(*key).join(known, key, "left").join(named, key, "left")
     part = (F.when(F.col("y"), "known_positive")
             .when(F.col("region").isin(CERTIFIED), F.col("region")).otherwise("unknown"))
-    bad = (F.col("y") & F.col("region").isNotNull()) | (F.coalesce(F.col("claims"), F.lit(0)) > 1)
+    bad = (F.col("y") & F.col("region").isNotNull()) | F.coalesce(F.col("disputed"), F.lit(False))
     return rows.select(*key, part.alias("part"), F.coalesce(bad, F.lit(False)).alias("violation"))
 
 
@@ -236,11 +236,10 @@ def label_presence(atlas: DataFrame, headers: DataFrame) -> DataFrame:
 
 def outside_support(findings: DataFrame, gt: DataFrame, support: DataFrame) -> DataFrame:
     """Truth voxels outside the support, per finding."""
-    inside = support.select("case_id", *VOXEL).distinct()
-    outside = gt.join(inside, ["case_id", *VOXEL], "left_anti")
-    counts = gt.groupBy(*KEY).agg(F.count(F.lit(1)).alias("gt_voxels"))
-    out = outside.groupBy(*KEY).agg(F.count(F.lit(1)).alias("outside_voxels"))
-    rows = with_counts(with_counts(findings, counts), out)
+    inside = support.select("case_id", *VOXEL).distinct().withColumn("__in", F.lit(True))
+    counts = gt.join(inside, ["case_id", *VOXEL], "left").groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("gt_voxels"), F.count_if(F.col("__in").isNull()).alias("outside_voxels"))
+    rows = with_counts(findings, counts)
     return rows.withColumn("outside_fraction", ratio("outside_voxels", "gt_voxels"))
 
 

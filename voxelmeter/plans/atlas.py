@@ -24,8 +24,9 @@ def error_atlas(findings: DataFrame, pred: DataFrame, gt: DataFrame, regions: Da
     Dice is unsmoothed here. ``anatomy`` is the compatible region per case. Findings outside
     ``supervised`` have no certified region, so the columns that need one are null.
     """
+    pred, gt = checkpointed(pred), checkpointed(gt)
     m = masks.mask_metrics(findings, pred, gt, epsilon=0.0, recall_empty="null")
-    parts = masks.partition_fp(pred, gt, regions)
+    parts = checkpointed(masks.partition_fp(pred, gt, regions))
     place = masks.partition_summary(findings, parts, headers)
     # Both masks are labelled in the same rounds, with the mask as part of the key.
     both = pred.select(F.lit("pred").alias("mask"), *KEY, *masks.VOXEL).union(gt.select(F.lit("gt").alias("mask"), *KEY, *masks.VOXEL))
