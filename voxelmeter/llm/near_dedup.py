@@ -15,7 +15,8 @@ from voxelmeter.llm.io import checkpointed
 
 BANDS, ROWS = 40, 4
 SKETCH_BITS = 1024
-MARGIN = 0.2
+MARGIN = 0.15
+SURE = 5.0
 SPLIT_ROWS = 4096
 _rng = np.random.RandomState(77)
 _SALT = _rng.randint(0, 1 << 62, BANDS * ROWS).astype(np.uint64)
@@ -57,17 +58,24 @@ def _likely(flipped: np.ndarray, threshold: float) -> np.ndarray:
     """Whether sketches with so many unequal bits can come from sets of that similarity.
 
     Of k samples, k (1 - J) differ, and each flips two bits at random: the estimate of J inverts the expected share of
-    unequal bits. Pairs more than MARGIN below the threshold are let go; that is over six deviations of the estimate.
+    unequal bits. Pairs more than MARGIN below the threshold are let go; that is over four deviations of the estimate.
     """
     share = np.minimum(2 * flipped / SKETCH_BITS, 0.999)
     return 1 + SKETCH_BITS / (4 * len(_SALT)) * np.log1p(-share) >= threshold - MARGIN
 
 
+def _parity(found: np.ndarray) -> bytes:
+    """Parity bitmap of the whole set, of two to four bits per member. Halves of a bitmap, XORed, are the bitmap of half the size."""
+    size = max(64, 1 << (2 * max(len(found), 1) - 1).bit_length())
+    at = (mix(found ^ _SALT[0]) & _U(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def signatures(documents: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, digest, bands, sketch) per row; digest is 128 bits of the set. Rows without doc_id are left out."""
+    """(doc_id, n, digest, bands, sketch, parity) per row; digest is 128 bits of the set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digest, bands, sketch = [], [], [], []
+            n, digest, bands, sketch, parity = [], [], [], [], []
             for _, _, data, offsets in byte_chunks(batch.column("text")):
                 for found in _shingles(data, offsets, width):
                     n.append(len(found))
@@ -78,11 +86,12 @@ def signatures(documents: DataFrame, width: int) -> DataFrame:
                         keys = mix(keys * _U(0x9E3779B97F4A7C15) + row)
                     bands.append(keys.view(np.int64))
                     sketch.append(_sketch(low))
+                    parity.append(_parity(found))
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *bands]))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(sketch, pa.binary())],
-                                             ["doc_id", "n", "digest", "bands", "sketch"])
-    return documents.mapInArrow(run, "doc_id long, n long, digest binary, bands array<long>, sketch binary")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(sketch, pa.binary()), pa.array(parity, pa.binary())],
+                                             ["doc_id", "n", "digest", "bands", "sketch", "parity"])
+    return documents.mapInArrow(run, "doc_id long, n long, digest binary, bands array<long>, sketch binary, parity binary")
 
 
 def _sets(documents: DataFrame, width: int) -> DataFrame:
@@ -99,7 +108,7 @@ def _sets(documents: DataFrame, width: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets meet the threshold. A hot ``a`` is a skewed join, which Spark splits."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = checkpointed(_sets(documents.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width))
+    sets = checkpointed(_sets(documents.join(ids, "doc_id", "left_semi"), width))
     one = sets.select(F.col("doc_id").alias("a"), F.col("found").alias("found_a"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("found").alias("found_b"))
     both = pairs.join(two, "b").join(one, "a").withColumn("inter", F.size(F.array_intersect("found_a", "found_b")))
@@ -125,25 +134,69 @@ def _grouped(vertices: DataFrame, links: DataFrame) -> DataFrame:
     return vertices.join(edges.groupBy("u").agg(F.min("v").alias("v")), F.col("doc_id") == F.col("u"), "left").select("doc_id", F.coalesce("v", "doc_id").alias("group"))
 
 
-def _cross_pairs(threshold: float):
-    """Pairs of one bucket that lie in different groups and whose sketches allow the threshold."""
+class _Parities:
+    """Bitmaps of the rows of a bucket, at their own size and folded to half of it."""
+
+    def __init__(self, bitmaps: list[bytes]):
+        self.size = np.array([8 * len(b) for b in bitmaps])
+        self.rows, self.place = {}, {}
+        for level in {x for s in set(self.size.tolist()) for x in (s, s // 2) if x >= 64}:
+            at = np.flatnonzero((self.size == level) | (self.size == 2 * level))
+            own = [np.frombuffer(bitmaps[i], np.uint64) for i in at]
+            self.rows[level] = np.vstack([b if len(b) * 64 == level else b[:len(b) // 2] ^ b[len(b) // 2:] for b in own])
+            self.place[level] = np.full(len(bitmaps), -1)
+            self.place[level][at] = np.arange(len(at))
+
+    def unequal(self, i: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unequal bits of row i and rows whose sizes are at most a factor of two apart, and the size they were compared at."""
+        level, z = np.minimum(self.size[i], self.size[at]), np.zeros(len(at), np.int64)
+        for k in np.unique(level).tolist():
+            here, place = level == k, self.place[k]
+            z[here] = np.bitwise_count(self.rows[k][place[at[here]]] ^ self.rows[k][place[i]]).sum(axis=1)
+        return z, level
+
+
+def _cross_pairs(percent: int, spare: bool):
+    """Pairs (a, b, sure) of one bucket that lie in different groups and may meet the threshold.
+
+    Sets of n and m members meet it if their symmetric difference is at most (100 - p) (n + m) / (100 + p). It is at least the
+    number of unequal parity bits, so pairs with more are let go for certain. A pair far within the bound is ``sure``; with ``spare``,
+    of pairs between groups that sure pairs connect in this bucket only those sure ones are given.
+    """
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
-        ids, group = table.column("doc_id").to_numpy(), table.column("group").to_numpy()
-        hub = table.column("hub").to_numpy(zero_copy_only=False)
+        ids, n, hub = (table.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n", "hub"))
+        _, group = np.unique(table.column("group").to_numpy(), return_inverse=True)
         bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
-        out = []
+        parities = _Parities(table.column("parity").to_pylist())
         # A slice of a split bucket has all rows outside the largest group; pairs between those are left to slice 0.
-        rows = np.flatnonzero(~hub) if hub.any() else np.arange(len(ids))
         first = table.column("slice")[0].as_py() == 0
-        for i in rows:
-            other = (group != group[i]) & (hub | (first & (ids > ids[i])))
-            at = np.flatnonzero(other)
-            flips = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1)
-            at = at[_likely(flips, threshold)]
-            out.append(np.vstack([np.minimum(ids[at], ids[i]), np.maximum(ids[at], ids[i])]))
-        out = np.concatenate([np.zeros((2, 0), np.int64), *out], axis=1)
-        return pa.table({"a": out[0], "b": out[1]})
+        joined, sure, other = group.copy(), [], []
+        for i in np.flatnonzero(~hub) if hub.any() else range(len(ids)):
+            near = (joined if spare else group) != (joined if spare else group)[i]
+            near &= (hub | (first & (ids > ids[i]))) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            at = np.flatnonzero(near)
+            at = at[_likely(np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1), percent / 100)]
+            if not len(at):
+                continue
+            z, size = parities.unequal(i, at)
+            bound = (100 - percent) * (n[at] + n[i]) / (100 + percent)
+            at, z, size, bound = at[z <= bound], z[z <= bound], size[z <= bound], bound[z <= bound]
+            left = np.maximum(1 - 2 * z / size, 1e-3)
+            guess = -size / 2 * np.log(left)
+            spread = np.sqrt(size / 4 * (1 - left ** 2)) / left
+            safe = guess + SURE * spread + 1 <= bound
+            if spare:
+                for j in at[safe].tolist():
+                    if joined[j] != joined[i]:
+                        sure.append((i, j))
+                        joined[joined == joined[j]] = joined[i]
+                other += [(i, j) for j in at[~safe].tolist()]
+            else:
+                other += [(i, j) for j in at.tolist()]
+        other = [(i, j) for i, j in other if joined[i] != joined[j]]
+        a, b = (np.array([p[k] for p in (*sure, *other)], np.int64) for k in (0, 1))
+        return pa.table({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "sure": np.arange(len(a)) < len(sure)})
     return run
 
 
@@ -153,25 +206,29 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     Words are cut at ASCII white space, ASCII-lower-cased. Texts link if 100 * intersection >= percent * union of their
     shingle sets; component_id is the least doc_id a document reaches over links, and the document with that id is kept.
     A text of fewer words than ``width`` has its whole word sequence as its one shingle; a null text, or one without
-    words, has none and links with nothing. Rows that repeat a doc_id are one document (its first text by order). A row without
+    words, has none and links with nothing. Rows that repeat a doc_id are one document, and give one row; of several texts the least counts. A row without
     doc_id is not compared: its component_id is null and it is kept.
 
     1. Equal sets are one class, whose least id stands for it. 2. Representatives with an equal MinHash band share a
-    bucket; each is paired with the least id of the bucket, never with all. 3. Full sets confirm pairs, and confirmed ones make
-    groups. 4. Only buckets that then hold several groups are searched for pairs across groups: sketches let go of those
-    far below the threshold, full sets confirm the rest, and groups are made anew. A bucket of many rows is split by the
-    members of its largest group. With 40 bands of 4 a pair at 0.8 shares no bucket with probability 7e-10.
+    bucket; each is paired with the least id of all its buckets, never with all others. 3. Full sets confirm pairs, and confirmed
+    ones make groups. 4. Only buckets that then hold several groups are searched for pairs across groups: odd sketches and parity bitmaps let
+    go of those below the threshold, full sets confirm the rest, and groups are made anew. Pairs between groups that sure pairs connect are
+    spared; should a sure one not be confirmed, the search is done again without sparing. A bucket of many rows is split by
+    the members of its largest group. With 40 bands of 4 a pair at 0.8 shares no bucket with probability 7e-10.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = rows.where("doc_id is not null")
     signed = checkpointed(signatures(known, width))
+    if not signed.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
+        known = checkpointed(known.groupBy("doc_id").agg(F.min("text").alias("text")))
+        signed = checkpointed(signatures(known, width))
     classes = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     shared = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     reps = classes.where("n > 0").select(F.col("rep").alias("doc_id"))
-    one_each = checkpointed(signed.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.explode("bands").alias("key")))
+    one_each = checkpointed(signed.join(reps, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key")))
     hubs = one_each.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("size")).where("size > 1")
     members = checkpointed(one_each.join(hubs, "key").select("key", "a", F.col("doc_id").alias("b")))
-    links = _confirmed(checkpointed(members.where("a < b").select("a", "b").distinct()), known, width, percent)
+    links = _confirmed(checkpointed(members.where("a < b").groupBy("b").agg(F.min("a").alias("a"))), known, width, percent)
     groups = checkpointed(_grouped(reps, links))
 
     tagged = checkpointed(members.join(groups.withColumnRenamed("doc_id", "b"), "b").select("key", F.col("b").alias("doc_id"), "group"))
@@ -180,13 +237,17 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     slices = F.ceil(F.col("rows") / SPLIT_ROWS).cast("int")
     spread = tagged.join(mixed, "key").withColumn("hub", (F.col("group") == F.col("largest")) & (slices > 1)).withColumn(
         "slice", F.explode(F.when(F.col("hub"), F.array(F.pmod(F.xxhash64("doc_id"), slices).cast("int"))).otherwise(F.sequence(F.lit(0), slices - 1))))
-    sketches = signed.select("doc_id", "sketch").dropDuplicates(["doc_id"])
-    cross = spread.join(sketches, "doc_id").select("key", "slice", "doc_id", "group", "hub", "sketch").groupBy("key", "slice").applyInArrow(
-        _cross_pairs(percent / 100), "a long, b long")
-    more = _confirmed(checkpointed(cross.distinct()), known, width, percent)
+    sketches = signed.select("doc_id", "n", "sketch", "parity")
+    spread = spread.join(sketches, "doc_id").select("key", "slice", "doc_id", "group", "hub", "n", "sketch", "parity")
+    for spare in (True, False):
+        cross = spread.groupBy("key", "slice").applyInArrow(_cross_pairs(percent, spare), "a long, b long, sure boolean")
+        cross = checkpointed(cross.groupBy("a", "b").agg(F.max("sure").alias("sure")))
+        more = _confirmed(cross.select("a", "b"), known, width, percent)
+        if cross.where("sure").join(more, ["a", "b"], "left_anti").isEmpty():
+            break
     groups = checkpointed(_grouped(reps, links.unionByName(more)))
 
-    found = signed.select("doc_id", "n", "digest").dropDuplicates(["doc_id"]).join(shared, "digest", "left").select(
+    found = signed.select("doc_id", "n", "digest").join(shared, "digest", "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).alias("rep"))
     found = found.join(groups.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("group", "doc_id").alias("component_id"))
     unknown = signatures(rows.where("doc_id is null"), width).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
