@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmeter.llm import decontamination, language, near_dedup, packing, sanitisation, suffix_array, suffix_tree, token_counts, toxicity, winnowing
+from voxelmeter.llm import decontamination, language, near_dedup, oracles, packing, sanitisation, suffix_array, suffix_tree, token_counts, toxicity, winnowing
 from voxelmeter.llm.io import held_out, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,7 +35,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents, learned, keep=(held_out(F.col("doc_id")).alias("held_out"),))
 
 
-@query("op4_decontaminate")
+@query("op4_decontaminate", oracles.CONTAMINATION)
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(decontamination.hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
@@ -59,17 +59,17 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 
 
-@query("op8_near_dedup")
+@query("op8_near_dedup", oracles.NEAR_GROUPS)
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
 
 
-@query("op2_suffix_tree")
+@query("op2_suffix_tree", oracles.WORD_WINDOWS)
 def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.dedup_word_windows(read(spark, sf_dir, "documents")).drop("kept")
 
 
-@query("op10_suffix_array")
+@query("op10_suffix_array", oracles.BYTE_STRINGS)
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.dedup_substrings(read(spark, sf_dir, "documents")).drop("kept")
 
