@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from voxelmeter.functions import ratio, salted_join
 from voxelmeter.operators.masks import CERTIFIED, KEY, OFF_LOCATION, PARTITION, VOXEL, voxel_volume
-from voxelmeter.session import checkpointed
+from voxelmeter.session import checkpointed, release
 
 # Lines after (i, j) in C order that can touch it.
 _FORWARD_LINES = [(0, 1), (1, -1), (1, 0), (1, 1)]
@@ -56,7 +56,9 @@ def components(voxels: DataFrame, key: list[str] = KEY, max_rounds: int = 200) -
 
     # Runs that touch no other run are finished; only the rest takes part in the rounds.
     labels = edges.select(*key, F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
+    moved = None
     for _ in range(max_rounds):
+        before = moved
         pulled = (edges.join(labels.select(*key, F.col("node").alias("b"), "label"), [*key, "b"])
                   .groupBy(*key, F.col("a").alias("node")).agg(F.min("label").alias("near")))
         stepped = labels.join(pulled, [*key, "node"], "left").select(
@@ -67,6 +69,8 @@ def components(voxels: DataFrame, key: list[str] = KEY, max_rounds: int = 200) -
         moved = checkpointed(stepped.join(jump, [*key, "label"]).select(
             *key, "node", F.col("root").alias("label"), (F.col("root") != F.col("was")).alias("changed")))
         labels = moved.drop("changed")
+        if before is not None:
+            release(before)
         if moved.where("changed").isEmpty():
             break
     else:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelmeter.functions import exact_quantiles, ratio, salted_join
 from voxelmeter.operators.masks import KEY, VOXEL
-from voxelmeter.session import checkpointed
+from voxelmeter.session import checkpointed, release
 
 LOW = ["i_lo", "j_lo", "k_lo"]
 HIGH = ["i_hi", "j_hi", "k_hi"]
@@ -352,9 +352,10 @@ def topk_nms(scores: DataFrame, headers: DataFrame, k: int, radius: int, patch:
             "kept", lambda p: start_of(p) == start_of(F.col("next")))
         kept = F.when(fresh, F.concat("kept", F.array("next"))).otherwise(F.col("kept"))
         peaks = F.when(F.col("next").isNotNull(), F.concat("peaks", F.array("next"))).otherwise(F.col("peaks"))
-        state = checkpointed(step.select(
+        before, state = state, checkpointed(step.select(
             *key, "shape", peaks.alias("peaks"), kept.alias("kept"),
             (F.col("done") | F.col("next").isNull() | (F.size(kept) >= k)).alias("done")))
+        release(before)
         if state.where(~F.col("done")).isEmpty():
             break
     out = state.select(*key, "shape", F.posexplode("kept").alias("pos", "p"))

@@ -56,4 +56,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table behind a :func:`checkpointed` frame that nothing will read again, such as the last round of a loop."""
+    path = getattr(df, "_cut_path", None)
+    if path is not None:
+        session = df.sparkSession
+        where = session._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(session._jsc.hadoopConfiguration()).delete(where, True)
