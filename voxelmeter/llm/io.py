@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmeter.session import checkpointed
+from voxelmeter.session import checkpointed, release
 
 
 BATCH_ROWS = 2000
@@ -22,4 +22,4 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-__all__ = ["checkpointed", "held_out", "read"]
+__all__ = ["checkpointed", "held_out", "read", "release"]

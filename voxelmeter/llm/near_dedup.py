@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelmeter.llm.arrays import BYTE_SYMBOLS, LOWER, NOT_SPACE, byte_chunks, mix, word_bounds, word_hashes
-from voxelmeter.llm.io import checkpointed
+from voxelmeter.llm.io import checkpointed, release
 
 BANDS, ROWS = 40, 4
 SKETCH_BITS = 1024
@@ -126,7 +126,8 @@ def _grouped(vertices: DataFrame, links: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = checkpointed(small.where("u <> v").distinct())
+        before_edges, edges = edges, checkpointed(small.where("u <> v").distinct())
+        release(before_edges)
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break
