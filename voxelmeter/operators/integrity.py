@@ -281,7 +281,7 @@ def dedup_candidates(rows: DataFrame, identity: Column, signature: Column, prefe
     tagged = rows.withColumn("identity", identity).withColumn("signature", signature).withColumn("eligible", eligible)
     rank = F.struct(*prefer)
     first = tagged.groupBy("identity").agg(F.min(rank).alias("__first"), F.min_by("signature", rank).alias("__sig"))
-    out = salted_join(tagged, first, ["identity"], prefer)
+    out = tagged.join(first, "identity")  # one row per identity on the right, as many as there are rows; hot identities are split by adaptive execution
     status = (F.when(rank == F.col("__first"), "canonical").when(F.col("signature") == F.col("__sig"), "duplicate").otherwise("conflict"))
     return out.withColumn("status", status).drop("__first", "__sig")
 

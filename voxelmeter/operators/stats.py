@@ -179,7 +179,7 @@ def midrank(df: DataFrame, value: str, by: list[str], digits: int = TIE_DIGITS)
     ranked = ordered_counts(rows, by, "__v")
     at = ranked.select(*by, "__v", (F.col("cum") - F.col("cnt")).alias("less"), F.col("cnt").alias("equal"), (F.col("total") - F.col("cum")).alias("greater"),
                        (100.0 * (F.col("cum") - F.col("cnt") / 2) / F.col("total")).alias("percentile"))
-    return salted_join(rows, at, [*by, "__v"], [c for c in df.columns if c != value]).drop("__v")
+    return rows.join(at, [*by, "__v"]).drop("__v")  # both sides may be large; a hot value is split by adaptive execution
 
 
 def sign_agreement(df: DataFrame, by: list[str], first: str, second: str, tolerance: float = 1e-12) -> DataFrame:

@@ -138,14 +138,15 @@ GUARDS = [("negation", NEGATION, "unknown"), ("ambiguity", AMBIGUITY, "unknown")
 
 
 def _found(text: Column, rules: list) -> Column:
-    """Ids of the matching rules by first position, then end, then id."""
+    """Ids of the matching rules by first position, then end, then id; positions are looked for only where any rule matches."""
     hits = []
     for rule in rules:
         pattern = F.lit("(?U)" + rule[1])
         start = F.regexp_instr(text, pattern)
-        end = start + F.length(F.regexp_substr(text, pattern))
-        hits.append(F.when(start > 0, F.struct(start.alias("s"), end.alias("e"), F.lit(rule[0]).alias("id"))))
-    return F.transform(F.array_sort(F.array_compact(F.array(*hits))), lambda h: h["id"])
+        hits.append(F.when(start > 0, F.struct(start.alias("s"), (start + F.length(F.regexp_substr(text, pattern))).alias("e"), F.lit(rule[0]).alias("id"))))
+    some = text.rlike("(?U)" + "|".join(f"(?:{rule[1]})" for rule in rules))
+    ids = F.transform(F.array_sort(F.array_compact(F.array(*hits))), lambda h: h["id"])
+    return F.when(some, ids).otherwise(F.array().cast("array<string>"))
 
 
 def classify(df: DataFrame, column: str) -> DataFrame:
@@ -381,7 +382,7 @@ def text_audit(df: DataFrame, column: str, by: list[str], primary: list = PRIMAR
         *[F.when(_any(t, p), F.struct(F.lit("cue").alias("kind"), F.lit(n).alias("label"))) for n, _, p in cues]))
     counts = df.select(*by, F.explode(hits).alias("h")).groupBy(*by, "h.kind", "h.label").agg(F.count(F.lit(1)).alias("findings"))
     totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
-    rows = counts.join(F.broadcast(totals), by) if by else counts.crossJoin(F.broadcast(totals))
+    rows = counts.join(totals, by) if by else counts.crossJoin(F.broadcast(totals))
     # One row per rule and group: the window sees at most the size of the rule table.
     rank = F.row_number().over(W.partitionBy(*by, "kind").orderBy(F.desc("findings"), "label"))
     return rows.select(*by, "kind", "label", "findings", (F.col("findings") / F.col("total")).alias("fraction"), rank.alias("rank"))

@@ -7,6 +7,7 @@ inside a task (single-file NIfTI-1, plain or gzip, per the public format).
 from __future__ import annotations
 
 import gzip
+import io
 import struct
 from collections.abc import Iterator
 
@@ -21,6 +22,7 @@ HEADER_DDL = ("path string, shape array<int>, spacing array<double>, affine arra
               "intercept double, axis_codes string")
 VOXEL_DDL = "path string, channel int, i int, j int, k int, value double"
 BATCH = 1_000_000
+HEADER_BYTES = 352
 
 
 def _header(raw: bytes) -> dict:
@@ -44,35 +46,43 @@ def _header(raw: bytes) -> dict:
             "slope": float(slope) if slope else 1.0, "intercept": float(inter) if slope else 0.0, "axis_codes": codes}
 
 
-def _bytes(content) -> bytes:
-    raw = bytes(content)
-    return gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+def _opened(content) -> io.BufferedIOBase:
+    """The volume as a stream, inflated as it is read."""
+    raw = io.BytesIO(content)
+    return gzip.GzipFile(fileobj=raw) if bytes(content[:2]) == b"\x1f\x8b" else raw
 
 
 def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [{"path": p, **_header(_bytes(c))} for p, c in zip(batch.path, batch.content)]
+        rows = [{"path": p, **_header(_opened(c).read(HEADER_BYTES))} for p, c in zip(batch.path, batch.content)]
         yield pd.DataFrame(rows, columns=["path", "shape", "spacing", "affine", "dtype", "slope", "intercept", "axis_codes"])
 
 
 def _voxels(channel_axis: str):
+    """Slab by slab of the two first axes (three with the channel in front), so memory holds one slab and its voxels."""
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch.path, batch.content):
-                raw = _bytes(content)
-                head = _header(raw)
-                flat = np.frombuffer(raw, head["order"] + head["dtype"], offset=head["offset"], count=int(np.prod(head["shape"])))
-                grid = flat.reshape(head["shape"], order="F")
-                if grid.ndim == 3:
-                    grid = grid[None]
-                elif channel_axis == "last":
-                    grid = np.moveaxis(grid, -1, 0)
-                hits = np.argwhere(grid)
-                for start in range(0, len(hits), BATCH):
-                    part = hits[start:start + BATCH]
-                    value = grid[tuple(part.T)].astype(float) * head["slope"] + head["intercept"]
-                    yield pd.DataFrame({"path": path, "channel": part[:, 0], "i": part[:, 1], "j": part[:, 2],
-                                        "k": part[:, 3], "value": value})
+                stream = _opened(content)
+                first = stream.read(HEADER_BYTES)
+                head = _header(first)
+                stream.read(head["offset"] - len(first))
+                shape, kind = head["shape"], np.dtype(head["order"] + head["dtype"])
+                front = len(shape) == 4 and channel_axis != "last"
+                slab, rest = shape[:3 if front else 2], shape[3 if front else 2:]
+                size = int(np.prod(slab))
+                for outer in range(int(np.prod(rest))):
+                    flat = np.frombuffer(stream.read(size * kind.itemsize), kind, count=size)
+                    hits = np.flatnonzero(flat)
+                    inner = np.unravel_index(hits, slab, order="F")
+                    outer_at = [np.full(len(hits), x) for x in np.unravel_index(outer, rest, order="F")]
+                    axes = [*inner, *outer_at]
+                    channel = axes[0] if front else axes[3] if len(shape) == 4 else np.zeros(len(hits), int)
+                    i, j, k = axes[1:4] if front else axes[:3]
+                    for start in range(0, len(hits), BATCH):
+                        cut = slice(start, start + BATCH)
+                        value = flat[hits[cut]].astype(float) * head["slope"] + head["intercept"]
+                        yield pd.DataFrame({"path": path, "channel": channel[cut], "i": i[cut], "j": j[cut], "k": k[cut], "value": value})
     return decode
 
 
