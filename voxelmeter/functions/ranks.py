@@ -51,7 +51,7 @@ def hash_smallest(df: DataFrame, n: int, seed, keys: list[str], by: list[str] |
 
 
 def with_buckets(counted: DataFrame, by: list[str], value: str, buckets: int = 64) -> DataFrame:
-    """Tag each (group, value) row with an ordered bucket from approximate cut points.
+    """Tag each (group, value) row with an ordered bucket: the number of approximate cut points below it.
 
     The cuts only balance the work; correctness needs nothing but their order.
     """
@@ -59,14 +59,8 @@ def with_buckets(counted: DataFrame, by: list[str], value: str, buckets: int = 6
     edges = counted.groupBy(*by).agg(F.percentile_approx(value, cuts, 2000).alias("__edges"))
     joined = counted.join(edges, by) if by else counted.crossJoin(edges)
 
-    def place(lo: int, hi: int) -> Column:
-        """Cuts below the value, by a balanced comparison tree over the cut array."""
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.get("__edges", F.lit(mid)) < F.col(value), place(mid + 1, hi)).otherwise(place(lo, mid))
-
-    return joined.withColumn("__b", place(0, len(cuts))).drop("__edges")
+    below = F.size(F.filter("__edges", lambda e: e < F.col(value)))
+    return joined.withColumn("__b", below).drop("__edges")
 
 
 def tied_row_number(df: DataFrame, by: list[str], value: str, key: str, name: str = "rn") -> DataFrame:

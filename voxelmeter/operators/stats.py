@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from voxelmeter.functions import (bucketed_row_number, exact_quantiles, finite, hash_rank, md5_int, ordered_counts, ratio, salted_join,
                                   trailing_window, two_proportion_p, wilson_high, wilson_low, with_buckets)
 from voxelmeter.operators.masks import KEY
+from voxelmeter.session import checkpointed
 
 # Means compared for order are rounded so that summation order cannot decide.
 TIE_DIGITS = 12
@@ -22,9 +23,11 @@ def describe(df: DataFrame, value: str, by: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("count"), F.avg(v).alias("mean"),
         F.when(F.count(F.lit(1)) > 1, F.var_samp(v)).alias("sample_variance"),
         F.when(F.count(F.lit(1)) > 1, F.stddev_samp(v)).alias("sample_sd"), F.min(v).alias("minimum"), F.max(v).alias("maximum"))
-    qs = exact_quantiles(rows, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    near = salted_join(rows, qs.select(*by, "median"), by, [value]) if by else rows.crossJoin(F.broadcast(qs.select("median")))
-    mad = exact_quantiles(near.withColumn("__dev", F.abs(v - F.col("median"))), by, "__dev", {"mad": 0.5})
+    # Both quantile passes work on counted values, which are kept once.
+    counted = checkpointed(rows.groupBy(*by, v.alias("__v")).agg(F.count(F.lit(1)).alias("__c")))
+    qs = checkpointed(exact_quantiles(counted, by, "__v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, weight=F.col("__c")))
+    near = counted.join(qs.select(*by, "median"), by) if by else counted.crossJoin(F.broadcast(qs.select("median")))
+    mad = exact_quantiles(near.withColumn("__dev", F.abs(F.col("__v") - F.col("median"))), by, "__dev", {"mad": 0.5}, weight=F.col("__c"))
     out = base.join(qs, by).join(mad, by) if by else base.crossJoin(F.broadcast(qs)).crossJoin(F.broadcast(mad))
     return out.withColumn("range", F.col("maximum") - F.col("minimum")).withColumn("iqr", F.col("q3") - F.col("q1"))
 
