@@ -133,3 +133,27 @@ def test_partition_violation(spark):
     regions = pred.withColumn("region", F.lit("contralateral"))
     got = {r.i: (r.part, r.violation) for r in masks.partition_fp(pred, gt, regions).collect()}
     assert got == {0: ("known_positive", True), 1: ("contralateral", False)}
+
+
+def test_components_refuse_indices_that_do_not_fit(spark):
+    for bad in (-1, 1 << 21):
+        with pytest.raises(Exception, match="voxel index outside"):
+            components.components(spark.createDataFrame([(1, 0, 0, 0, 0), (1, 0, 0, bad, 0)], VOX)).collect()
+
+
+def test_peaks_never_come_back_short(spark):
+    # All scores equal on one long axis: most peaks map to a start that is already there.
+    rows = [(1, 0, i, 0, 0, 1.0) for i in range(12)]
+    df, h = spark.createDataFrame(rows, VOX + ", score double"), headers(spark, [1], (12, 1, 1), (1, 1, 1))
+    got = sorted((r["rank"], r.i, r.si) for r in grids.topk_nms(df, h, 2, 0, (10, 1, 1)).collect())
+    assert got == [(1, 0, 0), (2, 6, 1)]
+    with pytest.raises(RuntimeError):
+        grids.topk_nms(df, h, 2, 0, (10, 1, 1), max_attempts=3)
+
+
+def test_full_inclusion_of_an_empty_truth_is_an_option(spark):
+    proposals = spark.createDataFrame([(1, 0, 1, 0, 0, 0)], "case_id bigint, finding_id int, rank int, si int, sj int, sk int")
+    findings, none = spark.createDataFrame([(1, 0), (2, 0)], "case_id bigint, finding_id int"), spark.createDataFrame([], VOX)
+    for option in (False, True):
+        rows = {r.case_id: r for r in grids.proposal_metrics(proposals, none, findings, (2, 2, 2), (1,), empty_included=option).collect()}
+        assert rows[1].full_inclusion_at_1 is option and rows[2].full_inclusion_at_1 is False and rows[1].hit_at_1 is False
