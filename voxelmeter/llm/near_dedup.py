@@ -105,10 +105,8 @@ def _sets(documents: DataFrame, width: int) -> DataFrame:
     return documents.mapInArrow(run, "doc_id long, found array<long>")
 
 
-def _confirmed(pairs: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets meet the threshold. A hot ``a`` is a skewed join, which Spark splits."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = checkpointed(_sets(documents.join(ids, "doc_id", "left_semi"), width))
     one = sets.select(F.col("doc_id").alias("a"), F.col("found").alias("found_a"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("found").alias("found_b"))
     both = pairs.join(two, "b").join(one, "a").withColumn("inter", F.size(F.array_intersect("found_a", "found_b")))
@@ -229,7 +227,10 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     one_each = checkpointed(signed.join(reps, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key")))
     hubs = one_each.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("size")).where("size > 1")
     members = checkpointed(one_each.join(hubs, "key").select("key", "a", F.col("doc_id").alias("b")))
-    links = _confirmed(checkpointed(members.where("a < b").groupBy("b").agg(F.min("a").alias("a"))), known, width, percent)
+    # Every pair below is of documents that share a bucket. Their number grows with the input, so their ids are never broadcast.
+    candidates = members.select(F.col("b").alias("doc_id")).distinct().hint("merge")
+    sets = checkpointed(_sets(known.join(candidates, "doc_id", "left_semi"), width))
+    links = _confirmed(checkpointed(members.where("a < b").groupBy("b").agg(F.min("a").alias("a"))), sets, percent)
     groups = checkpointed(_grouped(reps, links))
 
     tagged = checkpointed(members.join(groups.withColumnRenamed("doc_id", "b"), "b").select("key", F.col("b").alias("doc_id"), "group"))
@@ -243,7 +244,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     for spare in (True, False):
         cross = spread.groupBy("key", "slice").applyInArrow(_cross_pairs(percent, spare), "a long, b long, sure boolean")
         cross = checkpointed(cross.groupBy("a", "b").agg(F.max("sure").alias("sure")))
-        more = _confirmed(cross.select("a", "b"), known, width, percent)
+        more = _confirmed(cross.select("a", "b"), sets, percent)
         if cross.where("sure").join(more, ["a", "b"], "left_anti").isEmpty():
             break
     groups = checkpointed(_grouped(reps, links.unionByName(more)))
