@@ -116,12 +116,12 @@ def b6(spark, sf):
 
 def _segments(spark, sf):
     """Journals with lost rows, a repeated overlap and a few contradicting copies."""
-    j = fx.journal(spark, sf).where("loss >= 1").select("arm", "global_update", "loss")
+    j = fx.journal(spark, sf).select("arm", F.expr("global_update + global_update div 100").alias("global_update"), "loss")  # a gap after each 99 updates
     again = j.where("loss > 50").withColumn("loss", F.when(F.col("loss") > 200, F.col("loss") + 1).otherwise(F.col("loss")))
     return j.union(again)
 
 
-_J = "j as materialized (select arm, global_update, loss from journal where loss >= 1)"
+_J = "j as materialized (select arm, global_update + global_update // 100 as global_update, loss from journal)"
 
 
 @query("b7_merge_journal", sql("select arm, global_update, round(loss,6)+0.0 as loss from j where loss <= 200", "journal", extra=_J))

@@ -314,10 +314,10 @@ def f15(spark, sf):
     return st.rolling(_curve(spark, sf), ["arm"], "global_update", "loss", 100).drop("loss")
 
 
-@query("f15_rolling_range", sql(f"""select arm, global_update, {r('avg(loss) over w', 9)} as rolling_mean, count(loss) over w as rolling_n from cv where loss is null or loss >= 20
+@query("f15_rolling_range", sql(f"""select arm, global_update, {r('avg(loss) over w', 9)} as rolling_mean, count(loss) over w as rolling_n from (select * replace (global_update + global_update // 10 * 40 as global_update) from cv)
  window w as (partition by arm order by global_update range between 49 preceding and current row)""", "journal", extra=_CV), digits=9)
 def f15b(spark, sf):
-    rows = _curve(spark, sf).where("loss is null or isnan(loss) or loss >= 20")
+    rows = _curve(spark, sf).withColumn("global_update", F.expr("global_update + global_update div 10 * 40"))  # gaps
     return st.rolling(rows, ["arm"], "global_update", "loss", 50, by_range=True).drop("loss")
 
 
