@@ -140,6 +140,14 @@ def test_contamination(spark, texts):
 
 
 def test_benchmark_passages_are_cut(spark, texts):
+    rows = [(1, "clean text")] * 9 + [(2, "before " + texts[5] + " behind" * 80)] * 2 + [(3, None)] * 9
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)  # batches with and without hits in one partition
+    try:
+        item = spark.createDataFrame([(1, texts[5])], "item_id int, text string")
+        many = decontamination.remove_spans(make(spark, rows).coalesce(1), item).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r.text or "" for r in many) == sorted([*["clean text"] * 9, *["before  " + ("behind " * 80).strip()] * 2, *[""] * 9])
     item = " ".join(f"t{i}" for i in range(14))
     docs = make(spark, [(1, "Left, " * 30 + item.upper() + "! right"), (2, item), (3, None), (4, "clean text"), (None, "also " + item + " end" * 30)])
     got = {r.doc_id: r for r in decontamination.remove_spans(docs, spark.createDataFrame([(1, item)], "item_id int, text string")).collect()}

@@ -146,9 +146,7 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, n: int = N_GRAM, dr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = {c: batch.column(c) for c in names}
-            if not any(lo := columns["__lo"].to_pylist()):
-                yield batch
-                continue
+            lo = columns["__lo"].to_pylist()
             texts, keep, hi = columns["text"].to_pylist(), [], columns["__hi"].to_pylist()
             sizes = columns["n_chars"].to_pylist() if counted else []
             for i, spans in enumerate(lo):
