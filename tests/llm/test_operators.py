@@ -187,6 +187,17 @@ def test_revealing_terms_are_spans_and_go(spark):
     assert clean[50].text == docs[50] and clean[None].text == "[EMAIL]" and clean[999].text is None and clean[0].n_chars == len(clean[0].text)
 
 
+def test_terms_within_personal_data_leave_nothing_of_it(spark, monkeypatch):
+    terms = ["smith", "acme", "1111", "4567", "joséph", "mail"]
+    monkeypatch.setattr(sanitisation, "_with_terms", lambda docs, _: docs.withColumn("__terms", F.array(*map(F.lit, terms))))
+    cases = {"to john.smith@acme.com, Smith": "to [EMAIL], [TERM]", "4111 1111 1111 1111 smith": "[CARD] [TERM]", "call +49 30 123 4567 now, acme": "call [PHONE] now, [TERM]",
+             "+1 212 555 4567 4111": "[PHONE]", "4111111111111111 1.2.3.4": "[CARD] [IP]", "4111111111111111@a.de": "[EMAIL]", "a@1.2.3.4 mail": "[EMAIL] [TERM]",
+             "\U0001F600 joséph@x.org \U0001F600": "\U0001F600 [EMAIL] \U0001F600", "acme-smith": "[TERM]-[TERM]", "none here": "none here"}
+    cases |= {"é smith a@b.cd " * 700: "é [TERM] [EMAIL] " * 700}
+    got = {r.doc_id: r.text for r in sanitisation.sanitise(make(spark, enumerate(cases))).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
 def test_masking_takes_valid_matches_only(spark):
     rows = dict(enumerate(x for x in PII if x is None or len(x) < 3000))
     got = {r.doc_id: r.text for r in sanitisation.sanitise(make(spark, rows.items())).collect()}

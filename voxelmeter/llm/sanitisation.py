@@ -37,14 +37,14 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _prefix_sums(steps: Column) -> Column:
-    """Running sums of an array, in blocks so that long arrays take little more than linear time."""
+def _running(steps: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running sums, or other joins that leave a number joined with 0, of an array of numbers from 0, in blocks so that long arrays take little more than linear time."""
     def inner(block: Column) -> Column:
-        return F.aggregate(block, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
+        return F.aggregate(block, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(join(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)), x))))
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _BLOCK).cast("int")), lambda b: inner(F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK))))
     return let(blocks, lambda sums: let(
-        F.aggregate(sums, F.array(F.lit(0)), lambda acc, block: F.concat(acc, F.array(F.element_at(acc, -1) + F.element_at(block, -1)))),
-        lambda offsets: F.flatten(F.transform(sums, lambda block, i: F.transform(block, lambda x: x + F.get(offsets, i))))))
+        F.aggregate(sums, F.array(F.lit(0)), lambda acc, block: F.concat(acc, F.array(join(F.element_at(acc, -1), F.element_at(block, -1))))),
+        lambda offsets: F.flatten(F.transform(sums, lambda block, i: F.transform(block, lambda x: join(x, F.get(offsets, i)))))))
 
 
 def _luhn(digits: Column) -> Column:
@@ -73,7 +73,7 @@ def _cut(kind: str, text: Column) -> Column:
 def _placed(found: Column, gaps: Column, kind: int, valid: Callable[[Column], Column]) -> Column:
     """Spans of the valid matches, in code points."""
     steps = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.when(i > 0, F.length(F.get(found, i - 1))).otherwise(F.lit(0)))
-    spans = F.zip_with(found, _prefix_sums(steps), lambda m, start: F.struct(
+    spans = F.zip_with(found, _running(steps, lambda a, b: a + b), lambda m, start: F.struct(
         start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(m)).alias("end"), m.alias("value")))
     return F.filter(spans, lambda s: valid(s["value"]))
 
@@ -140,15 +140,18 @@ def _term_cut(text: Column, terms: Column) -> Column:
     return F.when(terms.isNotNull(), let(found, lambda f: F.when(F.size(f) > 0, F.struct(f.alias("found"), F.split(text, _term_pattern(terms), -1).alias("gaps")))))
 
 
+def _term_spans(text: Column, terms: Column) -> Column:
+    spans = let(_term_cut(text, terms), lambda c: F.when(c.isNotNull(), _placed(c["found"], c["gaps"], len(KINDS), lambda m: F.lit(True))))
+    return F.coalesce(spans, F.array().cast(_SPAN))
+
+
 def find(documents: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """(doc_id, base, terms) per row: spans of personal data, and of terms that reveal it, in code points.
 
     A null text is empty. Terms come from the documents with the same doc_id that name an entity; a row without doc_id gets base spans only.
     """
     marked = _with_terms(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), disclosure)
-    none = F.array().cast(_SPAN)
-    spans = let(_term_cut(F.col("text"), F.col("__terms")), lambda c: F.when(c.isNotNull(), _placed(c["found"], c["gaps"], len(KINDS), lambda m: F.lit(True))))
-    return marked.select("doc_id", base_spans(F.col("text")).alias("base"), F.coalesce(spans, none).alias("terms"))
+    return marked.select("doc_id", base_spans(F.col("text")).alias("base"), _term_spans(F.col("text"), F.col("__terms")).alias("terms"))
 
 
 def _listed(spans: Column) -> Column:
@@ -173,16 +176,46 @@ def _masked(text: Column, kind: str, cut: Column) -> Column:
     return let(cut, lambda c: F.when(c.isNotNull(), glue(c)).otherwise(text))
 
 
+def _merged(spans: Column) -> Column:
+    """Spans that overlap as one, from the first start to the last end, of the first of their kinds; terms are the last kind."""
+    def of(s: Column, reach: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["start"] >= F.get(reach, i - 1)))
+        return let(firsts, lambda at: F.transform(at, lambda i, k: let(F.coalesce(F.get(at, k + 1), F.size(s)), lambda stop: F.struct(
+            F.get(s, i)["start"].alias("start"), F.get(reach, stop - 1).alias("end"), F.array_min(F.transform(F.slice(s, i + 1, stop - i), lambda x: x["kind"])).alias("kind")))))
+    return let(F.sort_array(spans), lambda s: let(_running(F.transform(s, lambda x: x["end"]), F.greatest), lambda reach: of(s, reach)))
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """The text with placeholders for its spans, of which there is one at least; in blocks, as finding a place takes time with its distance from the front."""
+    names = F.array(*(F.lit(PLACEHOLDERS[k]) for k in (*KINDS, "term")))
+
+    def block(m: Column, b: Column) -> Column:
+        def glue(part: Column, front: Column) -> Column:
+            own = F.substr(text, front + 1, F.element_at(part, -1)["end"] - front)
+
+            def piece(stretch: Column, s: Column, i: Column) -> Column:
+                before = F.coalesce(F.get(part, i - 1)["end"], front)
+                return F.concat(F.substr(stretch, before - front + 1, s["start"] - before), F.get(names, s["kind"]))
+            return let(own, lambda stretch: F.array_join(F.transform(part, lambda s, i: piece(stretch, s, i)), ""))
+        return let(F.slice(m, b * _BLOCK + 1, F.lit(_BLOCK)), lambda part: let(F.coalesce(F.get(m, b * _BLOCK - 1)["end"], F.lit(0)), lambda front: glue(part, front)))
+    return let(_merged(spans), lambda m: F.concat(
+        F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / _BLOCK).cast("int")), lambda b: block(m, b)), ""),
+        F.substr(text, F.element_at(m, -1)["end"] + 1)))
+
+
 def sanitise(documents: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """Documents whose texts have placeholders for personal data and generalised terms; columns as given.
 
-    Terms are replaced first, then one kind after another. Null and other texts stay; a column ``n_chars`` follows a changed text.
+    All spans that ``find`` gives, those of the text as it came, are replaced at once; overlapping ones by one placeholder, that of a
+    base kind if there is one. What becomes a match only by that, as a card number behind which an address stood, is then replaced kind
+    after kind. Null and other texts stay; a column ``n_chars`` follows a changed text.
     """
-    marked = _with_terms(documents, disclosure)
+    marked = _with_terms(documents, disclosure).withColumn("__old", F.col("text").cast("string"))
     kind = documents.schema["text"].dataType
-    step = marked.withColumn("__text", _masked(F.col("text").cast("string"), "term", _term_cut(F.col("text").cast("string"), F.col("__terms"))))
+    step = marked.withColumn("__spans", F.concat(base_spans(F.col("__old")), _term_spans(F.col("__old"), F.col("__terms"))))
+    step = step.withColumn("__text", F.when(F.size("__spans") > 0, _replaced(F.col("__old"), F.col("__spans"))).otherwise(F.col("__old")))
     for k in KINDS:
-        step = step.withColumn("__text", _masked(F.col("__text"), k, _cut(k, F.col("__text"))))
+        step = step.withColumn("__text", F.when(F.size("__spans") > 0, _masked(F.col("__text"), k, _cut(k, F.col("__text")))).otherwise(F.col("__text")))
     changed = F.col("text").isNotNull() & (F.col("__text") != F.col("text"))
     out = {"text": F.when(changed, F.col("__text").cast(kind)).otherwise(F.col("text"))}
     if "n_chars" in documents.columns:
