@@ -187,6 +187,23 @@ def test_revealing_terms_are_spans_and_go(spark):
     assert clean[50].text == docs[50] and clean[None].text == "[EMAIL]" and clean[999].text is None and clean[0].n_chars == len(clean[0].text)
 
 
+def test_revealing_terms_go_without_their_entity(spark, monkeypatch):
+    rng = random.Random(2)
+    filler = [f"word{i}" for i in range(400)]
+    docs = {i: " ".join(rng.choice(filler) for _ in range(40)) for i in range(400)}
+    for i in range(6):
+        docs[i] = f"{docs[i]} Zanzibarov met {rng.choice(filler)} at z@q.org {docs[i + 100]}"
+    docs[390] += " then zanzibarov left"  # the name alone, and a longer word
+    docs[391] += " Zanzibarovs"
+    rows = [*docs.items(), (None, "Mr. Zanzibarov, no id"), (5, "ZANZIBAROV again"), (7000, None)]
+    for bound in (sanitisation.BROADCAST_TERMS, 0):
+        monkeypatch.setattr(sanitisation, "BROADCAST_TERMS", bound)
+        found = sanitisation.report(sanitisation.find(make(spark, rows))).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.n_term) for r in found if r.n_term) == [*((False, i, 1) for i in (0, 1, 2, 3, 4, 5, 5, 390)), (True, 0, 1)]
+        clean = sanitisation.sanitise(make(spark, rows)).collect()
+        assert len(clean) == len(rows) and {r.text for r in clean if r.doc_id in (None, 390, 391)} == {docs[390].replace("zanzibarov", "[TERM]"), docs[391], "Mr. [TERM], no id"}
+
+
 def test_terms_within_personal_data_leave_nothing_of_it(spark, monkeypatch):
     terms = ["smith", "acme", "1111", "4567", "joséph", "mail"]
     monkeypatch.setattr(sanitisation, "_with_terms", lambda docs, _: docs.withColumn("__terms", F.array(*map(F.lit, terms))))

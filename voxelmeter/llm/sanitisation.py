@@ -2,7 +2,7 @@
 
 Patterns find the protected entities. How strongly a term reveals one is estimated from the corpus: by the pointwise
 mutual information of term and entity, against the information content of the entity itself. Terms that disclose more
-than a share of that content are spans of their own, to be generalised where their entity is named.
+than a share of that content are spans of their own, to be generalised in every document that holds them.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelmeter.llm.io import checkpointed
+
 # The kinds in their order. Possessive repeats and starts at the front of a run keep each search linear; they
 # match what the plain patterns match.
 KINDS = ("email", "ip", "card", "phone")
@@ -28,6 +30,7 @@ CONTEXT_CHARS = 80
 DISCLOSURE = 0.5
 MIN_CONTEXTS = 3
 MIN_SHARE = 0.5
+BROADCAST_TERMS = 500_000
 _BLOCK = 256
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -98,6 +101,10 @@ def _contexts(text: Column) -> Column:
     return F.concat(*(one(k) for k in KINDS))
 
 
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+
+
 def disclosing_terms(documents: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """(entity, term): terms that give away more than ``disclosure`` of what naming the entity itself would.
 
@@ -112,10 +119,10 @@ def disclosing_terms(documents: DataFrame, disclosure: float = DISCLOSURE) -> Da
         "c.entity", F.regexp_replace(F.lower("c.context"), r"[^\p{L}\p{N}]+", " ").alias("context"))
     contexts = seen.groupBy("entity", "context").agg(F.count("*").alias("times"))
     entities = contexts.groupBy("entity").agg(F.count("*").alias("contexts"), F.sum("times").alias("times")).where(F.col("contexts") >= MIN_CONTEXTS)
-    words = contexts.select("entity", F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), F.lit(0)))).alias("term"))
+    words = contexts.select("entity", F.explode(_words(F.col("context"))).alias("term"))
     pairs = words.groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= MIN_CONTEXTS).join(entities, "entity").where(
         F.col("together") >= MIN_SHARE * F.col("contexts"))
-    held = documents.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("holders"))
+    held = documents.select(F.explode(_words(F.lower(text))).alias("term")).groupBy("term").agg(F.count("*").alias("holders"))
     known = pairs.join(held, "term").crossJoin(F.broadcast(total))  # one row
     pmi = F.log(F.col("together") / F.col("contexts") / (F.col("holders") / F.col("docs")))
     content = -F.log(F.least(F.col("times") / F.col("docs"), F.lit(1.0)))
@@ -123,12 +130,16 @@ def disclosing_terms(documents: DataFrame, disclosure: float = DISCLOSURE) -> Da
 
 
 def _with_terms(documents: DataFrame, disclosure: float) -> DataFrame:
-    """The rows with ``__terms``: what to look for in each, null if nothing."""
-    disclosing = disclosing_terms(documents, disclosure)
+    """The rows with ``__terms``: the disclosing terms that each holds, whether or not it names their entity; null if none."""
+    disclosing = checkpointed(disclosing_terms(documents, disclosure).select("term").distinct())
+    if disclosing.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        disclosing = F.broadcast(disclosing)  # of bounded size; the words of all documents are not shuffled then
     text = F.col("text").cast("string")
-    named = documents.where(text.isNotNull()).select(F.col("doc_id").alias("__named"), F.explode(F.array_distinct(F.transform(_contexts(text), lambda c: c["entity"]))).alias("entity"))
-    terms = named.join(disclosing, "entity").groupBy("__named").agg(F.sort_array(F.collect_set("term")).alias("__terms"))
-    return documents.join(terms, F.col("doc_id") == F.col("__named"), "left").drop("__named")
+    # Which terms a text holds follows from the text, so rows that share a key do no harm.
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text))
+    words = documents.where(text.isNotNull()).select(key.alias("__named"), F.explode(_words(F.lower(text))).alias("term"))
+    terms = words.join(disclosing, "term").groupBy("__named").agg(F.sort_array(F.collect_set("term")).alias("__terms"))
+    return documents.join(terms, key == F.col("__named"), "left").drop("__named")
 
 
 def _term_pattern(terms: Column) -> Column:
@@ -148,7 +159,7 @@ def _term_spans(text: Column, terms: Column) -> Column:
 def find(documents: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """(doc_id, base, terms) per row: spans of personal data, and of terms that reveal it, in code points.
 
-    A null text is empty. Terms come from the documents with the same doc_id that name an entity; a row without doc_id gets base spans only.
+    A null text is empty. Terms are looked for in all documents, also where their entity is not named.
     """
     marked = _with_terms(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), disclosure)
     return marked.select("doc_id", base_spans(F.col("text")).alias("base"), _term_spans(F.col("text"), F.col("__terms")).alias("terms"))
