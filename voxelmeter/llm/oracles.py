@@ -43,3 +43,23 @@ kept as (select doc_id, string_agg(substr(h, 2 * prev + 1, 2 * (lo - prev)), ''
  (select *, coalesce(lag(hi) over (partition by doc_id order by lo), 0) as prev from runs) join h using (doc_id) group by 1)
 select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n, 0)::bigint as n_removed, coalesce(spans, 0) as n_spans,
  sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256 from h left join kept using (doc_id)"""
+
+_TERMS = rf"regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED_SEARCH = rf"""
+with tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest({_TERMS}) as term from documents) group by all),
+n as (select doc_id, sum(tf)::bigint as n from tf group by 1),
+total as (select count(*) as docs, sum(n)::bigint as terms from n),
+q as (select distinct item_id, unnest({_TERMS}) as term from benchmark),
+w as (select term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::bigint as w from tf, total where term in (select term from q) group by 1),
+m as (select doc_id, 100 - 50 + (50 * n * docs) // terms as m from n, total),
+scores as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint as score from q join w using (term) join tf using (term) join m using (doc_id) group by all),
+ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from scores where score > 0)
+select * from ranked where rank <= 50"""
+
+INNER_PRODUCTS = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as c from embeddings
+ where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (select q.vec_id as query_id, v.vec_id as vec_id, list_inner_product(q.c, v.c)::bigint as score from v q join v on v.vec_id <> q.vec_id where q.vec_id % 20 = 0),
+ranked as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from scores)
+select * from ranked where rank <= 20"""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmeter.llm import decontamination, language, near_dedup, oracles, packing, sanitisation, suffix_array, suffix_tree, token_counts, toxicity, winnowing
+from voxelmeter.llm import (decontamination, exact_search, language, lexical_search, near_dedup, oracles, packing, sanitisation, suffix_array, suffix_tree,
+                            token_counts, toxicity, whitening, winnowing)
 from voxelmeter.llm.io import held_out, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +83,18 @@ def op3_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_winnow")
 def op7_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprints(read(spark, sf_dir, "documents"))
+
+
+@query("op11_search", oracles.RANKED_SEARCH)
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op12_top_k", oracles.INNER_PRODUCTS)
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.top_k(read(spark, sf_dir, "embeddings"))
+
+
+@query("op13_whiten")
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
