@@ -148,6 +148,9 @@ def test_benchmark_passages_are_cut(spark, texts):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(r.text or "" for r in many) == sorted([*["clean text"] * 9, *["before  " + ("behind " * 80).strip()] * 2, *[""] * 9])
+    for limit in (64 << 20, 60):  # in one slice, and in several with written hits
+        cut = decontamination.remove_spans(make(spark, [(1, "left " + texts[5] + " right" * 80)]), spark.createDataFrame([(1, texts[5]), (2, "q r s t"), (3, "u v w")], "item_id int, text string"), max_broadcast_bytes=limit)
+        assert [r.text for r in cut.collect()] == ["left " + " right" * 80]
     item = " ".join(f"t{i}" for i in range(14))
     docs = make(spark, [(1, "Left, " * 30 + item.upper() + "! right"), (2, item), (3, None), (4, "clean text"), (None, "also " + item + " end" * 30)])
     got = {r.doc_id: r for r in decontamination.remove_spans(docs, spark.createDataFrame([(1, item)], "item_id int, text string")).collect()}
@@ -246,17 +249,43 @@ def test_tokens_survive_packing(spark, texts):
     assert packing.pack(make(spark, docs).limit(0), path).count() == 0
 
 
-def test_packer_keeps_every_token():
+def test_packer_fills_each_tier():
     rng = random.Random(4)
-    packer = packing._Packer((16, 8, 4), 0, 64)
-    for _ in range(200):
-        lengths = [rng.randint(1, 60) for _ in range(rng.randint(0, 12))]
-        rows = packer.pack(lengths)
+    for _ in range(60):
+        packer, rows, lengths = packing.Packer((16, 8, 4), 7), [], []
+        for _ in range(rng.randint(1, 4)):  # pools
+            for _ in range(rng.randint(0, 25)):
+                lengths.append(rng.randint(1, 60))
+                rows += packer.route(len(lengths) - 1, lengths[-1])
+            rows += packer.pack()
+            assert sum(p[0] for p in packer.todo) < 16
+        rows += packer.close()
         for r, n in enumerate(lengths):
             own = sorted((p[1], p[2]) for p in rows if p[0] == r)
-            assert sum(b for _, b in own) == n and all(a + b == c for (a, b), (c, _) in zip(own, own[1:], strict=False))
-        short = {p[3] for p in rows if p[6] not in (16, 8, 4)}
-        assert len(short) <= 1
+            assert own[0][0] == 0 and sum(b for _, b in own) == n and all(a + b == c for (a, b), (c, _) in zip(own, own[1:], strict=False))
+        total, tier = {}, {}
+        for _, _, length, sequence, offset, size, whole, _ in sorted(rows, key=lambda p: (p[3], p[4])):
+            assert offset == total.get(sequence, 0)
+            total[sequence], tier[sequence] = offset + length, (size, whole)
+        assert all(total[s] == whole for s, (_, whole) in tier.items()) and sum(size != whole for size, whole in tier.values()) <= 1
+    packer = packing.Packer((16, 8, 4), 0)
+    for row, n in enumerate([6, 5, 12, 3, 2, 1, 4]):
+        packer.route(row, n)
+    # The window of 16 is filled by the longest piece that fits its gap, those of 8 likewise, a window of 4 by a short document.
+    assert [(s, row) for row, _, _, s, *_ in packer.pack()] == [(0, 2), (0, 6), (1, 0), (1, 4), (2, 1), (2, 3)] and packer.todo == [(1, 5, 0)]
+
+
+def test_step_groups_weigh_alike(spark):
+    path = queries.tokenizer("word_bpe_49k.json")
+    rng = random.Random(9)
+    docs = make(spark, [(i, " ".join(rng.choice(["a", "to", "of", "x"]) for _ in range(rng.choice([3, 60, 150, 400, 900, 5000])))) for i in range(500)]).repartition(5)
+    rows = packing.pack(docs, path, step_tokens=20_000).toPandas()
+    sequences = rows.drop_duplicates("sequence_id")
+    assert set(sequences.tier) == set(packing.TIERS)
+    assert (sequences.tier != sequences.sequence_length).sum() <= 5  # one for each partition
+    for tier, own in sequences.groupby("tier"):
+        weights = own.groupby("step_group").tier.sum()
+        assert weights.max() - weights.min() <= tier and sorted(weights.index) == list(range(len(weights))) and len(weights) == max(1, round(own.tier.sum() / 20_000))
 
 
 def test_longest_match_counts():
@@ -426,3 +455,35 @@ def test_pipeline_stages(spark, texts, tmp_path):
     assert texts[5].split()[20:40] not in [got[6].split()[a:a + 20] for a in range(len(got[6].split()))]
     pieces = corpus_pipeline.run(spark, sf).toPandas()
     assert isinstance(pieces, pd.DataFrame) and set(pieces.doc_id) == set(got)
+
+
+def test_pipeline_on_odd_tables(spark, texts, tmp_path):
+    """Rows that repeat or lack a doc_id are compared each for itself; empty tables go through all stages."""
+    import corpus_pipeline
+    kind = "doc_id long, text string, lang string, source string, n_chars long, key int"
+    long = texts[13]
+    rows = [(1, long), (1, long), (1, texts[6]), (None, long), (None, texts[70] + " and more of it"), (None, None), (4, None), (4, ""), (5, texts[6]), (None, texts[8])]
+    docs = spark.createDataFrame([(i, t, None, None, len(t or ""), 3) for i, t in rows], kind).repartition(3)
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got.collect())
+    assert kept == sorted([(False, 1, long), (False, 1, texts[6]), (True, 0, texts[70] + " and more of it"), (True, 0, ""), (False, 4, ""), (False, 4, ""), (True, 0, texts[8])])
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, texts[5]), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, None, 1), (5, 0, None)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    docs.write.parquet(f"{sf}/documents.parquet")
+    pieces = corpus_pipeline.run(spark, sf).toPandas()
+    assert (pieces.start == 0).sum() == len(kept)
+    assert corpus_pipeline.drop_toxic(spark, docs, sf).columns == docs.columns
+    empty = str(tmp_path / "empty")
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_more_significant_tokens_than_fit_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_TOKENS", 1)
+    docs = make(spark, [(i, "vile scum idiot " * 9 if i % 2 else "fine kind words " * 9) for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    with pytest.raises(ValueError, match="significant"):
+        toxicity.learn(docs, toxicity.training_rows(labels, F.lit(False)))

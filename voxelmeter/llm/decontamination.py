@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from voxelmeter.llm.arrays import ALNUM, LOWER, Rolling, byte_chunks, hash_text_words, word_bounds, word_hashes
+from voxelmeter.llm.arrays import ALNUM, LOWER, Rolling, byte_chunks, hash_text_words, thrifty, word_bounds, word_hashes
+from voxelmeter.llm.io import checkpointed, release
 
 N_GRAM = 10
 MAX_BROADCAST_BYTES = 64 << 20
@@ -64,11 +66,14 @@ class _Windows:
         return hits, np.diff(first)
 
 
-def _scan(rows: DataFrame, items: list[tuple[str, bytes]], n: int) -> DataFrame:
-    """Adds the hits of these items to the columns __lo, __hi and __items of each row."""
+Finish = Callable[[list[str], Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _scan(rows: DataFrame, items: list[tuple[str, bytes]], n: int, finish: Finish | None = None, schema: StructType | str | None = None) -> DataFrame:
+    """Adds the hits of these items to the columns __lo, __hi and __items of each row; ``finish`` works on the outcome in the same step."""
     names = rows.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = _Windows(items, n)
         for batch in batches:
             columns = {c: batch.column(c) for c in names}
@@ -87,10 +92,14 @@ def _scan(rows: DataFrame, items: list[tuple[str, bytes]], n: int) -> DataFrame:
             columns |= {"__n": pa.array(n_words), "__lo": pa.array(lo, pa.list_(pa.int32())), "__hi": pa.array(hi, pa.list_(pa.int32())),
                         "__items": pa.array(found, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
-    return rows.mapInArrow(run, rows.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return finish(names, found_in(batches)) if finish else found_in(batches)
+    return rows.mapInArrow(thrifty(run), schema or rows.schema)
 
 
-def _scanned(rows: DataFrame, benchmark: DataFrame, n: int, max_broadcast_bytes: int) -> DataFrame:
+def _scanned(rows: DataFrame, benchmark: DataFrame, n: int, max_broadcast_bytes: int, finish: Finish | None = None, schema: StructType | str | None = None) -> DataFrame:
+    """One scan of the rows for each slice of the items; the hits of a slice are written before the next, so no task holds two."""
     folded = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     wanted = benchmark.select(F.col("item_id").cast("string").alias("item"), F.array_join(F.regexp_extract_all(folded, F.lit(WORD), 0), " ").alias("words")).where(
         "words <> '' and item is not null").distinct()
@@ -99,8 +108,11 @@ def _scanned(rows: DataFrame, benchmark: DataFrame, n: int, max_broadcast_bytes:
     out = rows.withColumns({"__n": F.lit(0).cast("long"), "__lo": F.array().cast("array<int>"), "__hi": F.array().cast("array<int>"), "__items": F.array().cast("array<string>")})
     for k in range(slices):
         own = wanted if slices == 1 else wanted.where(F.pmod(F.xxhash64("words"), F.lit(slices)) == k)
-        out = _scan(out, [(r["item"], r["words"].encode()) for r in own.toLocalIterator()], n)
-    return out
+        items, before = [(r["item"], r["words"].encode()) for r in own.toLocalIterator()], out
+        if k == slices - 1:
+            return _scan(out, items, n, finish, schema)
+        out = checkpointed(_scan(out, items, n))
+        release(before)
 
 
 def hits(documents: DataFrame, benchmark: DataFrame, n: int = N_GRAM, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
@@ -109,7 +121,8 @@ def hits(documents: DataFrame, benchmark: DataFrame, n: int = N_GRAM, max_broadc
     Text is folded to ASCII lower case and cut into words of letters, digits and characters beyond ASCII. An item of
     fewer than ``n`` words is one window; an item without words, without id or null has none. A null text has no words.
     Every row is scanned for itself, whether or not its doc_id repeats or is null. An item set larger than
-    ``max_broadcast_bytes`` is cut into slices by a hash of the item, and rows pass one scan per slice.
+    ``max_broadcast_bytes`` is cut into slices by a hash of the item, and rows pass one scan per slice, one after the other. A
+    text may be as long as a row may; it is scanned whole.
     """
     out = _scanned(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, n, max_broadcast_bytes)
     return out.select("doc_id", F.col("__n").alias("n_words"), F.col("__lo").alias("lo"), F.col("__hi").alias("hi"), F.col("__items").alias("items"))
@@ -130,7 +143,7 @@ def report(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in batch.column("items").to_pylist()], pa.int64()),
                  pa.array(digests), pa.array([h > 0 for h in n_hit])], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-    return found.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return found.mapInArrow(thrifty(run), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, n: int = N_GRAM, drop_above: float = 0.5,
@@ -140,14 +153,15 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, n: int = N_GRAM, dr
     A document more than ``drop_above`` of whose words are hit goes as a whole. The stretch from the first to the last
     hit word of a run is cut out of the text; a column ``n_chars`` follows it. Other rows, columns and null texts stay.
     """
-    rows = _scanned(documents, benchmark, n, max_broadcast_bytes)
-    names, counted = rows.columns, "n_chars" in documents.columns
+    own = documents.columns
+    counted = "n_chars" in own
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c for c in names if c in own]
         for batch in batches:
             columns = {c: batch.column(c) for c in names}
-            lo = columns["__lo"].to_pylist()
-            texts, keep, hi = columns["text"].to_pylist(), [], columns["__hi"].to_pylist()
+            lo, hi = (batch.column(c).to_pylist() for c in ("__lo", "__hi"))
+            texts, keep = columns["text"].to_pylist(), []
             sizes = columns["n_chars"].to_pylist() if counted else []
             for i, spans in enumerate(lo):
                 if not spans:
@@ -169,4 +183,4 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, n: int = N_GRAM, dr
             if counted:
                 columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names).filter(pa.array(keep))
-    return rows.mapInArrow(run, rows.schema).select(*documents.columns)
+    return _scanned(documents, benchmark, n, max_broadcast_bytes, run, documents.schema)

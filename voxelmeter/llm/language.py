@@ -110,7 +110,8 @@ def profiles(labelled: DataFrame, size: int = PROFILE) -> DataFrame:
     rows = labelled.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     counted = rows.mapInArrow(run, "lang string, gram long, count long").groupBy("lang", "gram").agg(F.sum("count").alias("count"))
     by = W.partitionBy("lang").orderBy(F.desc("count"), "gram")
-    return counted.withColumn("rank", F.row_number().over(by) - 1).where(F.col("rank") < size).select("lang", "gram", "rank")
+    # As a limit on the row number itself, Spark cuts each task's groups before it shuffles and sorts them.
+    return counted.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= size).select("lang", "gram", (F.col("rank") - 1).alias("rank"))
 
 
 class _Profiles:
@@ -146,7 +147,8 @@ def identify(documents: DataFrame, learned: DataFrame, size: int = PROFILE, keep
     A document's most frequent n-grams are ranked; a gram's distance to a language is the difference of ranks, or
     ``size`` if the profile lacks it. The score is 1 less the share of the largest distance possible. A null text, one
     without letters, and any text when nothing was learned is ``und`` with score 0; equal distances go to the
-    language first by name. The profiles are broadcast: ``size`` grams for each of at most MAX_LANGUAGES languages.
+    language first by name. Every row is judged for itself, whether or not its doc_id repeats or is null, and by its whole text, however
+    long. The profiles are broadcast: ``size`` grams for each of at most MAX_LANGUAGES languages.
     """
     rows = [(r["lang"], r["gram"], r["rank"]) for r in learned.limit(MAX_LANGUAGES * size + 1).collect()]
     if len(rows) > MAX_LANGUAGES * size:

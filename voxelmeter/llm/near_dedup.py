@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelmeter.llm.arrays import BYTE_SYMBOLS, LOWER, NOT_SPACE, byte_chunks, mix, word_bounds, word_hashes
+from voxelmeter.llm.arrays import BYTE_SYMBOLS, LOWER, NOT_SPACE, byte_chunks, mix, thrifty, word_bounds, word_hashes
 from voxelmeter.llm.io import checkpointed, release
 
 BANDS, ROWS = 40, 4
@@ -91,7 +91,7 @@ def signatures(documents: DataFrame, width: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), flat)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(sketch, pa.binary()), pa.array(parity, pa.binary())],
                                              ["doc_id", "n", "digest", "bands", "sketch", "parity"])
-    return documents.mapInArrow(run, "doc_id long, n long, digest binary, bands array<long>, sketch binary, parity binary")
+    return documents.mapInArrow(thrifty(run), "doc_id long, n long, digest binary, bands array<long>, sketch binary, parity binary")
 
 
 def _sets(documents: DataFrame, width: int) -> DataFrame:
@@ -102,7 +102,7 @@ def _sets(documents: DataFrame, width: int) -> DataFrame:
                 ends = np.cumsum([0] + [len(s) for s in found])
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), lists], ["doc_id", "found"])
-    return documents.mapInArrow(run, "doc_id long, found array<long>")
+    return documents.mapInArrow(thrifty(run), "doc_id long, found array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -130,7 +130,9 @@ def _grouped(vertices: DataFrame, links: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
-    return vertices.join(edges.groupBy("u").agg(F.min("v").alias("v")), F.col("doc_id") == F.col("u"), "left").select("doc_id", F.coalesce("v", "doc_id").alias("group"))
+    out = checkpointed(vertices.join(edges.groupBy("u").agg(F.min("v").alias("v")), F.col("doc_id") == F.col("u"), "left").select("doc_id", F.coalesce("v", "doc_id").alias("group")))
+    release(edges)
+    return out
 
 
 class _Parities:
@@ -218,8 +220,10 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = rows.where("doc_id is not null")
     signed = checkpointed(signatures(known, width))
+    done = []
     if not signed.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
         known = checkpointed(known.groupBy("doc_id").agg(F.min("text").alias("text")))
+        done += [signed, known]
         signed = checkpointed(signatures(known, width))
     classes = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     shared = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
@@ -230,8 +234,10 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     # Every pair below is of documents that share a bucket. Their number grows with the input, so their ids are never broadcast.
     candidates = members.select(F.col("b").alias("doc_id")).distinct().hint("merge")
     sets = checkpointed(_sets(known.join(candidates, "doc_id", "left_semi"), width))
-    links = _confirmed(checkpointed(members.where("a < b").groupBy("b").agg(F.min("a").alias("a"))), sets, percent)
-    groups = checkpointed(_grouped(reps, links))
+    pairs = checkpointed(members.where("a < b").groupBy("b").agg(F.min("a").alias("a")))
+    links = _confirmed(pairs, sets, percent)
+    release(pairs)
+    groups = _grouped(reps, links)
 
     tagged = checkpointed(members.join(groups.withColumnRenamed("doc_id", "b"), "b").select("key", F.col("b").alias("doc_id"), "group"))
     sizes = tagged.groupBy("key", "group").agg(F.count("*").alias("size"))
@@ -247,10 +253,13 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
         more = _confirmed(cross.select("a", "b"), sets, percent)
         if cross.where("sure").join(more, ["a", "b"], "left_anti").isEmpty():
             break
-    groups = checkpointed(_grouped(reps, links.unionByName(more)))
+    before, groups = groups, _grouped(reps, links.unionByName(more))
 
     found = signed.select("doc_id", "n", "digest").join(shared, "digest", "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).alias("rep"))
     found = found.join(groups.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("group", "doc_id").alias("component_id"))
     unknown = signatures(rows.where("doc_id is null"), width).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return found.unionByName(unknown).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = checkpointed(found.unionByName(unknown).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+    for table in (*done, signed, one_each, members, sets, links, tagged, cross, more, before, groups):
+        release(table)
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import os
 import zlib
@@ -11,17 +12,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxelmeter.llm.arrays import ALNUM, LOWER, NOT_SPACE, byte_chunks, word_bounds, word_hashes
+from voxelmeter.llm.arrays import ALNUM, LOWER, NOT_SPACE, byte_chunks, thrifty, word_bounds, word_hashes
+from voxelmeter.llm.io import checkpointed
 
 TIERS = (2048, 1024, 512, 256, 128)
 END_ID = 1
-POOL_TOKENS = 4 << 20
+POOL_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 19
-CACHE_WORDS = 300_000
-PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
-          "tier int, sequence_length long, step_group int")
+CACHE_WORDS = 200_000
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, sequence_length long"
+_NAMES = [*(c.strip().split(" ")[0] for c in PIECES.split(",")), "part", "place"]
 
 
 _TAIL = np.zeros(256, bool)
@@ -127,111 +130,134 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
-class _Packer:
-    """Fills sequences from pieces of documents. A piece is (row of the document, start, length)."""
+class Packer:
+    """Fills sequences with pieces of documents. A piece is (length, row of the document, start)."""
 
-    def __init__(self, tiers: tuple[int, ...], partition: int, step_tokens: int):
-        self.tiers, self.top, self.next, self.step = tuple(sorted(tiers, reverse=True)), max(tiers), partition << 40, step_tokens
+    def __init__(self, tiers: tuple[int, ...], first_id: int):
+        self.tiers, self.next = tuple(sorted(tiers)), first_id
         self.in_tier = dict.fromkeys(self.tiers, 0)
+        self.todo: list[tuple[int, int, int]] = []
 
-    def sequence(self, pieces: list[tuple[int, int, int]]) -> list[tuple]:
-        total = sum(p[2] for p in pieces)
-        tier = min((t for t in self.tiers if t >= total), default=self.top)
-        group = self.in_tier[tier] * tier // self.step
-        self.in_tier[tier] += 1
+    def route(self, row: int, length: int) -> list[tuple]:
+        """Whole windows of the longest tier at once; the rest waits in the shortest tier that holds it."""
+        top, out = self.tiers[-1], []
+        for start in range(0, length - top + 1, top):
+            out += self._sequence([(top, row, start)])
+        if length % top:
+            self.todo.append((length % top, row, length - length % top))
+        return out
+
+    def _sequence(self, pieces: list[tuple[int, int, int]]) -> list[tuple]:
+        total = sum(p[0] for p in pieces)
+        tier = self.tiers[bisect.bisect_left(self.tiers, total)]
         out, at = [], 0
-        for row, start, length in pieces:
-            out.append((row, start, length, self.next, at, tier, total, group))
+        for length, row, start in pieces:
+            out.append((row, start, length, self.next, at, tier, total, self.in_tier[tier]))
             at += length
-        self.next += 1
+        self.next, self.in_tier[tier] = self.next + 1, self.in_tier[tier] + 1
         return out
 
-    def pack(self, lengths: list[int]) -> list[tuple]:
-        """Whole windows first, then each rest into the tier that holds it; longer tiers are filled from shorter ones."""
-        out, rests = [], {t: [] for t in self.tiers}
-        for row, n in enumerate(lengths):
-            whole = n // self.top * self.top
-            for start in range(0, whole, self.top):
-                out += self.sequence([(row, start, self.top)])
-            if n > whole:
-                rests[min(t for t in self.tiers if t >= n - whole)].append((row, whole, n - whole))
-        for t in self.tiers:
-            rests[t].sort(key=lambda p: p[2])
-        order = list(self.tiers)
-        while any(rests.values()):
-            room, pieces = self.top, []
-            for t in order:
-                while room and rests[t] and (rests[t][-1][2] <= room or t == order[-1]):
-                    row, start, length = rests[t].pop()
-                    pieces.append((row, start, min(length, room)))
-                    if length > room:
-                        rests[t].append((row, start + room, length - room))
-                    room -= pieces[-1][2]
-            if room:  # no piece fits: the shortest one left is cut to close the window
-                t = next((t for t in reversed(order) if rests[t]), None)
-                if t:
-                    row, start, length = rests[t].pop(0)
-                    pieces.append((row, start, room))
-                    left = (row, start + room, length - room)
-                    rests[min(x for x in self.tiers if x >= left[2])].append(left)
-                    for x in self.tiers:
-                        rests[x].sort(key=lambda p: p[2])
-                    room = 0
-            if not room:
-                out += self.sequence(pieces)
-            else:
-                out += self.close(pieces)
+    def pack(self) -> list[tuple]:
+        """Tier after tier, the longest first: a window of the tier's size for each of its pieces, its gap filled from shorter tiers.
+
+        The gap takes the longest piece that fits it whole, again and again; where none does, the shortest piece left is cut. What
+        cannot fill its window waits for more.
+        """
+        out = []
+        self.todo.sort()
+        while self.todo:
+            pieces = [self.todo.pop()]
+            room = self.tiers[bisect.bisect_left(self.tiers, pieces[0][0])] - pieces[0][0]
+            while room and self.todo:
+                at = bisect.bisect_right(self.todo, (room, 1 << 62)) - 1
+                if at >= 0:
+                    pieces.append(self.todo.pop(at))
+                else:
+                    length, row, start = self.todo.pop(0)
+                    pieces.append((room, row, start))
+                    bisect.insort(self.todo, (length - room, row, start + room))
+                room -= pieces[-1][0]
+            if room:
+                self.todo = sorted(pieces)
+                break
+            out += self._sequence(pieces)
         return out
 
-    def close(self, pieces: list[tuple[int, int, int]]) -> list[tuple]:
-        """The last window, not full, as sequences that fill shorter tiers; what is under the shortest is padded."""
-        out, todo = [], list(reversed(pieces))
-        for t in self.tiers:
-            while sum(p[2] for p in todo) >= t:
-                own, room = [], t
+    def close(self) -> list[tuple]:
+        """What is left as full sequences of shorter tiers; the end, under the shortest tier, is one sequence to be padded."""
+        out, left = [], self.todo
+        self.todo = []
+        for tier in reversed(self.tiers):
+            while sum(p[0] for p in left) >= tier:
+                own, room = [], tier
                 while room:
-                    row, start, length = todo.pop()
-                    own.append((row, start, min(room, length)))
+                    length, row, start = left.pop()
+                    own.append((min(room, length), row, start))
                     if length > room:
-                        todo.append((row, start + room, length - room))
-                    room -= own[-1][2]
-                out += self.sequence(own)
-        return out + (self.sequence(list(reversed(todo))) if todo else [])
+                        left.append((length - room, row, start + room))
+                    room -= own[-1][0]
+                out += self._sequence(own)
+        return out + (self._sequence(left) if left else [])
 
 
-def pack(documents: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, pool_tokens: int = POOL_TOKENS,
-         step_tokens: int = STEP_TOKENS) -> DataFrame:
-    """One row per piece of a document: where it lies in its document and in its sequence.
+_OUT_ROWS = 2000
 
-    Every row of ``documents`` is a document of its own, whether or not its doc_id repeats or is null; a null or empty
-    text is one end id. Each partition packs its own rows, a pool of about ``pool_tokens`` at a time, so nothing is
-    shuffled, memory doesn't grow with the input, and a lost task gives the same sequences again. ``tier`` is the
-    context size that holds the sequence, and sequences of one tier and ``step_group`` (within a partition) hold about
-    ``step_tokens`` tokens, so that steps of any tier weigh the same.
-    """
+
+def _packed(documents: DataFrame, tokenizer_path: str, tiers: tuple[int, ...], pool_tokens: int) -> DataFrame:
+    """The pieces with ``part``, the partition that packed them, and ``place``, the number of their sequence within part and tier."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, packer = word_tokenizer(tokenizer_path), _Packer(tiers, TaskContext.get().partitionId(), step_tokens)
-        ids, docs, tokens = [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            rows = packer.pack([len(x) for x in ids])
-            crc = [zlib.crc32(ids[row][start:start + length].tobytes()) for row, start, length, *_ in rows]
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([docs[r] for r in cols[0]], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(crc, pa.int64()),
-                 pa.array([len(ids[r]) for r in cols[0]], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int32()),
-                 pa.array(cols[6], pa.int64()), pa.array(cols[7], pa.int32())], [c.strip().split(" ")[0] for c in PIECES.split(",")])
+        part = TaskContext.get().partitionId()
+        tokenizer, packer = word_tokenizer(tokenizer_path), Packer(tiers, part << 40)
+        held: dict[int, tuple] = {}  # documents with a piece that waits: id and tokens
+        fresh, tokens, row = [], 0, 0
+
+        def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(rows), _OUT_ROWS):
+                cols = list(zip(*rows[lo:lo + _OUT_ROWS], strict=True))
+                own = [held[r] for r in cols[0]]
+                crc = [zlib.crc32(ids[start:start + length].tobytes()) for (_, ids), start, length in zip(own, cols[1], cols[2], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i for i, _ in own], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(crc, pa.int64()),
+                     pa.array([len(ids) for _, ids in own], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int32()),
+                     pa.array(cols[6], pa.int64()), pa.array([part] * len(own), pa.int32()), pa.array(cols[7], pa.int64())], _NAMES)
+            for r in held.keys() - {p[1] for p in packer.todo}:
+                del held[r]
 
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
             for lo, hi, data, offsets in byte_chunks(batch.column("text")):
-                fresh = tokenizer.chunk(data, offsets)
-                ids += fresh
-                docs += names[lo:hi]
-                tokens += sum(map(len, fresh))
+                for name, ids in zip(names[lo:hi], tokenizer.chunk(data, offsets), strict=True):
+                    held[row] = (name, ids.copy())
+                    fresh += packer.route(row, len(ids))
+                    tokens, row = tokens + len(ids), row + 1
                 if tokens >= pool_tokens:
-                    yield flush()
-                    ids, docs, tokens = [], [], 0
-        if ids:
-            yield flush()
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+                    yield from out(fresh + packer.pack())
+                    fresh, tokens = [], 0
+        yield from out(fresh + packer.pack() + packer.close())
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(thrifty(run), f"{PIECES}, part int, place long")
+
+
+def pack(documents: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, pool_tokens: int = POOL_TOKENS,
+         step_tokens: int = STEP_TOKENS) -> DataFrame:
+    """One row per piece of a document: where it lies in its document and in its sequence.
+
+    Whole windows of the longest tier are sequences of their own. What is left of a document goes to the shortest tier that holds it, and each tier is
+    packed into sequences of its own size: one of its pieces, and the gap behind it filled from shorter tiers. ``tier`` is that size, ``sequence_length``
+    the tokens in the sequence. They are equal but for at most one sequence of each partition, the end of its last pool.
+
+    ``step_group`` numbers groups of sequences of one tier over all partitions, from the partitions' totals. The groups of a tier differ by one
+    sequence at most, and there are as many as make them nearest to ``step_tokens`` tokens, so steps of all tiers weigh alike; a tier with
+    fewer tokens than that is one lighter group.
+
+    Every row of ``documents`` is a document of its own, whether or not its doc_id repeats or is null; a null or empty
+    text is one end id. A text may be as long as a row may. Each partition packs its own rows, a pool of about ``pool_tokens`` at a time, so no text is
+    shuffled, memory doesn't grow with the input, and a lost task gives the same sequences again.
+    """
+    pieces = checkpointed(_packed(documents, tokenizer_path, tiers, pool_tokens))
+    counts = pieces.groupBy("part", "tier").agg((F.max("place") + 1).alias("own"))
+    before = W.partitionBy("tier").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    # A row for each partition and tier; Spark broadcasts them only while they are small.
+    offsets = counts.select("part", "tier", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("front"), F.sum("own").over(W.partitionBy("tier")).alias("all"))
+    groups = F.greatest(F.round(F.col("all") * F.col("tier") / step_tokens).cast("long"), F.lit(1))
+    joined = pieces.join(offsets, ["part", "tier"])
+    return joined.select(*_NAMES[:-2], F.floor((F.col("front") + F.col("place")) * groups / F.col("all")).cast("int").alias("step_group"))

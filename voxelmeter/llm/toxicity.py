@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelmeter.llm.arrays import ALNUM, LOWER, byte_chunks, word_bounds, word_hashes
+from voxelmeter.llm.arrays import ALNUM, LOWER, byte_chunks, thrifty, word_bounds, word_hashes
 
 SAMPLE_ROWS = 50_000
 PRIOR_TOKENS = 20_000.0
 MIN_Z = 3.0
-MAX_TOKENS = 100_000
+MAX_TOKENS = 1_000_000
 DRIFT = -0.25
 KEEP_TOKENS = 400_000
 THRESHOLD = 0.3
@@ -74,7 +74,7 @@ def _counts(rows: DataFrame) -> DataFrame:
                     yield out()
         if held:
             yield out()
-    return rows.mapInArrow(run, "token long, n long, n_toxic long, n_clean long").groupBy("token").agg(*(F.sum(c).alias(c) for c in ("n", "n_toxic", "n_clean")))
+    return rows.mapInArrow(thrifty(run), "token long, n long, n_toxic long, n_clean long").groupBy("token").agg(*(F.sum(c).alias(c) for c in ("n", "n_toxic", "n_clean")))
 
 
 def _log_odds(counts: DataFrame, prior_tokens: float, min_z: float) -> tuple[list, tuple[int, int, int]]:
@@ -93,7 +93,11 @@ def _log_odds(counts: DataFrame, prior_tokens: float, min_z: float) -> tuple[lis
         "token", "n", "n_toxic", "n_clean", (odds("n_toxic", toxic) - odds("n_clean", clean)).alias("score"),
         (1 / (F.col("n_toxic") + prior) + 1 / (F.col("n_clean") + prior)).alias("variance"))
     z = F.abs(F.col("score")) / F.sqrt("variance")
-    rows = scored.where(z >= min_z).orderBy(F.desc(z), "token").limit(MAX_TOKENS).collect()
+    significant = scored.where(z >= min_z)
+    found = significant.count()
+    if found > MAX_TOKENS:
+        raise ValueError(f"{found} tokens are significant; every task holds them, so {MAX_TOKENS} is the most. Raise min_z or take a smaller sample of labels.")
+    rows = significant.collect()
     counts.unpersist()
     return rows, (total, toxic, clean)
 
@@ -191,7 +195,8 @@ def learn(documents: DataFrame, training: DataFrame, prior_tokens: float = PRIOR
     """Model from all documents' token counts (the prior) and a bounded table of training rows (doc_id, toxic).
 
     Tokens are ASCII-lower-cased words of letters, digits and characters beyond ASCII. Without training rows of both
-    kinds every text gets the share of toxic rows, or 0 if there are none.
+    kinds every text gets the share of toxic rows, or 0 if there are none. All tokens that are significant among the training rows are
+    kept, and their number is bounded by that of the rows; more than MAX_TOKENS are an error.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = rows.join(F.broadcast(training), "doc_id", "left").select("text", "toxic")
@@ -208,7 +213,7 @@ def learn(documents: DataFrame, training: DataFrame, prior_tokens: float = PRIOR
             for lo, hi, data, offsets in byte_chunks(batch.column("text")):
                 x, _ = _features(model, data, offsets)
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column("toxic").slice(lo, hi - lo)], ["a", "b", "c", "toxic"])
-    got = rows.join(F.broadcast(training), "doc_id").select("text", "toxic").mapInArrow(run, "a double, b double, c double, toxic int").toPandas()
+    got = rows.join(F.broadcast(training), "doc_id").select("text", "toxic").mapInArrow(thrifty(run), "a double, b double, c double, toxic int").toPandas()
     y = got["toxic"].to_numpy(float)
     if len(y):
         share = float(np.clip(y.mean(), 1e-9, 1 - 1e-9))
@@ -220,7 +225,8 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD, name
     """``documents`` with columns ``name`` (0 to 1), ``flag`` (0 or 1) and ``spans`` (first and end token, surprise in nats).
 
     Passages are the maximal segments whose score is rarer than chance in a clean text of that length. A null or empty
-    text has no token and gets the score of a text without any passage. Columns of these names are replaced.
+    text has no token and gets the score of a text without any passage. Every row is scored for itself, whether or not its doc_id repeats
+    or is null, and however long its text is. Columns of these names are replaced.
     """
     names = [c for c in documents.columns if c not in (name, flag, spans)]
     kept = documents.select(*names)
@@ -236,4 +242,4 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD, name
                 passages += [[{"first": a, "end": b, "surprise": s} for a, b, s in row] for row in found]
             p = np.concatenate([np.zeros(0), *p])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(passages, kind)], [*names, name, flag, spans])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(thrifty(run), schema)
