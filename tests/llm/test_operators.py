@@ -106,6 +106,25 @@ def test_near_groups_with_split_buckets(spark, texts, monkeypatch):
     assert got == {i: (n, c, i == c) for i, (n, c) in want.items()}
 
 
+def test_blocks_of_a_large_bucket(spark, monkeypatch):
+    """Every pair of rows of different groups meets in exactly one cell, and no cell has more than two blocks."""
+    monkeypatch.setattr(near_dedup, "SPLIT_ROWS", 10)
+    for sizes in ([60, 1, 1], [9, 9, 9, 9, 9], [30, 25, 1], [3, 2]):
+        rows = [(g, 100 * g + i) for g, n in enumerate(sizes) for i in range(n)]
+        frame = spark.createDataFrame([(7, g, d, sum(sizes), max(sizes), sizes.index(max(sizes))) for g, d in rows], "key int, group int, doc_id long, rows long, most long, largest int")
+        cells = {}
+        for r in near_dedup._cells(frame).collect():
+            cells.setdefault((r.x, r.y), []).append(r)
+        met = []
+        for (x, y), own in cells.items():
+            assert len(own) <= 50
+            for a in own:
+                for b in own:
+                    if a.group != b.group and (a.hub and not b.hub if x < 0 else not a.hub and not b.hub and a.block == x and b.block == y and (x < y or a.doc_id < b.doc_id)):
+                        met.append(frozenset((a.doc_id, b.doc_id)))
+        assert len(met) == len(set(met)) and set(met) == {frozenset((a, b)) for g, a in rows for h, b in rows if g != h}
+
+
 def test_chain_of_links_is_one_group(spark):
     w = [f"w{i}" for i in range(400)]
     docs = {i: " ".join(w[10 * i:10 * i + 120]) for i in range(25)}

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelmeter.llm.arrays import BYTE_SYMBOLS, LOWER, NOT_SPACE, byte_chunks, mix, thrifty, word_bounds, word_hashes
@@ -135,6 +135,27 @@ def _grouped(vertices: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
+def _cells(rows: DataFrame) -> DataFrame:
+    """The rows of mixed buckets, each once for every cell (key, x, y) that it is compared in.
+
+    A bucket is cut into blocks of about SPLIT_ROWS rows, by a hash of the id, and each pair of blocks is a cell, so that no task holds more than
+    two blocks. A largest group of more than a block is cut for itself (``hub``): its rows need no comparison among themselves, so its block h meets only the
+    blocks of the rest, in the cells x = -1 - h.
+    """
+    large = F.col("most") > SPLIT_ROWS
+    parts = {True: F.ceil(F.col("most") / SPLIT_ROWS), False: F.ceil((F.col("rows") - F.when(large, F.col("most")).otherwise(0)) / SPLIT_ROWS)}
+    hubs, rest = F.when(large, parts[True]).otherwise(0).cast("int"), parts[False].cast("int")
+    rows = rows.withColumn("hub", large & (F.col("group") == F.col("largest")))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.when(F.col("hub"), hubs).otherwise(rest)).cast("int"))
+
+    def cell(x: Column, y: Column) -> Column:
+        return F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    own = F.transform(F.sequence(F.lit(0), rest - 1), lambda j: cell(F.least(F.col("block"), j), F.greatest(F.col("block"), j)))
+    across = F.when(hubs > 0, F.transform(F.sequence(F.lit(0), hubs - 1), lambda h: cell(-1 - h, F.col("block")))).otherwise(F.array().cast("array<struct<x:int,y:int>>"))
+    hub = F.transform(F.sequence(F.lit(0), rest - 1), lambda j: cell(-1 - F.col("block"), j))
+    return rows.withColumn("cell", F.explode(F.when(F.col("hub"), hub).otherwise(F.concat(own, across)))).select("*", "cell.x", "cell.y")
+
+
 class _Parities:
     """Bitmaps of the rows of a bucket, at their own size and folded to half of it."""
 
@@ -170,12 +191,13 @@ def _cross_pairs(percent: int, spare: bool):
         _, group = np.unique(table.column("group").to_numpy(), return_inverse=True)
         bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
         parities = _Parities(table.column("parity").to_pylist())
-        # A slice of a split bucket has all rows outside the largest group; pairs between those are left to slice 0.
-        first = table.column("slice")[0].as_py() == 0
+        block = table.column("block").to_numpy()
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
         joined, sure, other = group.copy(), [], []
-        for i in np.flatnonzero(~hub) if hub.any() else range(len(ids)):
+        # Rows of block x are held against those of block y; within one block against those of larger id.
+        for i in np.flatnonzero(~hub & (block == y)) if x < 0 else np.flatnonzero(block == x):
             near = (joined if spare else group) != (joined if spare else group)[i]
-            near &= (hub | (first & (ids > ids[i]))) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            near &= (hub if x < 0 else (ids > ids[i]) if x == y else block == y) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
             at = np.flatnonzero(near)
             at = at[_likely(np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1), percent / 100)]
             if not len(at):
@@ -214,8 +236,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     bucket; each is paired with the least id of all its buckets, never with all others. 3. Full sets confirm pairs, and confirmed
     ones make groups. 4. Only buckets that then hold several groups are searched for pairs across groups: odd sketches and parity bitmaps let
     go of those below the threshold, full sets confirm the rest, and groups are made anew. Pairs between groups that sure pairs connect are
-    spared; should a sure one not be confirmed, the search is done again without sparing. A bucket of many rows is split by
-    the members of its largest group. With 40 bands of 4 a pair at 0.8 shares no bucket with probability 7e-10.
+    spared; should a sure one not be confirmed, the search is done again without sparing. A bucket of many rows is cut into
+    blocks, and pairs of blocks are compared each in a task. With 40 bands of 4 a pair at 0.8 shares no bucket with probability 7e-10.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = rows.where("doc_id is not null")
@@ -241,14 +263,11 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
 
     tagged = checkpointed(members.join(groups.withColumnRenamed("doc_id", "b"), "b").select("key", F.col("b").alias("doc_id"), "group"))
     sizes = tagged.groupBy("key", "group").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.sum("size").alias("rows"), F.max_by("group", F.struct("size", "group")).alias("largest")).where("groups > 1")
-    slices = F.ceil(F.col("rows") / SPLIT_ROWS).cast("int")
-    spread = tagged.join(mixed, "key").withColumn("hub", (F.col("group") == F.col("largest")) & (slices > 1)).withColumn(
-        "slice", F.explode(F.when(F.col("hub"), F.array(F.pmod(F.xxhash64("doc_id"), slices).cast("int"))).otherwise(F.sequence(F.lit(0), slices - 1))))
-    sketches = signed.select("doc_id", "n", "sketch", "parity")
-    spread = spread.join(sketches, "doc_id").select("key", "slice", "doc_id", "group", "hub", "n", "sketch", "parity")
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.sum("size").alias("rows"), F.max("size").alias("most"), F.max_by("group", F.struct("size", "group")).alias("largest")).where("groups > 1")
+    spread = _cells(tagged.join(mixed, "key")).join(signed.select("doc_id", "n", "sketch", "parity"), "doc_id")
+    spread = spread.select("key", "x", "y", "doc_id", "group", "hub", "block", "n", "sketch", "parity")
     for spare in (True, False):
-        cross = spread.groupBy("key", "slice").applyInArrow(_cross_pairs(percent, spare), "a long, b long, sure boolean")
+        cross = spread.groupBy("key", "x", "y").applyInArrow(_cross_pairs(percent, spare), "a long, b long, sure boolean")
         cross = checkpointed(cross.groupBy("a", "b").agg(F.max("sure").alias("sure")))
         more = _confirmed(cross.select("a", "b"), sets, percent)
         if cross.where("sure").join(more, ["a", "b"], "left_anti").isEmpty():
