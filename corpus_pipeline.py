@@ -25,8 +25,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     keyed = docs.agg(F.count("*") == F.count("doc_id")).first()[0] and docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     if keyed:
-        groups = near_dedup.near_duplicates(docs, width=5, percent=80)
-        return docs.join(groups.where("not kept").select(F.col("doc_id").alias("__gone")), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+        gone = near_dedup.near_duplicates(docs, width=5, percent=80).where("not kept").select(F.col("doc_id").alias("__gone"))
+        return docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")  # copies grow with the input: never broadcast
     rows = checkpointed(docs.withColumn("__row", F.monotonically_increasing_id()))  # written, so that each row keeps its number
     groups = near_dedup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), width=5, percent=80).select(F.col("doc_id").alias("__row"), "component_id")
     best = groups.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(
