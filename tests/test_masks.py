@@ -93,6 +93,34 @@ def test_distance_matches_brute_force(spark, cap):
             assert np.isinf(r.box_mm)
 
 
+def test_envelope_on_long_lines():
+    rng = np.random.default_rng(1)
+    values = np.where(rng.random((40, 300)) < 0.1, np.round(rng.random((40, 300)) * 90, 1), np.inf)
+    values[3] = np.inf
+    values[4] = 0.0
+    pace, start = rng.choice([0.5, 1.0, 2.5], 40), rng.integers(-30, 10, 40)
+    at = start[:, None] + np.arange(350)
+    want = (values[:, None, :] + ((at[:, :, None] - np.arange(300)) * pace[:, None, None]) ** 2).min(axis=2)
+    assert np.allclose(distance.envelope(values, pace, at), want) and np.isinf(distance.envelope(values, pace, at)[3]).all()
+
+
+def test_distance_in_many_blocks(spark, monkeypatch):
+    """Blocks of one i-plane, negative positions, a support beside the query, repeated voxels and a second key."""
+    monkeypatch.setattr(distance, "BLOCK_VOXELS", 1)
+    monkeypatch.setattr(distance, "_STACK", 500)
+    rng = np.random.default_rng(9)
+    spacing = np.array([1.0, 0.6, 1.7])
+    support = {(c, s): np.unique(rng.integers(-6, 9, (n, 3)), axis=0) for c, s, n in ((1, "a", 25), (1, "b", 3), (2, "a", 40))}
+    query = {(c, s): np.unique(rng.integers(0, 14, (80, 3)), axis=0) for c, s in [*support, (2, "b"), (3, "a")]}
+    make = lambda x: spark.createDataFrame([(c, s, *map(int, p)) for (c, s), m in x.items() for p in (*m, m[0])], "case_id bigint, scope string, i int, j int, k int")
+    out = distance.support_distance(make(query), make(support), headers(spark, [1, 2, 3], (14, 14, 14), spacing), 6.0, ["case_id", "scope"]).collect()
+    assert len(out) == sum(map(len, query.values()))
+    for r in out:
+        pts = support.get((r.case_id, r.scope))
+        want = np.sqrt((((pts - np.array([r.i, r.j, r.k])) * spacing) ** 2).sum(1)).min() if pts is not None else np.inf
+        assert r.dist_mm == pytest.approx(want) if want <= 6 else np.isinf(r.dist_mm)
+
+
 def test_dilate_zero_is_identity(spark, blobs):
     m = frame(spark, blobs).where("finding_id = 0").select("case_id", "i", "j", "k")
     h = headers(spark, [1, 2, 3], (14, 11, 12), (1, 1, 1))

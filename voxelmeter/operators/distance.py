@@ -1,13 +1,16 @@
 """Physical distance to a support mask, dilation, and margin sweeps.
 
-The exact squared distance is separable, so it is built axis by axis: the values of one line
-of voxels, bounded by the depth of the volume, meet in one row, and each position of the line
-within the cap takes the least of them. What is shuffled per axis is one value per voxel
-reached so far, whatever the cap.
+The exact squared distance is separable. Two axes are done within a sheet of voxels (one k), the third within a block of
+lines through the sheets. What is shuffled is one row of distances per sheet and block, not one per voxel. Along a line the least of the
+parabolas that stand on its seeds is read off their lower envelope, in time linear in the line whatever the cap.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,45 +18,177 @@ from voxelmeter.functions import salted_join
 from voxelmeter.operators.masks import KEY, VOXEL, flagged, support_columns
 
 SLACK = 1e-7
+BLOCK_VOXELS = 1 << 17
+_STACK = 1 << 20
+
+
+def envelope(values: np.ndarray, pace: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each line, the least of ``values[q] + ((x - q) pace)^2`` at its positions ``at`` (rising); infinite values are no seeds.
+
+    All lines take a step at once. A parabola enters the envelope of its line where it meets the last one, which goes if it is nowhere least any more.
+    """
+    out = np.full(at.shape, np.inf)
+    lines = np.flatnonzero(np.isfinite(values).any(axis=1))
+    values, pace, at = values[lines], pace[lines], at[lines]
+    n, length = values.shape
+    seed, begin, top = np.zeros((n, length), np.int64), np.full((n, length), -np.inf), np.full(n, -1)
+    for q in range(length):
+        rows = np.flatnonzero(np.isfinite(values[:, q]))
+        front = np.full(n, -np.inf)
+        open_ = rows[top[rows] >= 0]
+        while len(open_):
+            last = seed[open_, top[open_]]
+            meet = (q + last) / 2 + (values[open_, q] - values[open_, last]) / (2 * pace[open_] ** 2 * (q - last))
+            hidden = meet <= begin[open_, top[open_]]
+            front[open_[~hidden]] = meet[~hidden]
+            open_ = open_[hidden]
+            top[open_] -= 1
+            open_ = open_[top[open_] >= 0]
+        top[rows] += 1
+        seed[rows, top[rows]], begin[rows, top[rows]] = q, front[rows]
+    place, every = np.zeros(n, np.int64), np.arange(n)
+    best = np.full(at.shape, np.inf)
+    for m in range(at.shape[1]):
+        x = at[:, m]
+        while len(ahead := np.flatnonzero((place < top) & (begin[every, np.minimum(place + 1, length - 1)] < x))):
+            place[ahead] += 1
+        own = seed[every, place]
+        best[:, m] = values[every, own] + ((x - own) * pace) ** 2
+    out[lines] = best
+    return out
+
+
+def _chunks(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of like size together, so that padded to the largest they hold about _STACK numbers."""
+    order = np.argsort(sizes, kind="stable")
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < len(order) and (hi + 1 - lo) * sizes[order[hi]] <= _STACK:
+            hi += 1
+        yield order[lo:hi]
+        lo = hi
+
+
+def _numbers(batch: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
 
 
-def boundary(support: DataFrame, key: list[str]) -> DataFrame:
-    """Support voxels with at least one of their six neighbours outside the support."""
-    steps = [(0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
-    moves = F.explode(F.array(*[F.struct(*[F.lit(s).alias(a) for a, s in zip("abc", step)]) for step in steps]))
-    spread = support.select(*key, *VOXEL, moves.alias("m")).select(
-        *key, *[(F.col(ax) + F.col(f"m.{s}")).cast("int").alias(ax) for ax, s in zip(VOXEL, "abc")],
-        ((F.col("m.a") == 0) & (F.col("m.b") == 0) & (F.col("m.c") == 0)).alias("own"))
-    seen = spread.groupBy(*key, *VOXEL).agg(F.max("own").alias("own"), F.count_if(~F.col("own")).alias("around"))
-    return seen.where(F.col("own") & (F.col("around") < 6)).select(*key, *VOXEL)
+def _span(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Positions from ``start`` on, one row for each, as many as the longest needs."""
+    return start[:, None] + np.arange(int((end - start).max()) + 1)
 
 
-def _spread(seeds: DataFrame, key: list[str], cap_mm: float, query: DataFrame | None = None) -> DataFrame:
-    """Squared distance ``d2`` to the nearest seed for every position within the cap.
+def _sheet_distances(key: list[str], limit: float):
+    """Rows of sheets with their seeds to rows (key, block, k, data): squared distances in the sheet, i by j, over the range to fill."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [batch.column(c) for c in ("i", "j")]
+            first = lists[0].offsets.to_numpy().astype(np.int64)
+            i, j = (x.flatten().to_numpy().astype(np.int64) for x in lists)
+            first = first - first[0]
+            p0, p1, lo0, hi0, lo1, hi1, wide = _numbers(batch, ["p0", "p1", "lo0", "hi0", "lo1", "hi1", "wide"])
+            si, sj = np.minimum.reduceat(i, first[:-1]), np.minimum.reduceat(j, first[:-1])
+            ni, nj = np.maximum.reduceat(i, first[:-1]) - si + 1, np.maximum.reduceat(j, first[:-1]) - sj + 1
+            for own in _chunks(np.maximum(ni, hi0 - lo0 + 1) * np.maximum(nj, hi1 - lo1 + 1)):
+                count = np.diff(first)[own]
+                row = np.repeat(np.arange(len(own)), count)
+                take = np.repeat(first[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                seeds = np.full((len(own), int(nj[own].max()), int(ni[own].max())), np.inf)
+                seeds[row, j[take] - sj[own][row], i[take] - si[own][row]] = 0.0
+                to = _span(lo0[own] - si[own], hi0[own] - si[own])
+                along = envelope(seeds.reshape(-1, seeds.shape[2]), np.repeat(p0[own], seeds.shape[1]), np.repeat(to, seeds.shape[1], axis=0))
+                along = np.where(along <= limit, along, np.inf).reshape(len(own), seeds.shape[1], -1).transpose(0, 2, 1)
+                to = _span(lo1[own] - sj[own], hi1[own] - sj[own])
+                sheet = envelope(along.reshape(-1, along.shape[2]), np.repeat(p1[own], along.shape[1]), np.repeat(to, along.shape[1], axis=0))
+                sheet = np.where(sheet <= limit, sheet, np.inf).reshape(len(own), along.shape[1], -1)
+                who, block, data = [], [], []
+                for r, x in enumerate(own.tolist()):
+                    mine = sheet[r, :hi0[x] - lo0[x] + 1, :hi1[x] - lo1[x] + 1]
+                    for b in range(0, len(mine), int(wide[x])):
+                        if np.isfinite(part := mine[b:b + int(wide[x])]).any():
+                            who.append(x)
+                            block.append(b // int(wide[x]))
+                            data.append(part.tobytes())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(who, pa.int64())) for c in [*key, "k"]), pa.array(block, pa.int32()), pa.array(data, pa.binary())],
+                                                 [*key, "k", "block", "data"])
+    return run
 
-    ``seeds`` carries the scalars ``p0..p2`` (mm per step) and, without a ``query``,
-    ``lo0..hi2`` (range to fill); scalars keep the aggregates hash-based. With a query each
-    axis is only filled over the range the query needs there, given the axes already done.
+
+def _block_distances(key: list[str], limit: float, asked: bool):
+    """Blocks with their sheets to (key, i, j, k, d2): at the asked voxels (null beyond the limit), or at all voxels within the limit."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = ["block", "p2", "lo0", "hi0", "lo1", "hi1", "lo2", "hi2", "wide"]
+            block, p2, lo0, hi0, lo1, hi1, lo2, hi2, wide = (np.nan_to_num(x).astype(float if c == "p2" else np.int64) for c, x in zip(names, _numbers(batch, names), strict=True))
+            sheets, asks = batch.column("sheets").to_pylist(), batch.column("asks") if asked else None
+            with_sheets = np.array([bool(s) for s in sheets], bool)
+            k0 = np.array([min(x["k"] for x in s) if s else 0 for s in sheets], np.int64)
+            nk = np.array([max(x["k"] for x in s) if s else 0 for s in sheets], np.int64) - k0 + 1
+            rows, cols = np.minimum(wide, hi0 - lo0 - block * wide + 1), hi1 - lo1 + 1
+            at, got = [], []
+            if asked:
+                ends = asks.offsets.to_numpy().astype(np.int64)
+                ends = ends - ends[0]
+                flat = asks.flatten()
+                ai, aj, ak = (flat.field(c).to_numpy().astype(np.int64) for c in ("i", "j", "k"))
+                d2 = np.full(len(ai), np.inf)
+            todo = np.flatnonzero(with_sheets)
+            for part in _chunks((rows * cols * np.maximum(nk, hi2 - lo2 + 1))[todo]):
+                own = todo[part]
+                cells = rows[own] * cols[own]
+                dense = np.full((len(own), int(nk[own].max()), int(cells.max())), np.inf)
+                for r, x in enumerate(own.tolist()):
+                    for s in sheets[x]:
+                        dense[r, s["k"] - k0[x], :cells[r]] = np.frombuffer(s["data"])
+                dense = dense.transpose(0, 2, 1)
+                to = _span(lo2[own] - k0[own], hi2[own] - k0[own])
+                found = envelope(dense.reshape(-1, dense.shape[2]), np.repeat(p2[own], dense.shape[1]), np.repeat(to, dense.shape[1], axis=0)).reshape(len(own), dense.shape[1], -1)
+                for r, x in enumerate(own.tolist()):
+                    mine = found[r, :cells[r], :hi2[x] - lo2[x] + 1]
+                    if asked:
+                        q = slice(ends[x], ends[x + 1])
+                        inside = (aj[q] >= lo1[x]) & (aj[q] <= hi1[x]) & (ak[q] >= lo2[x]) & (ak[q] <= hi2[x])
+                        cell = (ai[q] - lo0[x] - block[x] * wide[x]) * cols[x] + aj[q] - lo1[x]
+                        d2[q] = np.where(inside, mine[np.where(inside, cell, 0), np.where(inside, ak[q] - lo2[x], 0)], np.inf)
+                    else:
+                        cell, k = np.nonzero(mine <= limit)
+                        at.append(np.full(len(cell), x))
+                        got.append((lo0[x] + block[x] * wide[x] + cell // cols[x], lo1[x] + cell % cols[x], lo2[x] + k, mine[cell, k]))
+            if asked:
+                rest = [pa.array(np.where(d2 <= limit, d2, np.nan), from_pandas=True), flat.field("box_mm")]
+                who, place = np.repeat(np.arange(len(ends) - 1), np.diff(ends)), (ai, aj, ak)
+            elif at:
+                who, (*place, d2) = np.concatenate(at), [np.concatenate(x) for x in zip(*got, strict=True)]
+                rest = [pa.array(d2)]
+            else:
+                continue
+            out = pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(who)) for c in key), *(pa.array(x, pa.int32()) for x in place), *rest],
+                                             [*key, *VOXEL, "d2", *(["box_mm"] if asked else [])])
+            for lo in range(0, out.num_rows, 100_000):
+                yield out.slice(lo, 100_000)
+    return run
+
+
+def _nearest(seeds: DataFrame, frame: DataFrame, key: list[str], cap_mm: float, query: DataFrame | None = None) -> DataFrame:
+    """Squared distance ``d2`` to the nearest seed, up to the cap: for each row of ``query`` (which brings ``box_mm``), or for all voxels in range.
+
+    ``frame`` has for each key the paces ``p0..p2`` (mm per step), the range to fill ``lo0..hi2``, and ``wide``, the i-planes of a block.
     """
     limit = (cap_mm + 1e-6) ** 2
-    rows = seeds.withColumn("d2", F.lit(0.0))
-    for axis, name in enumerate(VOXEL):
-        if query is not None:
-            done = [*key, *VOXEL[:axis]]
-            need = query.groupBy(*done).agg(F.min(name).alias(f"lo{axis}"), F.max(name).alias(f"hi{axis}"))
-            rows = salted_join(rows, need, done, VOXEL) if axis == 0 else rows.join(need, done)
-        others = [ax for ax in VOXEL if ax != name]
-        later = [f"{c}{n}" for n in range(axis + 1, 3) for c in (("p",) if query is not None else ("p", "lo", "hi"))]
-        lines = rows.groupBy(*key, *others).agg(
-            F.collect_list(F.struct(F.col(name).alias("at"), "d2")).alias("seeds"), F.max(f"p{axis}").alias("pace"), F.min(name).alias("first"), F.max(name).alias("last"),
-            F.max(f"lo{axis}").alias("lo"), F.max(f"hi{axis}").alias("hi"), *[F.max(c).alias(c) for c in later])
-        reach = F.floor(F.lit(cap_mm + 1e-6) / F.col("pace")).cast("int")
-        lo, hi = F.greatest(F.col("first") - reach, F.col("lo")).cast("int"), F.least(F.col("last") + reach, F.col("hi")).cast("int")
-        best = F.transform(F.sequence(lo, hi), lambda to: F.struct(to.alias("to"), F.array_min(F.transform(
-            "seeds", lambda s: s["d2"] + F.pow((to - s["at"]) * F.col("pace"), F.lit(2.0)))).alias("d2")))
-        rows = lines.where(lo <= hi).select(*key, *others, *later, F.explode(best).alias("x")).select(
-            *key, *others, *later, F.col("x.to").alias(name), F.col("x.d2").alias("d2")).where(F.col("d2") <= limit)
-    return rows.select(*key, *VOXEL, "d2")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seeds.select(*key).schema)
+    reach = F.floor(F.lit(cap_mm + 1e-6) / F.col("p2")).cast("int")
+    planes = seeds.groupBy(*key, "k").agg(F.collect_list("i").alias("i"), F.collect_list("j").alias("j")).join(frame, key)
+    planes = planes.where(F.col("k").between(F.col("lo2") - reach, F.col("hi2") + reach))
+    # The columns and types that both kinds of rows share.
+    sheets = planes.mapInArrow(_sheet_distances(key, limit), f"{kinds}, k int, block int, data binary").groupBy(*key, "block").agg(F.collect_list(F.struct("k", "data")).alias("sheets"))
+    if query is None:
+        return sheets.join(frame, key).mapInArrow(_block_distances(key, limit, False), f"{kinds}, i int, j int, k int, d2 double")
+    # A voxel beside every block, of a key without seeds for instance, goes to a group of its own i-plane.
+    block = F.when(F.col("i").between(F.col("lo0"), F.col("hi0")), F.floor((F.col("i") - F.col("lo0")) / F.col("wide"))).otherwise(-1 - F.abs("i"))
+    asks = query.withColumn("block", block.cast("int")).groupBy(*key, "block").agg(F.collect_list(F.struct(*VOXEL, "box_mm")).alias("asks"))
+    both = asks.join(sheets, [*key, "block"], "left").join(frame, key, "left")
+    return both.mapInArrow(_block_distances(key, limit, True), f"{kinds}, i int, j int, k int, d2 double, box_mm double")
 
 
 def _paces(headers: DataFrame, *extra) -> DataFrame:
@@ -65,6 +200,22 @@ def _box(voxels: DataFrame, key: list[str], lo: str = "lo", hi: str = "hi") -> D
     return voxels.groupBy(*key).agg(*[f(a).cast("int").alias(f"{name}{n}") for n, a in enumerate(VOXEL) for f, name in ((F.min, lo), (F.max, hi))])
 
 
+def _frame(support: DataFrame, key: list[str], headers: DataFrame, wanted: DataFrame, cap_mm: float) -> DataFrame:
+    """Per key: paces, the support's box ``blo0..bhi2``, and the part ``lo0..hi2`` of the wanted range within the cap of it."""
+    rows = _box(support, key, "blo", "bhi").join(wanted, key).join(_paces(headers), "case_id")
+    near = []
+    for n in range(3):
+        reach = F.floor(F.lit(cap_mm + 1e-6) / F.col(f"p{n}")).cast("int")
+        near += [F.greatest(f"wlo{n}", F.col(f"blo{n}") - reach).alias(f"lo{n}"), F.least(f"whi{n}", F.col(f"bhi{n}") + reach).alias(f"hi{n}")]
+    rows = rows.select(*key, "p0", "p1", "p2", *[f"b{e}{n}" for n in range(3) for e in ("lo", "hi")], *near)
+    lines = (F.col("hi1") - F.col("lo1") + 1) * (F.col("hi2") - F.col("lo2") + 1)
+    return rows.withColumn("wide", F.greatest(F.floor(BLOCK_VOXELS / F.greatest(lines, F.lit(1))), F.lit(1)).cast("int"))
+
+
+def _fits() -> F.Column:
+    return (F.col("lo0") <= F.col("hi0")) & (F.col("lo1") <= F.col("hi1")) & (F.col("lo2") <= F.col("hi2"))
+
+
 def support_distance(query: DataFrame, support: DataFrame, headers: DataFrame, cap_mm: float = 20.0,
                      key: list[str] | None = None) -> DataFrame:
     """C11: for each query voxel ``dist_mm`` to the support and ``box_mm`` to its bounding box.
@@ -74,33 +225,28 @@ def support_distance(query: DataFrame, support: DataFrame, headers: DataFrame, c
     """
     key = key or ["case_id"]
     query = query.select(*key, *VOXEL).distinct()
-    support = support.select(*key, *VOXEL).distinct()
-    paces = _paces(headers)
-    near = _spread(salted_join(boundary(support, key), paces, ["case_id"], VOXEL), key, cap_mm, query)
-    # One aggregate joins query, reach and support on the voxel instead of three joins.
-    tagged = (query.select(*key, *VOXEL, F.lit(True).alias("q"), F.lit(None).cast("double").alias("d2"))
-              .unionByName(near.select(*key, *VOXEL, F.lit(False).alias("q"), "d2"))
-              .unionByName(support.select(*key, *VOXEL, F.lit(False).alias("q"), F.lit(0.0).alias("d2"))))
-    rows = tagged.groupBy(*key, *VOXEL).agg(F.max("q").alias("q"), F.min("d2").alias("d2")).where("q")
-    frame = _box(support, key, "blo", "bhi").join(paces, "case_id")
-    rows = salted_join(rows, frame, key, VOXEL, "left")
+    support = support.select(*key, *VOXEL)
+    frame = _frame(support, key, headers, _box(query, key, "wlo", "whi"), cap_mm)
     gaps = [F.greatest(F.lit(0.0), (F.col(f"blo{n}") - F.col(a)) * F.col(f"p{n}"), (F.col(a) - F.col(f"bhi{n}")) * F.col(f"p{n}"))
             for n, a in enumerate(VOXEL)]
     far = F.lit(float("inf"))
-    return rows.select(
-        *key, *VOXEL, F.coalesce(F.sqrt("d2"), far).alias("dist_mm"),
-        F.when(F.col("blo0").isNotNull(), F.greatest(*gaps)).otherwise(far).alias("box_mm"))
+    asked = salted_join(query, frame, key, VOXEL, "left").select(*key, *VOXEL, "lo0", F.when(_fits(), F.col("hi0")).alias("hi0"), "wide", F.when(
+        F.col("blo0").isNotNull(), F.greatest(*gaps)).otherwise(far).alias("box_mm"))
+    fill = frame.where(_fits()).select(*key, "p0", "p1", "p2", *[f"{e}{n}" for n in range(3) for e in ("lo", "hi")], "wide")
+    near = _nearest(support, fill, key, cap_mm, asked)
+    return near.select(*key, *VOXEL, F.coalesce(F.sqrt("d2"), far).alias("dist_mm"), "box_mm")
 
 
 def dilate(mask: DataFrame, headers: DataFrame, mm: float, key: list[str] | None = None) -> DataFrame:
     """Every voxel of the grid within ``mm`` of the mask; 0 is the identity."""
     key = key or ["case_id"]
-    mask = mask.select(*key, *VOXEL).distinct()
+    mask = mask.select(*key, *VOXEL)
     if mm == 0:
-        return mask
-    ends = [c for n in range(3) for c in (F.lit(0).alias(f"lo{n}"), (F.col("shape")[n] - 1).cast("int").alias(f"hi{n}"))]
-    seeds = salted_join(boundary(mask, key), _paces(headers, *ends), ["case_id"], VOXEL)
-    grown = _spread(seeds, key, mm).where(F.col("d2") <= F.lit((mm + SLACK) ** 2))
+        return mask.distinct()
+    grid = [c for n in range(3) for c in (F.lit(0).alias(f"wlo{n}"), (F.col("shape")[n] - 1).cast("int").alias(f"whi{n}"))]
+    wanted = mask.select(*key).distinct().join(headers.select("case_id", *grid), "case_id")
+    frame = _frame(mask, key, headers, wanted, mm).where(_fits())
+    grown = _nearest(mask, frame, key, mm).where(F.col("d2") <= F.lit((mm + SLACK) ** 2))
     return grown.select(*key, *VOXEL).union(mask).distinct()
 
 
