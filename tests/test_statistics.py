@@ -12,6 +12,7 @@ from voxelmeter.operators import sampling as sp
 from voxelmeter.operators import stats
 from voxelmeter.operators import sweeps as sw
 from voxelmeter.operators import text as tx
+from voxelmeter.operators.chunks import ensemble_chunks, stacked_chunks, with_truth
 
 
 def test_quantiles_with_a_hot_value(spark):
@@ -135,6 +136,49 @@ def test_greedy_out_of_fold(spark, small):
         assert r.held_dice == pytest.approx(float(np.mean(mean_dice(z, gt, {m: 1.0}, r.threshold, held)))) and r.findings == len(held)
 
 
+def in_chunks(spark, z, gt, size=7):
+    """The same scores as chunk arrays of uneven length, stacked."""
+    rows = [(f"m{m}", c, f, n, [float(x) for x in z[(c, f)][m].ravel()[a:a + size]], np.flatnonzero(gt[(c, f)].ravel()[a:a + size]).tolist())
+            for (c, f) in z for m in range(3) for n, a in enumerate(range(0, 24, size))]
+    return spark.createDataFrame(rows, "candidate_id string, case_id bigint, finding_id int, chunk int, values array<float>, truth array<int>")
+
+
+def test_chunk_arrays_give_the_same(spark, small):
+    z, gt, stack, keys, truth = small
+    z = {k: v.astype(np.float32).astype(float) for k, v in z.items()}
+    voxels = [(f"m{m}", c, f, *map(int, p), bool(gt[(c, f)][tuple(p)]), float(z[(c, f)][(m, *p)])) for (c, f) in z for m in range(3) for p in np.ndindex(4, 3, 2)]
+    scores = spark.createDataFrame(voxels, "candidate_id string, case_id bigint, finding_id int, i int, j int, k int, is_gt boolean, z double")
+    chunks, stack = in_chunks(spark, z, gt), en.stacked(scores, ["m0", "m1", "m2"])
+    both = stacked_chunks(chunks)
+    trial = en.recipes([{"id": f"m{m}"} for m in range(3)], [], {"two": ["m0", "m2"]})
+    ordered = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert ordered(en.score_recipes(both, keys, truth, trial, [0.3, 0.5])) == ordered(en.score_recipes(stack, keys, truth, trial, [0.3, 0.5]))
+    assert ordered(en.caruana(both, keys, truth, ["m0", "m1", "m2"], 2)) == ordered(en.caruana(stack, keys, truth, ["m0", "m1", "m2"], 2))
+    own = keys.withColumn("candidate_id", F.explode(F.array(*[F.lit(f"m{m}") for m in range(3)])))
+    by = ["candidate_id", "case_id", "finding_id"]
+    assert ordered(sw.sweep(chunks, own, truth, [0.3, 0.5, 0.7], key=by)) == ordered(sw.sweep(scores, own, truth, [0.3, 0.5, 0.7], key=by))
+    assert ordered(sw.removal_sweep(chunks, own, truth, [0.1, 0.5], key=by)) == ordered(sw.removal_sweep(scores, own, truth, [0.1, 0.5], "z", "is_gt", key=by))
+    mixed = {(r.case_id, r.finding_id, r.chunk): r["values"] for r in ensemble_chunks(both, "logit", (("m0", 0.5), ("m1", 0.5))).collect()}
+    assert mixed[(1, 1, 2)] == pytest.approx((1 / (1 + np.exp(-z[(1, 1)][:2].mean(axis=0)))).ravel()[14:21])
+
+
+def test_chunk_arrays_are_checked(spark, small):
+    z, gt, _, keys, truth = small
+    chunks = in_chunks(spark, z, gt)
+    short = chunks.withColumn("values", F.when((F.col("candidate_id") == "m1") & (F.col("chunk") == 1), F.slice("values", 1, 3)).otherwise(F.col("values")))
+    odd = chunks.withColumn("values", F.when(F.col("chunk") == 1, F.transform("values", lambda v: F.lit(float("nan")).cast("float"))).otherwise(F.col("values")))
+    for bad, why in ((short, "shape"), (odd, "non-finite")):
+        with pytest.raises(Exception, match=why):
+            en.score_recipes(stacked_chunks(bad), keys, truth, [en.Recipe.of("a", "logit", {"m0": 1.0})], [0.5]).collect()
+    labels = spark.createDataFrame([(0, 0, 1, [2])], "case_id bigint, finding_id int, chunk int, truth array<int>")
+    got = {(r.case_id, r.finding_id, r.chunk): r.truth for r in with_truth(chunks.where("candidate_id = 'm0'").drop("truth"), labels).collect()}
+    assert got[(0, 0, 1)] == [2] and got[(0, 0, 0)] == []
+    # A chunk that lacks a member is not counted for the recipe.
+    part = stacked_chunks(chunks.where("candidate_id <> 'm1' or case_id <> 0"))
+    none = en.score_recipes(part, keys, truth, [en.Recipe.of("a", "logit", {"m1": 1.0})], [0.001]).where("case_id = 0").collect()
+    assert [r.pred for r in none] == [0, 0]
+
+
 def test_replacement_selection(spark, small):
     z, gt, stack, keys, truth = small
     rows = en.caruana(stack, keys, truth, ["m0", "m1", "m2"], 3).collect()

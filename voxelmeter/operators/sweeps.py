@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxelmeter.functions import dice, exact_quantiles, hit, ordered_counts, precision, ratio, recall
+from voxelmeter.operators.chunks import chunk_histogram
 from voxelmeter.operators.masks import KEY
 from voxelmeter.session import checkpointed
 
@@ -85,7 +86,11 @@ def histogram_counts(rows: DataFrame, keys: DataFrame, key: list[str], bins: Col
     ``keys`` lists the groups to report; those without any row get zeros. Output has one
     row per (key, ``cut`` in 1..size).
     """
-    hist = rows.groupBy(*key, bins.alias("cut")).agg(F.count(F.lit(1)).alias("n"), F.count_if(label).alias("n_true"))
+    return suffix_counts(rows.groupBy(*key, bins.alias("cut")).agg(F.count(F.lit(1)).alias("n"), F.count_if(label).alias("n_true")), keys, key, size)
+
+
+def suffix_counts(hist: DataFrame, keys: DataFrame, key: list[str], size: int) -> DataFrame:
+    """The same from a histogram ``(key, cut, n, n_true)``."""
     blank = keys.select(*key, F.explode(F.sequence(F.lit(1), F.lit(size))).alias("cut"),
                         F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("n_true"))
     full = hist.where("cut > 0").unionByName(blank).groupBy(*key, "cut").agg(F.sum("n").alias("n"), F.sum("n_true").alias("n_true"))
@@ -101,13 +106,16 @@ def sweep(scores: DataFrame, keys: DataFrame, truth: DataFrame, thresholds: list
           key: list[str] | None = None) -> DataFrame:
     """D3: all metrics at every threshold from one pass.
 
-    ``scores`` carries ``is_gt``; ``truth`` gives ``n_gt`` per finding including voxels
+    ``scores`` carries ``is_gt``, or is a chunk table with ``values`` and ``truth``; ``truth`` gives ``n_gt`` per finding including voxels
     without a score. The output is dense over ``keys`` x thresholds.
     """
     key = key or KEY
     values = sorted(set(float(t) for t in thresholds))
-    bins = bin_of(F.col(score), [cut_of(t, kind) for t in values])
-    counts = histogram_counts(scores, keys, key, bins, F.col("is_gt"), len(values))
+    cuts = [cut_of(t, kind) for t in values]
+    if "values" in scores.columns:
+        counts = suffix_counts(chunk_histogram(scores, key, cuts), keys, key, len(values))
+    else:
+        counts = histogram_counts(scores, keys, key, bin_of(F.col(score), cuts), F.col("is_gt"), len(values))
     rows = counts.join(truth.select(*KEY, "n_gt"), KEY, "left").fillna(0, ["n_gt"])
     d = dice("n_true", "n", "n_gt")
     return rows.select(
@@ -116,18 +124,23 @@ def sweep(scores: DataFrame, keys: DataFrame, truth: DataFrame, thresholds: list
         precision("n_true", "n", "n_gt", "zero").alias("precision"), recall("n_true", "n_gt", "null").alias("recall"))
 
 
-def removal_sweep(rows: DataFrame, keys: DataFrame, truth: DataFrame, cuts: list[float], score: str, label: str,
+def removal_sweep(rows: DataFrame, keys: DataFrame, truth: DataFrame, cuts: list[float], score: str = "score", label: str = "label",
                   key: list[str] | None = None) -> DataFrame:
     """Effect of deleting base-positive voxels whose removal score exceeds each cut.
 
-    Scores and cuts are compared as 32-bit floats, strictly, so nothing goes at cut 1.
+    Scores and cuts are compared as 32-bit floats, strictly, so nothing goes at cut 1. ``rows`` may be a chunk table: the removal
+    scores of base-positive voxels as ``values``, with ``truth``.
     """
     key = key or KEY
     values = sorted(set(float(c) for c in cuts))
-    as_float = [F.lit(v).cast("float") for v in values]
-    bins = bin_of(F.col(score).cast("float"), as_float, inclusive=False)
-    counts = histogram_counts(rows, keys, key, bins, F.col(label), len(values))
-    base = rows.groupBy(*key).agg(F.count_if(F.col(label)).alias("base_tp"), F.count_if(~F.col(label)).alias("base_fp"))
+    if "values" in rows.columns:
+        counts = suffix_counts(chunk_histogram(rows, key, values, inclusive=False, single=True), keys, key, len(values))
+        base = rows.groupBy(*key).agg(F.sum(F.size("truth")).alias("base_tp"), F.sum(F.size("values") - F.size("truth")).alias("base_fp"))
+    else:
+        as_float = [F.lit(v).cast("float") for v in values]
+        bins = bin_of(F.col(score).cast("float"), as_float, inclusive=False)
+        counts = histogram_counts(rows, keys, key, bins, F.col(label), len(values))
+        base = rows.groupBy(*key).agg(F.count_if(F.col(label)).alias("base_tp"), F.count_if(~F.col(label)).alias("base_fp"))
     out = counts.join(base, key, "left").join(truth.select(*KEY, "n_gt"), KEY, "left").fillna(0, ["base_tp", "base_fp", "n_gt"])
     out = out.withColumn("tp_removed", F.col("n_true")).withColumn("fp_removed", F.col("n") - F.col("n_true"))
     return _removal_metrics(out.withColumn("threshold", _levels(values)), [*key, "threshold"])

@@ -148,6 +148,13 @@ def scores(spark, sf) -> DataFrame:
             .withColumn("z", logit("p")))
 
 
+def score_chunks(spark, sf, value: str = "z") -> DataFrame:
+    """The same as arrays: one chunk per candidate and finding, voxels in order, with the places of the true ones."""
+    rows = scores(spark, sf).groupBy("candidate_id", *KEY).agg(F.sort_array(F.collect_list(F.struct("i", "j", "k", "is_gt", F.col(value).alias("v")))).alias("a"))
+    places = F.filter(F.transform("a", lambda x, at: F.when(x["is_gt"], at)), lambda at: at.isNotNull())
+    return rows.select("candidate_id", *KEY, F.lit(0).alias("chunk"), F.transform("a", lambda x: x["v"]).alias("values"), places.alias("truth"))
+
+
 def journal(spark, sf) -> DataFrame:
     """events as training journals: one run per event type, dense update numbers by time."""
     hour = F.date_format("ts", "yyyyMMddHH").cast("bigint")

@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from voxelmeter.operators import ensembles as en
+from voxelmeter.operators.chunks import ensemble_chunks, stacked_chunks
 from voxelmeter.plans import fixtures as fx
 from voxelmeter.plans.fixtures import KEY, dice_sql, r, sql
 from voxelmeter.plans.queries_sweeps import ALL, COARSE, FINE, truth
@@ -18,6 +19,10 @@ def _stack(spark, sf):
     return en.stacked(fx.scores(spark, sf), list(ALL))
 
 
+def _arrays(spark, sf):
+    return stacked_chunks(fx.score_chunks(spark, sf))
+
+
 _ST = "st as materialized (select case_id,finding_id,i,j,k, bool_or(is_gt) as is_gt, " + ", ".join(
     f"max(p) filter (candidate_id='{c}') as p_{c}, max(z) filter (candidate_id='{c}') as z_{c}" for c in ALL) + " from scores group by all)"
 
@@ -35,6 +40,14 @@ def e1b(spark, sf):
     return en.ensemble(_stack(spark, sf), en.Recipe.of("mix", "logit", {"m1": 2.0, "m3": 1.0}), {"mid": 0.5})
 
 
+@query("e1_ensemble_chunks", sql(f"""select case_id, finding_id, count(*) as voxels, count(*) filter (is_gt) as true_voxels, {r('sum(v)')} as total, {r('max(v)')} as peak from
+ (select *, round((0.5*p_m0+0.25*p_m2+0.25*p_m4),12) as v from st) group by all""", "scores", extra=_ST))
+def e1c(spark, sf):
+    rows = ensemble_chunks(_arrays(spark, sf), "probability", en.Recipe.of("mix", "probability", {"m0": 2.0, "m2": 1.0, "m4": 1.0}).weights)
+    per = rows.select(*KEY, F.size("values").alias("n"), F.size("truth").alias("t"), F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("s"), F.array_max("values").alias("m"))
+    return per.groupBy(*KEY).agg(F.sum("n").alias("voxels"), F.sum("t").alias("true_voxels"), F.sum("s").alias("total"), F.max("m").alias("peak"))
+
+
 CANDIDATES = [{"id": c, "arch": "a" if n < 2 else "b"} for n, c in enumerate(ALL)]
 
 
@@ -64,11 +77,11 @@ GRID = [0.3, 0.4, 0.5, 0.6, 0.7]
 @query("e2_score_recipes", sql(f"select recipe, case_id, finding_id, threshold, pred, tp, n_gt, {r('dice')} as dice, hit from rm", "keys", "scores", "gt",
                                extra=_E2.replace("{ts}", str(GRID))))
 def e2(spark, sf):
-    return en.score_recipes(_stack(spark, sf), fx.finding_keys(spark, sf), truth(spark, sf), _recipes(), GRID)
+    return en.score_recipes(_arrays(spark, sf), fx.finding_keys(spark, sf), truth(spark, sf), _recipes(), GRID)
 
 
 def _inputs(spark, sf):
-    return checkpointed(_stack(spark, sf)), checkpointed(fx.finding_keys(spark, sf)), checkpointed(truth(spark, sf))
+    return checkpointed(_arrays(spark, sf)), checkpointed(fx.finding_keys(spark, sf)), checkpointed(truth(spark, sf))
 
 
 def _frame(spark, path):

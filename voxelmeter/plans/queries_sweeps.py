@@ -63,7 +63,7 @@ _PR = f"{r('case when pred>0 then tp/pred else 0 end')} as \"precision\", {r('ca
 @query("d3_sweep", sql(f"""select candidate_id, case_id, finding_id, threshold, pred, tp, pred-tp as fp, n_gt-tp as fn, {r('dice')} as dice, hit, {_PR} from swm""",
                        "keys", "scores", "gt", extra=_swx(THRESHOLDS, ALL)))
 def d3(spark, sf):
-    return sw.sweep(fx.scores(spark, sf), _per_candidate(fx.finding_keys(spark, sf)), truth(spark, sf), THRESHOLDS, "p", "probability", key=CKEY)
+    return sw.sweep(fx.score_chunks(spark, sf, "p"), _per_candidate(fx.finding_keys(spark, sf)), truth(spark, sf), THRESHOLDS, kind="probability", key=CKEY)
 
 
 def _removal_rows(spark, sf):
