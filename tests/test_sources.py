@@ -136,3 +136,36 @@ def test_events_gap(spark, tmp_path):
     (tmp_path / "e.jsonl").write_text("\n".join(json.dumps({"event_index": i}) for i in (0, 1, 3)))
     _, check = census.read_events(spark, str(tmp_path), "event_index bigint")
     assert check.first()["dense"] is False
+
+
+def test_score_arrays(spark, tmp_path):
+    from voxelmeter.sources.score_arrays import array_shapes, read_score_arrays
+    rng = np.random.default_rng(4)
+    held = {}
+    for candidate in ("a", "b"):
+        for case in ("x", "y"):
+            held[candidate, case] = rng.random((2, 5, 4, 3)).astype(np.float16 if candidate == "a" else np.float64)
+            folder = tmp_path / candidate / "cases"
+            folder.mkdir(parents=True, exist_ok=True)
+            np.save(folder / f"{case}.npy", held[candidate, case])
+    (tmp_path / "a" / "notes.txt").write_text("no array")
+    for size in (64 << 20, 150):  # all files in one partition, and files in several ranges
+        rows = read_score_arrays(spark, str(tmp_path), chunk=17, slice_bytes=size)
+        got = rows.collect()
+        assert len(got) == 4 * 2 * 4 and {(r.candidate_id, r.case_id, r.finding_id, r.chunk) for r in got} == {(c, x, f, n) for c, x in held for f in range(2) for n in range(4)}
+        for r in got:
+            want = held[r.candidate_id, r.case_id][r.finding_id].ravel()[r.offset:r.offset + 17].astype(np.float32)
+            assert r["values"] == want.tolist() and list(r["shape"]) == [5, 4, 3] and r.offset == 17 * r.chunk
+    assert all((r.candidates, r.voxels, r.ok) == (2, 60, True) for r in array_shapes(rows).collect())
+    assert {r.candidate_id for r in read_score_arrays(spark, f"file://{tmp_path}", ["b"]).collect()} == {"b"}
+    np.save(tmp_path / "b" / "cases" / "y.npy", np.zeros((2, 5, 4, 2)))
+    assert {(r.case_id, r.ok) for r in array_shapes(read_score_arrays(spark, str(tmp_path))).collect()} == {("x", True), ("y", False)}
+    whole = (tmp_path / "a" / "cases" / "x.npy").read_bytes()
+    for bad, why in ((whole[:-2], "do not hold"), (None, "non-finite")):
+        if bad is None:
+            held["a", "x"][1, 2, 2, 2] = np.inf
+            np.save(tmp_path / "a" / "cases" / "x.npy", held["a", "x"])
+        else:
+            (tmp_path / "a" / "cases" / "x.npy").write_bytes(bad)
+        with pytest.raises(Exception, match=why):
+            read_score_arrays(spark, str(tmp_path), ["a"]).collect()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import struct
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from voxelmeter.plans import fixtures as fx
@@ -12,6 +15,7 @@ from voxelmeter.plans.fixtures import KEY, r, sql
 from voxelmeter.plans.registry import query
 from voxelmeter.session import scratch_path
 from voxelmeter.sources import census, markdown, sinks, volumes
+from voxelmeter.sources.score_arrays import array_shapes, file_system, read_score_arrays
 
 
 def _cases_json(spark, sf):
@@ -115,6 +119,41 @@ def a4b(spark, sf):
     return census.chunk_shapes(_chunks(spark, sf))
 
 
+def _stored_arrays(spark, sf):
+    """The same values as stored arrays of two findings (the second one higher), a file for each candidate and case."""
+    path = scratch_path(spark, "arrays")
+    at = F.col("i") * 80 + F.col("j") * 8 + F.col("k")
+    rows = fx.intensity(spark, sf).groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), "value"))).alias("c"))
+    rows = rows.select("case_id", F.explode(F.array(F.lit("m0"), F.lit("m1"))).alias("candidate_id"), F.transform("c", lambda x: x["value"]).alias("values"))
+
+    def store(batches):
+        for batch in batches:
+            for case, candidate, values in zip(*(batch.column(c).to_pylist() for c in ("case_id", "candidate_id", "values")), strict=True):
+                grid = np.array(values, np.float32).reshape(fx.SHAPE)
+                file = io.BytesIO()
+                np.save(file, np.stack([grid, grid + 1]))
+                files, root = file_system(path)
+                folder = f"{root}/{candidate}/cases"
+                files.create_dir(folder)
+                with files.open_output_stream(f"{folder}/{case}.npy") as out:
+                    out.write(file.getvalue())
+            yield pa.RecordBatch.from_arrays([batch.column("case_id")], ["case_id"])
+    rows.mapInArrow(store, "case_id long").count()
+    return path
+
+
+@query("a4_read_arrays", sql(f"""select candidate_id, case_id::varchar as case_id, f::int as finding_id, (i*80+j*8+k)//400 as chunk, count(*) as n, {r('sum(value+f)')} as total
+ from intensity, (select unnest(['m0','m1']) as candidate_id), (select unnest([0,1]) as f) group by all""", "intensity"))
+def a4_arrays(spark, sf):
+    chunks = read_score_arrays(spark, _stored_arrays(spark, sf), chunk=400)
+    return chunks.select("candidate_id", "case_id", "finding_id", "chunk", F.size("values").cast("long").alias("n"), F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("a4_array_shapes", sql("select case_id::varchar as case_id, f::int as finding_id, 2::bigint as candidates, 960::bigint as voxels, true as ok from cases, (select unnest([0,1]) as f)", "cases"))
+def a4_arrays_b(spark, sf):
+    return array_shapes(read_score_arrays(spark, _stored_arrays(spark, sf), chunk=400))
+
+
 @query("a5_decode_typed_json", f"""select event_id, (props::json->>'k')::bigint as k, {r('value')} as score, event_type as kind,
  case when value > 100 then value > 200 end as high, (props::json->>'k')::bigint as nested_k from events""")
 def a5(spark, sf):
