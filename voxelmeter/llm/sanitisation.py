@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelmeter.llm.io import checkpointed
+from voxelmeter.llm.io import checkpointed, release
 
 # The kinds in their order. Possessive repeats and starts at the front of a run keep each search linear; they
 # match what the plain patterns match.
@@ -105,41 +105,64 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
 
 
-def disclosing_terms(documents: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(entity, term): terms that give away more than ``disclosure`` of what naming the entity itself would.
-
-    PMI(term; entity) = log(P(term | entity) / P(term)) is held against ``disclosure`` times -log P(entity). P(term) and
-    P(entity) are shares of all documents that hold them; P(term | entity) the share of the entity's distinct contexts, 80 characters to
-    each side, that hold the term, so copies of a passage count once. A term must occur in at least three distinct contexts and
-    half of the entity's. Null texts count as documents without words.
-    """
+def _pairs(documents: DataFrame) -> DataFrame:
+    """(entity, term, together, contexts, times): how often entities and the terms of their contexts occur, alone and together."""
     text = F.col("text").cast("string")
-    total = documents.select(F.count("*").alias("docs"))
     seen = documents.where(text.isNotNull()).select(F.explode(_contexts(text)).alias("c")).select(
         "c.entity", F.regexp_replace(F.lower("c.context"), r"[^\p{L}\p{N}]+", " ").alias("context"))
-    contexts = seen.groupBy("entity", "context").agg(F.count("*").alias("times"))
+    contexts = checkpointed(seen.groupBy("entity", "context").agg(F.count("*").alias("times")))
     entities = contexts.groupBy("entity").agg(F.count("*").alias("contexts"), F.sum("times").alias("times")).where(F.col("contexts") >= MIN_CONTEXTS)
     words = contexts.select("entity", F.explode(_words(F.col("context"))).alias("term"))
-    pairs = words.groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= MIN_CONTEXTS).join(entities, "entity").where(
-        F.col("together") >= MIN_SHARE * F.col("contexts"))
-    held = documents.select(F.explode(_words(F.lower(text))).alias("term")).groupBy("term").agg(F.count("*").alias("holders"))
-    known = pairs.join(held, "term").crossJoin(F.broadcast(total))  # one row
+    pairs = checkpointed(words.groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= MIN_CONTEXTS).join(entities, "entity").where(
+        F.col("together") >= MIN_SHARE * F.col("contexts")))
+    release(contexts)
+    return pairs
+
+
+def _row_key(text: Column) -> Column:
+    """Which terms a text holds follows from the text, so rows that share a key do no harm."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text))
+
+
+def _holders(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(__named, term): a row for each document row and each term of the pairs that it holds."""
+    terms = pairs.select("term").distinct()
+    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        terms = F.broadcast(terms)  # of bounded size; the words of all documents are not shuffled then
+    text = F.col("text").cast("string")
+    words = documents.where(text.isNotNull()).select(_row_key(text).alias("__named"), F.explode(_words(F.lower(text))).alias("term"))
+    return checkpointed(words.join(terms, "term"))
+
+
+def _disclosing(documents: DataFrame, pairs: DataFrame, holders: DataFrame, disclosure: float) -> DataFrame:
+    total = documents.select(F.count("*").alias("docs"))
+    known = pairs.join(holders.groupBy("term").agg(F.count("*").alias("holders")), "term").crossJoin(F.broadcast(total))  # one row
     pmi = F.log(F.col("together") / F.col("contexts") / (F.col("holders") / F.col("docs")))
     content = -F.log(F.least(F.col("times") / F.col("docs"), F.lit(1.0)))
     return known.where((pmi > 0) & (pmi > disclosure * content)).select("entity", "term")
 
 
+def disclosing_terms(documents: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(entity, term): terms that give away more than ``disclosure`` of what naming the entity itself would.
+
+    PMI(term; entity) = log(P(term | entity) / P(term)) is held against ``disclosure`` times -log P(entity). P(term) and
+    P(entity) are shares of all documents that hold them; P(term | entity) the share of the entity's distinct contexts, 80 characters to
+    each side, that hold the term, so copies of a passage count once. A term must occur in at least three distinct contexts and
+    half of the entity's. Null texts count as documents without words.
+    """
+    pairs = _pairs(documents)
+    return _disclosing(documents, pairs, _holders(documents, pairs), disclosure)
+
+
 def _with_terms(documents: DataFrame, disclosure: float) -> DataFrame:
     """The rows with ``__terms``: the disclosing terms that each holds, whether or not it names their entity; null if none."""
-    disclosing = checkpointed(disclosing_terms(documents, disclosure).select("term").distinct())
-    if disclosing.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        disclosing = F.broadcast(disclosing)  # of bounded size; the words of all documents are not shuffled then
-    text = F.col("text").cast("string")
-    # Which terms a text holds follows from the text, so rows that share a key do no harm.
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text))
-    words = documents.where(text.isNotNull()).select(key.alias("__named"), F.explode(_words(F.lower(text))).alias("term"))
-    terms = words.join(disclosing, "term").groupBy("__named").agg(F.sort_array(F.collect_set("term")).alias("__terms"))
-    return documents.join(terms, key == F.col("__named"), "left").drop("__named")
+    pairs = _pairs(documents)
+    holders = _holders(documents, pairs)
+    own = holders.join(_disclosing(documents, pairs, holders, disclosure).select("term").distinct(), "term")
+    terms = checkpointed(own.groupBy("__named").agg(F.sort_array(F.collect_set("term")).alias("__terms")))
+    release(holders)
+    release(pairs)
+    return documents.join(terms, _row_key(F.col("text").cast("string")) == F.col("__named"), "left").drop("__named")
 
 
 def _term_pattern(terms: Column) -> Column:
@@ -159,7 +182,8 @@ def _term_spans(text: Column, terms: Column) -> Column:
 def find(documents: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """(doc_id, base, terms) per row: spans of personal data, and of terms that reveal it, in code points.
 
-    A null text is empty. Terms are looked for in all documents, also where their entity is not named.
+    A null text is empty. Terms are looked for in all documents, also where their entity is not named. Every row is searched for itself, whether or not
+    its doc_id repeats or is null, and whole, however long its text is.
     """
     marked = _with_terms(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), disclosure)
     return marked.select("doc_id", base_spans(F.col("text")).alias("base"), _term_spans(F.col("text"), F.col("__terms")).alias("terms"))
