@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxelmeter.functions import ratio, salted_join
-from voxelmeter.operators.masks import CERTIFIED, KEY, OFF_LOCATION, PARTITION, VOXEL, voxel_volume
+from voxelmeter.operators.masks import CERTIFIED, KEY, OFF_LOCATION, PARTITION, VOXEL, WORD, voxel_volume, words
 from voxelmeter.session import checkpointed, release
 
 # Lines after (i, j) in C order that can touch it.
@@ -116,10 +116,11 @@ def component_records(labels: DataFrame, headers: DataFrame, key: list[str] = KE
 
 
 def component_relations(labels: DataFrame, parts: DataFrame) -> DataFrame:
-    """Per predicted component the voxels in each class of :func:`partition_fp`."""
-    rows = labels.join(parts, [*KEY, *VOXEL])
+    """Per predicted component the voxels in each class of :func:`partition_words`."""
+    rows = words(labels, [*KEY, "component"]).join(parts, [*KEY, *WORD])
+    inside = {c: F.bit_count(F.col("bits").bitwiseAND(F.col(c))) for c in PARTITION}
     counts = rows.groupBy(*KEY, "component").agg(
-        F.count(F.lit(1)).alias("voxels"), *[F.count_if(F.col("part") == c).alias(c) for c in PARTITION])
+        F.sum(sum(inside.values(), F.lit(0))).alias("voxels"), *[F.sum(n).alias(c) for c, n in inside.items()])
     off = sum((F.col(c) for c in OFF_LOCATION), F.lit(0))
     certified = sum((F.col(c) for c in CERTIFIED), F.lit(0))
     return counts.select(
@@ -134,8 +135,9 @@ def relation_summary(findings: DataFrame, relations: DataFrame, gt_labels: DataF
     counts = relations.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("components"), F.count_if("detached").alias("detached"),
         F.count_if("detached_off_location").alias("detached_off_location"))
-    touched = (gt_labels.join(pred.select(*KEY, *VOXEL).withColumn("p", F.lit(True)), [*KEY, *VOXEL], "left")
-               .groupBy(*KEY, "component").agg(F.max(F.col("p").isNotNull()).alias("seen"))
+    marks = words(pred).withColumnRenamed("bits", "p")
+    touched = (words(gt_labels, [*KEY, "component"]).join(marks, [*KEY, *WORD], "left")
+               .groupBy(*KEY, "component").agg(F.max(F.coalesce(F.col("bits").bitwiseAND(F.col("p")), F.lit(0)) != 0).alias("seen"))
                .groupBy(*KEY).agg(F.count(F.lit(1)).alias("gt_components"), F.count_if("seen").alias("recalled")))
     names = ["components", "detached", "detached_off_location", "gt_components", "recalled"]
     out = findings.select(*KEY).join(counts, KEY, "left").join(touched, KEY, "left").fillna(0, names)

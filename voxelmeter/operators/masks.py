@@ -1,8 +1,10 @@
 """Overlap metrics on sparse voxel tables.
 
-A mask is one row per foreground voxel, ``(case_id, finding_id, i, j, k)``. Two masks
-are compared by a union with flags and an aggregate on the voxel key; the second
-aggregate per finding is map-side combined, so a huge case only adds partial sums.
+A mask is one row per foreground voxel, ``(case_id, finding_id, i, j, k)``, repeated rows count once. It may also be stored as words,
+``(case_id, finding_id, i, j, w, bits)``: bit ``k % 64`` of word ``k div 64`` of the line ``(i, j)`` (:func:`words`). Masks are compared word by
+word: voxels are put into words before they are shuffled (a bitwise or is map-side combined), and an overlap is the number of bits that two
+words share, so neither the shuffle nor the count has a row per voxel. The second aggregate per finding is map-side combined as well, so a huge
+case only adds partial sums.
 """
 
 from __future__ import annotations
@@ -14,19 +16,68 @@ from voxelmeter.functions import (dice, exact_quantiles, hit, precision, ratio,
 
 KEY = ["case_id", "finding_id"]
 VOXEL = ["i", "j", "k"]
+WORD = ["i", "j", "w"]
+
+
+def _no_bits() -> F.Column:
+    return F.lit(0).cast("bigint")
+
+
+def _in_words(mask: DataFrame) -> bool:
+    return {"w", "bits"} <= set(mask.columns)
+
+
+def _bits(mask: DataFrame) -> list[F.Column]:
+    """Place and bits of each row of a mask; a voxel is a word with one bit."""
+    if _in_words(mask):
+        return [F.col("i"), F.col("j"), F.col("w"), F.col("bits").alias("__bits")]
+    return [F.col("i"), F.col("j"), F.expr("shiftright(k, 6)").cast("int").alias("w"), F.expr("shiftleft(1L, cast(k & 63 as int))").alias("__bits")]
+
+
+def words(mask: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """The mask as words, one row per word; takes voxels or words, and repeated rows of either."""
+    return mask.select(*key, *_bits(mask)).groupBy(*key, *WORD).agg(F.bit_or("__bits").alias("bits"))
+
+
+def voxels(table: DataFrame, bits: str | F.Column = "bits", keep: list[str] = KEY) -> DataFrame:
+    """One row per set bit, ``keep`` and the voxel; no shuffle."""
+    bits = F.col(bits) if isinstance(bits, str) else bits
+    rows = table.select(*keep, *WORD, bits.alias("__bits"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("__at"))
+    return rows.where("getbit(__bits, __at) = 1").select(*keep, "i", "j", F.expr("w * 64 + __at").cast("int").alias("k"))
+
+
+def word_flags(masks: dict[str, DataFrame], key: list[str] = KEY, named: tuple[DataFrame, dict[str, F.Column]] | None = None) -> DataFrame:
+    """One row per word of any mask with the bits of each. ``named`` adds a table whose rows belong to the mask whose condition they meet."""
+    sources = [(mask, {name: F.lit(True)}) for name, mask in masks.items()] + ([named] if named else [])
+    columns = [name for _, parts in sources for name in parts]
+    rows = None
+    for mask, parts in sources:
+        own = {name: F.when(when, F.col("__bits")).otherwise(_no_bits()) for name, when in parts.items()}
+        part = mask.withColumns({c: v for c, v in zip(["__i", "__j", "__w", "__bits"], _bits(mask))}).select(
+            *key, F.col("__i").alias("i"), F.col("__j").alias("j"), F.col("__w").alias("w"), *[own.get(name, _no_bits()).alias(name) for name in columns])
+        rows = part if rows is None else rows.union(part)
+    return rows.groupBy(*key, *WORD).agg(*[F.bit_or(name).alias(name) for name in columns])
 
 
 def flagged(masks: dict[str, DataFrame], key: list[str] = KEY) -> DataFrame:
     """One row per voxel of any mask with a boolean column per mask."""
-    parts = None
-    for name, mask in masks.items():
-        rows = mask.select(*key, *VOXEL, *[F.lit(other == name).alias(other) for other in masks])
-        parts = rows if parts is None else parts.unionByName(rows)
-    return parts.groupBy(*key, *VOXEL).agg(*[F.max(name).alias(name) for name in masks])
+    rows = word_flags(masks, key).withColumn("__at", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    any_bit = " | ".join(f"`{name}`" for name in masks)
+    return rows.where(f"getbit({any_bit}, __at) = 1").select(
+        *key, "i", "j", F.expr("w * 64 + __at").cast("int").alias("k"), *[F.expr(f"getbit(`{name}`, __at) = 1").alias(name) for name in masks])
+
+
+def _counts(rows: DataFrame, by: list[str], bits: dict[str, F.Column]) -> DataFrame:
+    return rows.groupBy(*by).agg(*[F.sum(F.bit_count(value)).alias(name) for name, value in bits.items()])
+
 
+def _both(a: str | F.Column, b: str | F.Column) -> F.Column:
+    one, two = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return one.bitwiseAND(two)
 
-def _counts(rows: DataFrame, by: list[str], conditions: dict[str, F.Column]) -> DataFrame:
-    return rows.groupBy(*by).agg(*[F.count_if(cond).alias(name) for name, cond in conditions.items()])
+
+def _without(a: str | F.Column, b: str | F.Column) -> F.Column:
+    return _both(a, F.bitwise_not(F.col(b) if isinstance(b, str) else b))
 
 
 def with_counts(findings: DataFrame, counts: DataFrame, key: list[str] = KEY) -> DataFrame:
@@ -39,8 +90,7 @@ def mask_metrics(findings: DataFrame, pred: DataFrame, gt: DataFrame, epsilon: f
                  precision_empty: str = "both_empty_is_one", recall_empty: str = "one",
                  hit_threshold: float = 0.1) -> DataFrame:
     """Tp, fp, fn, dice, hit, precision, recall per finding, empties included."""
-    p, g = F.col("p"), F.col("g")
-    rows = _counts(flagged({"p": pred, "g": gt}), KEY, {"tp": p & g, "n_pred": p, "n_gt": g})
+    rows = _counts(word_flags({"p": pred, "g": gt}), KEY, {"tp": _both("p", "g"), "n_pred": F.col("p"), "n_gt": F.col("g")})
     out = with_counts(findings, rows)
     return out.select(
         *findings.columns, "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn"),
@@ -53,14 +103,13 @@ def mask_metrics(findings: DataFrame, pred: DataFrame, gt: DataFrame, epsilon: f
 def supported_metrics(findings: DataFrame, pred: DataFrame, gt: DataFrame, allowed: DataFrame) -> DataFrame:
     """Metrics of ``pred & allowed`` against the whole truth, and what the gate removed.
 
-    ``allowed`` is a set of voxels per case ``(case_id, i, j, k)``.
+    ``allowed`` is a set of voxels per case ``(case_id, i, j, k)``, or words of it.
     """
-    voxels = flagged({"p": pred, "g": gt})
-    inside = allowed.select("case_id", *VOXEL).distinct().withColumn("a", F.lit(True))
-    rows = voxels.join(inside, ["case_id", *VOXEL], "left")
-    p, g, a = F.col("p"), F.col("g"), F.col("a").isNotNull()
+    gate = words(allowed, ["case_id"]).withColumnRenamed("bits", "a")
+    rows = word_flags({"p": pred, "g": gt}).join(gate, ["case_id", *WORD], "left").fillna(0, ["a"])
+    hits = _both("p", "g")
     out = with_counts(findings, _counts(rows, KEY, {
-        "tp0": p & g, "p0": p, "g0": g, "tp": p & g & a, "pn": p & a, "gn": g & a}))
+        "tp0": hits, "p0": F.col("p"), "g0": F.col("g"), "tp": _both(hits, "a"), "pn": _both("p", "a"), "gn": _both("g", "a")}))
     return out.select(*findings.columns, *support_columns())
 
 
@@ -85,10 +134,11 @@ def edit_metrics(findings: DataFrame, base: DataFrame, final: DataFrame, gt: Dat
     With ``headers`` the edited share of the whole extent is given as well.
     """
     b, f, y = F.col("b"), F.col("f"), F.col("y")
-    rows = _counts(flagged({"b": base, "f": final, "y": gt}), KEY, {
-        "base_tp": b & y, "base_pred": b, "tp": f & y, "n_pred": f, "n_gt": y,
-        "fp_removed": b & ~f & ~y, "fn_recovered": ~b & f & y, "tp_removed": b & ~f & y,
-        "fp_added": ~b & f & ~y, "edited": b != f, "touched": F.lit(True)})
+    gone, new = _without(b, f), _without(f, b)
+    rows = _counts(word_flags({"b": base, "f": final, "y": gt}), KEY, {
+        "base_tp": _both(b, y), "base_pred": b, "tp": _both(f, y), "n_pred": f, "n_gt": y,
+        "fp_removed": _without(gone, y), "fn_recovered": _both(new, y), "tp_removed": _both(gone, y),
+        "fp_added": _without(new, y), "edited": b.bitwiseXOR(f), "touched": b.bitwiseOR(f).bitwiseOR(y)})
     out = with_counts(findings, rows)
     before, after = dice("base_tp", "base_pred", "n_gt"), dice("tp", "n_pred", "n_gt")
     out = out.select(
@@ -130,26 +180,42 @@ OFF_LOCATION = ["ipsilateral", "contralateral", "outside_lung"]
 CERTIFIED = OFF_LOCATION + ["other_certified"]
 
 
+def partition_words(pred: DataFrame, positive: DataFrame, regions: DataFrame) -> DataFrame:
+    """The classes of :func:`partition_fp` as words, a column of bits for each and one for ``violation``."""
+    where = {name: F.col("region") == name for name in CERTIFIED}
+    where["named"] = F.col("region").isNotNull()
+    where["uncertified"] = F.col("region").isNotNull() & ~F.col("region").isin(CERTIFIED)
+    rows = word_flags({"p": pred, "y": positive}, named=(regions, where)).where("p <> 0")
+    taken, twice, own = _no_bits(), _no_bits(), {}
+    for name in sorted(CERTIFIED):  # the first name in order wins a disputed voxel
+        own[name] = _without(name, taken)
+        twice, taken = twice.bitwiseOR(_both(name, taken)), taken.bitwiseOR(F.col(name))
+    twice = twice.bitwiseOR(_both("uncertified", taken))
+    classes = {"known_positive": F.col("y"), **{name: _without(own[name], "y") for name in CERTIFIED}, "unknown": F.bitwise_not(taken.bitwiseOR(F.col("y")))}
+    return rows.select(*KEY, *WORD, *[_both("p", classes[name]).alias(name) for name in PARTITION],
+                       _both("p", twice.bitwiseOR(_both("y", "named"))).alias("violation"))
+
+
 def partition_fp(pred: DataFrame, positive: DataFrame, regions: DataFrame) -> DataFrame:
     """Class of every predicted voxel.
 
     ``regions`` maps ``(case_id, finding_id, i, j, k)`` to one of ``ipsilateral``,
     ``contralateral``, ``outside_lung`` or ``other_certified``. A voxel that is certified
-    negative and also known positive breaks the contract and gets ``violation``.
+    negative and also known positive, or that two regions claim, breaks the contract and gets
+    ``violation``; of two certified regions the first by name counts.
     """
-    key = [*KEY, *VOXEL]
-    known = positive.select(*key).withColumn("y", F.lit(True))
-    named = regions.groupBy(*key).agg(F.min("region").alias("region"), (F.min("region") != F.max("region")).alias("disputed"))
-    rows = pred.select(*key).join(known, key, "left").join(named, key, "left")
-    part = (F.when(F.col("y"), "known_positive")
-            .when(F.col("region").isin(CERTIFIED), F.col("region")).otherwise("unknown"))
-    bad = (F.col("y") & F.col("region").isNotNull()) | F.coalesce(F.col("disputed"), F.lit(False))
-    return rows.select(*key, part.alias("part"), F.coalesce(bad, F.lit(False)).alias("violation"))
+    rows = partition_words(pred, positive, regions).withColumn("__at", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    part = F.coalesce(*[F.when(F.expr(f"getbit({name}, __at) = 1"), name) for name in PARTITION])
+    return rows.select(*KEY, "i", "j", F.expr("w * 64 + __at").cast("int").alias("k"), part.alias("part"),
+                       F.expr("getbit(violation, __at) = 1").alias("violation")).where("part is not null")
 
 
 def partition_summary(findings: DataFrame, parts: DataFrame, headers: DataFrame) -> DataFrame:
-    """Counts, volumes and the two guarded fractions per finding."""
-    counts = _counts(parts, KEY, {name: F.col("part") == name for name in PARTITION})
+    """Counts, volumes and the two guarded fractions per finding, from the classes as voxels or as words."""
+    if "part" in parts.columns:
+        counts = parts.groupBy(*KEY).agg(*[F.count_if(F.col("part") == name).alias(name) for name in PARTITION])
+    else:
+        counts = _counts(parts, KEY, {name: F.col(name) for name in PARTITION})
     out = with_counts(findings.select(*KEY), counts)
     unit = headers.select("case_id", voxel_volume("affine").alias("unit"))
     out = salted_join(out, unit, ["case_id"], ["finding_id"], "left")
@@ -236,19 +302,19 @@ def label_presence(atlas: DataFrame, headers: DataFrame) -> DataFrame:
 
 def outside_support(findings: DataFrame, gt: DataFrame, support: DataFrame) -> DataFrame:
     """Truth voxels outside the support, per finding."""
-    inside = support.select("case_id", *VOXEL).distinct().withColumn("__in", F.lit(True))
-    counts = gt.join(inside, ["case_id", *VOXEL], "left").groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("gt_voxels"), F.count_if(F.col("__in").isNull()).alias("outside_voxels"))
-    rows = with_counts(findings, counts)
+    rows = with_counts(findings, _outside(words(gt), support, KEY))
     return rows.withColumn("outside_fraction", ratio("outside_voxels", "gt_voxels"))
 
 
 def outside_by_case(gt: DataFrame, support: DataFrame) -> DataFrame:
     """The same for the union of a case's findings; a shared voxel counts once."""
-    union = gt.select("case_id", *VOXEL).distinct()
-    inside = support.select("case_id", *VOXEL).distinct().withColumn("a", F.lit(True))
-    return union.join(inside, ["case_id", *VOXEL], "left").groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("gt_voxels"), F.count_if(F.col("a").isNull()).alias("outside_voxels"))
+    return _outside(words(gt, ["case_id"]), support, ["case_id"])
+
+
+def _outside(truth: DataFrame, support: DataFrame, key: list[str]) -> DataFrame:
+    inside = words(support, ["case_id"]).withColumnRenamed("bits", "a")
+    rows = truth.join(inside, ["case_id", *WORD], "left").fillna(0, ["a"])
+    return _counts(rows, key, {"gt_voxels": F.col("bits"), "outside_voxels": _without("bits", "a")})
 
 
 def outside_by_category(rows: DataFrame) -> DataFrame:

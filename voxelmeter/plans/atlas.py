@@ -24,13 +24,13 @@ def error_atlas(findings: DataFrame, pred: DataFrame, gt: DataFrame, regions: Da
     Dice is unsmoothed here. ``anatomy`` is the compatible region per case. Findings outside
     ``supervised`` have no certified region, so the columns that need one are null.
     """
-    pred, gt = checkpointed(pred), checkpointed(gt)
+    pred, gt = checkpointed(masks.words(pred)), checkpointed(masks.words(gt))
     m = masks.mask_metrics(findings, pred, gt, epsilon=0.0, recall_empty="null")
-    parts = checkpointed(masks.partition_fp(pred, gt, regions))
+    parts = checkpointed(masks.partition_words(pred, gt, regions))
     place = masks.partition_summary(findings, parts, headers)
     # Both masks are labelled in the same rounds, with the mask as part of the key.
-    both = pred.select(F.lit("pred").alias("mask"), *KEY, *masks.VOXEL).union(gt.select(F.lit("gt").alias("mask"), *KEY, *masks.VOXEL))
-    labels = checkpointed(comp.components(both, ["mask", *KEY]))
+    both = pred.select(F.lit("pred").alias("mask"), "*").union(gt.select(F.lit("gt").alias("mask"), "*"))
+    labels = checkpointed(comp.components(masks.voxels(both, keep=["mask", *KEY]), ["mask", *KEY]))
     of = lambda name: labels.where(F.col("mask") == name).drop("mask")
     rel = comp.relation_summary(findings, comp.component_relations(of("pred"), parts), of("gt"), pred)
     out = m.join(place, KEY).join(rel, KEY)

@@ -52,20 +52,32 @@ def vox(spark, sf) -> DataFrame:
         F.round(F.col("l_discount") * 100).cast("int").alias("dc"))
 
 
+def gt_rows(spark, sf) -> DataFrame:
+    return vox(spark, sf).where("rf = 'A' and dc >= 4 * finding_id").select(*VOX)
+
+
 def gt(spark, sf) -> DataFrame:
-    return vox(spark, sf).where("rf = 'A' and dc >= 4 * finding_id").select(*VOX).distinct()
+    return gt_rows(spark, sf).distinct()
 
 
-def pred(spark, sf) -> DataFrame:
+def pred_rows(spark, sf) -> DataFrame:
     return (vox(spark, sf)
             .where("rf <> 'R' and dc >= case finding_id when 0 then 2 when 1 then 5 else 9 end "
                    "and not (finding_id = 2 and rf = 'A')")
-            .select(*VOX).distinct())
+            .select(*VOX))
+
+
+def pred(spark, sf) -> DataFrame:
+    return pred_rows(spark, sf).distinct()
 
 
 def final(spark, sf) -> DataFrame:
     """An edited prediction: drops the low-discount part, adds some returned rows."""
-    return vox(spark, sf).where("(rf = 'N' and dc >= 6) or (rf = 'A' and dc >= 8)").select(*VOX).distinct()
+    return final_rows(spark, sf).distinct()
+
+
+def final_rows(spark, sf) -> DataFrame:
+    return vox(spark, sf).where("(rf = 'N' and dc >= 6) or (rf = 'A' and dc >= 8)").select(*VOX)
 
 
 def _category() -> F.Column:

@@ -26,7 +26,7 @@ _C1 = sql(f"""select k.case_id, k.finding_id, coalesce(tp,0) as tp, coalesce(p,0
 
 @query("c1_mask_metrics", _C1)
 def c1(spark, sf):
-    return masks.mask_metrics(fx.finding_keys(spark, sf), fx.pred(spark, sf), fx.gt(spark, sf))
+    return masks.mask_metrics(fx.finding_keys(spark, sf), fx.pred_rows(spark, sf), fx.gt_rows(spark, sf))
 
 
 def _allowed(spark, sf):
@@ -54,7 +54,7 @@ _C2 = sql(_SUP + """ from keys k join (select k.case_id, k.finding_id, coalesce(
 
 @query("c2_supported_metrics", _C2)
 def c2(spark, sf):
-    return masks.supported_metrics(fx.finding_keys(spark, sf), fx.pred(spark, sf), fx.gt(spark, sf), _allowed(spark, sf))
+    return masks.supported_metrics(fx.finding_keys(spark, sf), fx.pred_rows(spark, sf), fx.gt_rows(spark, sf), _allowed(spark, sf))
 
 
 _C3 = sql(f"""select case_id, finding_id, tp, n_pred-tp as fp, n_gt-tp as fn, {r(dice_sql('base_tp','base_pred','n_gt'))} as base_dice,
@@ -74,7 +74,7 @@ _C3 = sql(f"""select case_id, finding_id, tp, n_pred-tp as fp, n_gt-tp as fn, {r
 
 @query("c3_edit_metrics", _C3)
 def c3(spark, sf):
-    return masks.edit_metrics(fx.finding_keys(spark, sf), fx.pred(spark, sf), fx.final(spark, sf), fx.gt(spark, sf),
+    return masks.edit_metrics(fx.finding_keys(spark, sf), fx.pred_rows(spark, sf), fx.final_rows(spark, sf), fx.gt_rows(spark, sf),
                               fx.headers(spark, sf))
 
 
@@ -129,7 +129,7 @@ _C5 = sql("select k.case_id, k.finding_id, "
 
 @query("c5_partition_fp", _C5)
 def c5(spark, sf):
-    parts = masks.partition_fp(fx.pred(spark, sf), fx.gt(spark, sf), _regions(spark, sf))
+    parts = masks.partition_words(fx.pred_rows(spark, sf), fx.gt_rows(spark, sf), _regions(spark, sf))
     return masks.partition_summary(fx.finding_keys(spark, sf), parts, fx.headers(spark, sf))
 
 
@@ -184,7 +184,7 @@ _C8 = sql("select case_id, finding_id, component, voxels, " + ", ".join(_NAMES)
 
 @query("c8_component_relations", _C8)
 def c8(spark, sf):
-    parts = masks.partition_fp(fx.pred(spark, sf), fx.gt(spark, sf), _regions(spark, sf))
+    parts = masks.partition_words(fx.pred_rows(spark, sf), fx.gt_rows(spark, sf), _regions(spark, sf))
     return comp.component_relations(_labels(spark, sf), parts)
 
 
@@ -202,7 +202,7 @@ _C8B = sql(f"""select k.case_id, k.finding_id, coalesce(components,0) as compone
 
 @query("c8_candidate_recall", _C8B)
 def c8b(spark, sf):
-    parts = masks.partition_fp(fx.pred(spark, sf), fx.gt(spark, sf), _regions(spark, sf))
+    parts = masks.partition_words(fx.pred_rows(spark, sf), fx.gt_rows(spark, sf), _regions(spark, sf))
     rel = comp.component_relations(_labels(spark, sf), parts)
     return comp.relation_summary(fx.finding_keys(spark, sf), rel, comp.components(fx.gt(spark, sf)), fx.pred(spark, sf))
 
