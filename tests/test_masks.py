@@ -185,3 +185,64 @@ def test_full_inclusion_of_an_empty_truth_is_an_option(spark):
     for option in (False, True):
         rows = {r.case_id: r for r in grids.proposal_metrics(proposals, none, findings, (2, 2, 2), (1,), empty_included=option).collect()}
         assert rows[1].full_inclusion_at_1 is option and rows[2].full_inclusion_at_1 is False and rows[1].hit_at_1 is False
+
+
+@pytest.mark.parametrize("share", [0.05, 0.12, 0.3])
+def test_components_over_slabs_and_words(spark, share):
+    """Volumes of several slabs and words against a flood fill; repeated rows and string keys included."""
+    rng = np.random.default_rng(int(share * 100))
+    volumes = {("a", 0): rng.random((70, 5, 131)) < share, ("b", 1): rng.random((33, 3, 66)) < share, ("c", 0): np.ones((65, 2, 65), bool)}
+    rows = [(c, f, *map(int, v)) for (c, f), mask in volumes.items() for v in np.argwhere(mask)]
+    df = spark.createDataFrame(rows + rows[:50], "case_id string, finding_id int, i int, j int, k int")
+    got = {tuple(r)[:5]: r.component for r in components.components(df).collect()}
+    assert len(got) == len(rows)
+    for (case, finding), mask in volumes.items():
+        left, number = {tuple(map(int, v)) for v in np.argwhere(mask)}, 0
+        for first in sorted(left):
+            if first not in left:
+                continue
+            number += 1
+            left.remove(first)
+            todo = [first]
+            while todo:
+                at = todo.pop()
+                assert got[(case, finding, *at)] == number
+                near = {(at[0] + a, at[1] + b, at[2] + c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)} & left
+                left -= near
+                todo += near
+
+
+def test_words_hold_any_index_and_repeated_rows(spark):
+    rows = [(1, 0, 0, 0, k) for k in (-65, -64, -1, 0, 63, 64, 127, 128)]
+    df = spark.createDataFrame(rows * 2, VOX)
+    packed = masks.words(df)
+    assert packed.count() == 5
+    assert sorted(r.k for r in masks.voxels(packed).collect()) == [r[4] for r in rows]
+    assert sorted(r.k for r in masks.flagged({"p": packed, "g": df}).where("p and g").collect()) == [r[4] for r in rows]
+    keys = spark.createDataFrame([(1, 0)], "case_id bigint, finding_id int")
+    one = masks.mask_metrics(keys, packed, df).first()
+    assert (one.tp, one.fp, one.fn) == (8, 0, 0)
+
+
+def test_masks_against_sets(spark):
+    rng = np.random.default_rng(5)
+    draw = lambda share: {tuple(map(int, v)) for v in np.argwhere(rng.random((3, 4, 140)) < share)}
+    p, g, f, a, names = draw(0.4), draw(0.4), draw(0.4), draw(0.5), ["ipsilateral", "contralateral", "outside_lung", "other_certified", "elsewhere"]
+    table = lambda s: spark.createDataFrame([(1, 0, *v) for v in s], VOX)
+    keys = spark.createDataFrame([(1, 0)], "case_id bigint, finding_id int")
+    sup = masks.supported_metrics(keys, table(p), table(g), table(a).drop("finding_id")).first()
+    assert (sup.tp, sup.fp, sup.tp_removed, sup.fp_removed, sup.gt_voxels) == (len(p & g & a), len(p & a - g), len(p & g - a), len(p - g - a), len(g))
+    edit = masks.edit_metrics(keys, table(p), table(f), table(g)).first()
+    assert (edit.fp_removed, edit.fn_recovered, edit.tp_removed, edit.tn_added, edit.edited) == (
+        len(p - f - g), len((f - p) & g), len((p - f) & g), len(f - p - g), len(p ^ f))
+    out = masks.outside_support(keys, table(g), table(a).drop("finding_id")).first()
+    assert (out.gt_voxels, out.outside_voxels) == (len(g), len(g - a))
+    regions = {n: draw(0.2) for n in names}
+    rows = spark.createDataFrame([(1, 0, *v, n) for n, s in regions.items() for v in s], VOX + ", region string")
+    got = {(r.i, r.j, r.k): (r.part, r.violation) for r in masks.partition_fp(table(p), table(g), rows).collect()}
+    assert set(got) == p
+    for v, (part, violation) in got.items():
+        held = sorted(n for n in names if v in regions[n])
+        sure = [n for n in held if n != "elsewhere"]
+        assert part == ("known_positive" if v in g else sure[0] if sure else "unknown")
+        assert violation == (bool(held) and v in g or len(held) > 1)

@@ -202,7 +202,7 @@ def partition_fp(pred: DataFrame, positive: DataFrame, regions: DataFrame) -> Da
     ``regions`` maps ``(case_id, finding_id, i, j, k)`` to one of ``ipsilateral``,
     ``contralateral``, ``outside_lung`` or ``other_certified``. A voxel that is certified
     negative and also known positive, or that two regions claim, breaks the contract and gets
-    ``violation``; of two certified regions the first by name counts.
+    ``violation``; of two certified regions the first by name counts, and regions of other names count as one.
     """
     rows = partition_words(pred, positive, regions).withColumn("__at", F.explode(F.sequence(F.lit(0), F.lit(63))))
     part = F.coalesce(*[F.when(F.expr(f"getbit({name}, __at) = 1"), name) for name in PARTITION])
