@@ -70,14 +70,44 @@ def test_scores_must_be_finite(spark):
         census.explode_chunks(df).collect()
 
 
+def _markdown(spark, *pages, **options):
+    df = spark.createDataFrame([(n, "https://site.test/base/", x) for n, x in enumerate(pages)], "page_id int, url string, html string")
+    return [r.markdown for r in markdown.pages_to_markdown(df, **options).orderBy("page_id").collect()]
+
+
 def test_pages(spark):
     html = ("<html><head><title>x</title></head><body><script>var a = '<p>';</script><h1>Top</h1><p>One &amp; <b>two</b><br>three</p>"
-            "<h2 class='c'>Part A</h2><ul><li>first</li><li><a href=\"/u\">link</a></li></ul><h2>Rest</h2><p>end</p></body></html>")
-    df = spark.createDataFrame([(1, "u", html), (2, "u", None)], "page_id int, url string, html string")
-    rows = {r.page_id: r for r in markdown.section(markdown.pages_to_markdown(df), "part").collect()}
-    assert rows[1].markdown == "# Top\n\nOne & **two**\nthree\n\n## Part A\n\n- first\n- [link](/u)\n\n## Rest\n\nend"
-    assert rows[1].section == "## Part A\n\n- first\n- [link](/u)" and rows[2].markdown is None and rows[2].section is None
-    assert markdown.section(markdown.pages_to_markdown(df), "absent").first()["section"] is None
+            "<h2 class='c'>Part A</h2><ul><li>first</li><li><a href='/u'>link</a></li></ul><h3>Deeper</h3><p>more</p><h2>Rest</h2><p>end</p></body></html>")
+    part = "## Part A\n\n- first\n- [link](https://site.test/u)\n\n### Deeper\n\nmore"
+    assert _markdown(spark, html, None, "", "a < b") == [f"# Top\n\nOne & **two**\nthree\n\n{part}\n\n## Rest\n\nend", None, "", "a < b"]
+    assert _markdown(spark, html, None, "", heading="PART") == [part, None, None]
+    assert _markdown(spark, html, heading="absent") == [None]
+
+
+def test_page_structures(spark):
+    table = "<table><tr><th>Model<th>Score</tr><tr><td>A|B</td><td>0.5<br>low</td></tr><tr><td>one</table>"
+    lists = "<ol start='3'><li>x<ul><li>y<li>z</ul></li><li>w</ol>"
+    code = "<pre><code class='language-python'>if a &lt; b:\n    go()  # ok\n</code></pre><p>and <code>a `b`</code></p>"
+    forms = "<form><input placeholder='Name'><input type=hidden name=h><button>Go</button><button></button><select name=s><option>p<option>q</select></form>"
+    got = _markdown(spark, table, lists, code, forms, "<blockquote><p>a</p><p>b</p></blockquote><hr><img src='i.png' alt='pic'>",
+                    "<p><b>open<br><p>next <a href='javascript:x()'>run</a> <a href='q'></a>", "<p>kept</p><a hre", "<div><div><h2>In</h2></div><p>text</p></div><h2>Out</h2>")
+    assert got == [
+        "| Model | Score |\n| --- | --- |\n| A\\|B | 0.5 low |\n| one |  |", "3. x\n   - y\n   - z\n4. w",
+        "```python\nif a < b:\n    go()  # ok\n```\n\nand ``a `b```", "[Input: Name][Button: Go][Select: s: p, q]", "> a\n>\n> b\n\n---\n\n![pic](https://site.test/base/i.png)",
+        "**open**\n\nnext run [https://site.test/base/q](https://site.test/base/q)", "kept", "## In\n\ntext\n\n## Out"]
+
+
+def test_page_selector(spark):
+    html = "<nav>menu</nav><div id='m' class='a b'><div>one</div><pre># no heading\n</pre></div><div class='a'>two</div>"
+    assert _markdown(spark, html, "<p>all</p>", selector="div#m.b") == ["one\n\n```\n# no heading\n```", "all"]
+    assert _markdown(spark, html, heading="no") == [None]
+    with pytest.raises(ValueError, match="selector"):
+        _markdown(spark, html, selector="div > p")
+
+
+def test_long_page(spark):
+    html = "<ul>" + "<li>x" * 20000 + "</ul>" + "<div>" * 20000 + "y"
+    assert _markdown(spark, html) == ["- x\n" * 19999 + "- x\n\ny"]
 
 
 def test_write_once_and_cache(spark):

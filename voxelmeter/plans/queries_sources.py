@@ -198,26 +198,36 @@ def a7(spark, sf):
     return census.with_path_parts(f.select(name.alias("file")), "file")
 
 
-def _markdown_sql() -> str:
-    text = "html"
-    for pattern, put in markdown.RULES:
-        quoted = [x.replace("'", "''") for x in (pattern, put.replace("{1}", "\\1").replace("{2}", "\\2"))]
-        text = f"regexp_replace({text}, '{quoted[0]}', '{quoted[1]}', 'g')"
-    return text
-
-
-_A8 = f"select page_id, {_markdown_sql()} as markdown from pages"
-
-
-@query("a8_pages_to_markdown", _A8)
+# These pages are flat: a run of tags and texts, each block tag opening the next block; SQL numbers the blocks and joins them.
+_FLAT = """with x as (select page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') as host, regexp_replace(regexp_replace(regexp_replace(html, '(?s)^.*<body[^>]*>', ''), '(?s)<!--.*?-->', '', 'g'), '<[A-Za-z/!][^>]*$', '') as h from pages),
+ t as (select page_id, host, unnest(regexp_extract_all(h, '<[^>]*>|[^<]+')) as tok, generate_subscripts(regexp_extract_all(h, '<[^>]*>|[^<]+'), 1) as pos from x),
+ n as (select *, sum(regexp_matches(tok, '^</?(p|div|nav|ul|li|h1|article|footer|body|html)[ >]')::int) over (partition by page_id order by pos) as block from t),
+ b as (select page_id, block, any_value(host) as host, min_by(tok, pos) as tag, regexp_replace(string_agg(tok, '' order by pos), '[ \\t\\n\\r]+', ' ', 'g') as raw from n group by all),
+ c as (select page_id, block, tag, case when contains(raw, '<b>') then split_part(raw, '<b>', 1) || '**' || regexp_replace(split_part(raw, '<b>', 2), '(<br>| )+$', '') || '**'
+  else regexp_replace(raw, '<a href="([^"]*)">(.*)</a>', '[\\2](' || host || '\\1)') end as linked from b),
+ d as (select page_id, block, tag, trim(replace(replace(replace(replace(regexp_replace(replace(linked, '<br>', chr(10)), '<[^>]*>', '', 'g'), '&middot;', '\u00b7'), '&copy;', '\u00a9'), '&quot;', '"'), '&amp;', '&'), chr(10) || ' ') as body from c),
+ f as (select page_id, block, tag = '<li>' as item, tag = '<h1>' as top, case tag when '<li>' then '- ' when '<h1>' then '# ' else '' end || body as line from d where body <> ''),
+ a as (select page_id, min(block) filter (tag like '<article%') as first, min(block) filter (tag = '</article>') as last from b group by 1),
+ g as (select page_id, min(block) filter (top and contains(lower(line), 'a')) as first, count(*) filter (top) as tops from f group by 1),
+ o as (select f.*, case when item and lag(item) over w then chr(10) when lag(item) over w is not null then chr(10) || chr(10) else '' end as sep from f window w as (partition by page_id order by block))"""
+_JOINED = "coalesce(string_agg(case when o.block = low then '' else sep end || line, '' order by o.block), '')"
+
+
+@query("a8_pages_to_markdown", f"{_FLAT} select pages.page_id, {_JOINED} as markdown from pages left join (select *, -1 as low from o) o using (page_id) group by 1")
 def a8(spark, sf):
     return markdown.pages_to_markdown(fx.table(spark, sf, "pages")).select("page_id", "markdown")
 
 
-@query("a8_page_section", f"""with m as ({_A8}), b as (select page_id, string_split(regexp_replace(chr(10)||markdown, '\\n(#{{1,6}} )', chr(1)||'\\1', 'g'), chr(1)) as blocks from m)
- select page_id, regexp_replace(([x for x in blocks if starts_with(x, '#') and contains(lower(split_part(x, chr(10), 1)), 'a')])[1], '[ \\n]+$', '') as section from b""")
+@query("a8_page_section", f"""{_FLAT} select g.page_id, case when g.first is not null then {_JOINED} end as section from g left join
+ (select o.*, min(o.block) over (partition by o.page_id) as low from o join g on o.page_id = g.page_id and o.block >= g.first) o on o.page_id = g.page_id group by g.page_id, g.first""")
 def a8b(spark, sf):
-    return markdown.section(markdown.pages_to_markdown(fx.table(spark, sf, "pages")), "a").select("page_id", "section")
+    return markdown.pages_to_markdown(fx.table(spark, sf, "pages"), heading="a", name="section").select("page_id", "section")
+
+
+@query("a8_page_article", f"""{_FLAT} select a.page_id, {_JOINED} as article from a left join
+ (select o.*, min(o.block) over (partition by o.page_id) as low from o join a on o.page_id = a.page_id and o.block >= a.first and o.block < coalesce(a.last, 1000000000)) o on o.page_id = a.page_id group by a.page_id""")
+def a8c(spark, sf):
+    return markdown.pages_to_markdown(fx.table(spark, sf, "pages"), selector="article", name="article").select("page_id", "article")
 
 
 @query("a9_write_immutable", sql("select step, outcome, (select count(*) from pred) as stored from (values (1,'written'),(2,'unchanged'),(3,'conflict'),(4,'replaced')) t(step, outcome)"

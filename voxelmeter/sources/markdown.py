@@ -1,43 +1,307 @@
-"""Web pages to Markdown, by substitutions on the column alone."""
+"""Web pages to Markdown blocks, and sections of them.
+
+Python only reads the markup, one page at a time and linear in it: events of the standard parser fill a stack of open elements, and each
+element that closes hands its text to the one around it. The result is an array of blocks; joining them and cutting sections are column
+expressions.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# In this order: (pattern, replacement). Patterns keep to what Java and RE2 read alike.
-RULES = [
-    (r"(?is)<!--.*?-->", ""),
-    (r"(?is)<(?:script|style|noscript|template)\b.*?</(?:script|style|noscript|template)\s*>", ""),
-    (r"(?is)<head\b.*?</head\s*>", ""),
-    (r"[ \t\r\n]+", " "),
-    *((rf"(?i)<h{n}\b[^>]*>", "\n\n" + "#" * n + " ") for n in range(1, 7)),
-    (r"(?i)<li\b[^>]*>", "\n- "),
-    (r"(?i)<t[dh]\b[^>]*>", " | "),
-    (r"(?i)<br\b[^>]*>|</?tr\b[^>]*>", "\n"),
-    (r"(?i)</?(?:p|div|section|article|header|footer|nav|main|aside|ul|ol|table|blockquote|pre|h[1-6])\b[^>]*>", "\n\n"),
-    (r"(?i)</?(?:b|strong)\b[^>]*>", "**"),
-    (r"(?i)</?(?:i|em)\b[^>]*>", "*"),
-    (r"(?i)<a\b[^>]*?\bhref=\"([^\"]*)\"[^>]*>(.*?)</a\s*>", "[{2}]({1})"),
-    (r"<[^>]*>", ""),
-    (r"&nbsp;", " "), (r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", "\""), (r"&#39;", "'"), (r"&amp;", "&"),
-    (r" *\n *", "\n"), (r" +", " "), (r"\n\n\n+", "\n\n"), (r"^[ \n]+|[ \n]+$", ""),
-]
-
-
-def pages_to_markdown(pages: DataFrame, html: str = "html", name: str = "markdown") -> DataFrame:
-    """``pages`` with a Markdown column: headings, lists, table cells, emphasis and links; other markup goes.
-
-    A null page stays null.
+MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "del": "~~", "s": "~~"}
+INLINE = {*MARKS, "a", "code", "button", "option"}
+HEADINGS = {f"h{n}": n for n in range(1, 7)}
+LISTS = {"ul", "ol"}
+HIDDEN = {"script", "style", "noscript", "template", "svg", "canvas", "head"}
+FRAMED = {*INLINE, *HEADINGS, *LISTS, "li", "table", "tr", "td", "th", "pre", "blockquote", "textarea", "select"}
+# An element that starts here ends an open one of the second set, unless one of the third lies between.
+ENDS = {"li": ({"li"}, LISTS), "option": ({"option"}, {"select"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})}
+BLOCKS = {"p", "div", "section", "article", "header", "footer", "nav", "main", "aside", "form", "figure", "figcaption", "fieldset", "details", "summary", "dl", "dt", "dd", "address", "hr", "html"}
+UNSAFE = {"data", "javascript", "vbscript"}
+BLOCK_TYPE = "array<struct<level:int,text:string>>"
+
+
+@dataclass
+class _Open:
+    """An element that is open: the text of its present paragraph, and its finished blocks (level 0, or that of a heading)."""
+
+    tag: str
+    attrs: dict[str, str] = field(default_factory=dict)
+    text: list[str] = field(default_factory=list)
+    blocks: list[tuple[int, str]] = field(default_factory=list)
+    rows: list[list[str]] = field(default_factory=list)
+
+    def paragraph(self) -> None:
+        lines = re.sub(r"[^\S\n]+", " ", "".join(self.text)).split("\n")
+        whole = re.sub(r"\n{3,}", "\n\n", "\n".join(x.strip() for x in lines)).strip()
+        self.text.clear()
+        if whole:
+            self.blocks.append((0, whole))
+
+    def joined(self, by: str) -> str:
+        self.paragraph()
+        return by.join(text for _, text in self.blocks)
+
+
+def _wanted(selector: str | None) -> Callable[[str, dict[str, str]], bool] | None:
+    """A test for ``tag``, ``#id``, ``.class`` and what these make up together."""
+    if selector is None:
+        return None
+    parts = re.fullmatch(r"([A-Za-z][A-Za-z0-9]*)?((?:[#.][A-Za-z0-9_-]+)*)", selector)
+    if not selector or parts is None:
+        raise ValueError(f"selector {selector!r} is not made of a tag, #id and .class")
+    tag, marks = (parts[1] or "").lower(), re.findall(r"([#.])([^#.]+)", parts[2])
+
+    def test(name: str, attrs: dict[str, str]) -> bool:
+        classes = attrs.get("class", "").split()
+        return tag in ("", name) and all(attrs.get("id") == x if kind == "#" else x in classes for kind, x in marks)
+    return test
+
+
+class _Reader(HTMLParser):
+    """Blocks of one page; with a selector those of the first element that it names."""
+
+    def __init__(self, base: str, wanted: Callable[[str, dict[str, str]], bool] | None) -> None:
+        super().__init__(convert_charrefs=True)
+        self.base, self.wanted = base, wanted
+        self.stack = [_Open("")]
+        self.hidden: list[str] = []
+        self.inside = 0  # open elements of the selected one's name
+        self.chosen: str | None = None
+        self.result: list[tuple[int, str]] | None = None
+
+    def link(self, address: str) -> str:
+        try:
+            whole = urljoin(self.base, address)
+            return "" if urlsplit(whole).scheme.lower() in UNSAFE else whole
+        except ValueError:
+            return address
+
+    def within(self, tags: set[str], barrier: set[str] = frozenset()) -> int | None:
+        """Place in the stack of the nearest open element of these, if no barrier lies above it."""
+        for at in range(len(self.stack) - 1, 0, -1):
+            if self.stack[at].tag in tags:
+                return at
+            if self.stack[at].tag in barrier:
+                return None
+        return None
+
+    def close_to(self, size: int) -> None:
+        while len(self.stack) > size:
+            done = self.stack.pop()
+            self.put(done, self.stack[-1])
+
+    def end_paragraph(self) -> None:
+        """A block ends the inline elements that are still open, and the paragraph."""
+        size = len(self.stack)
+        while self.stack[size - 1].tag in INLINE:
+            size -= 1
+        self.close_to(size)
+        if self.stack[-1].tag not in HEADINGS:
+            self.stack[-1].paragraph()
+
+    def put(self, done: _Open, around: _Open) -> None:
+        """Hand a closed element to the one around it: as text within a paragraph, or as a block."""
+        tag, label = done.tag, next((done.attrs[x] for x in ("placeholder", "aria-label", "name", "id") if done.attrs.get(x)), None)
+        if tag == "pre":
+            code = "".join(done.text).strip("\n")
+            fence = "`" * max(3, 1 + max((len(x) for x in re.findall("`+", code)), default=0))
+            around.paragraph()
+            around.blocks.append((0, f"{fence}{done.attrs.get('language', '')}\n{code}\n{fence}"))
+        elif tag == "code":
+            code = "".join(done.text)
+            fence = "`" * (1 + max((len(x) for x in re.findall("`+", code)), default=0))
+            around.text.append(f"{fence}{code}{fence}" if code else "")
+        elif tag in MARKS:
+            text = done.joined("\n")
+            around.text.append(f"{MARKS[tag]}{text}{MARKS[tag]}" if text else "")
+        elif tag == "a":
+            text, target = done.joined("\n"), self.link(done.attrs.get("href", "")) if done.attrs.get("href") else ""
+            around.text.append(f"[{text or target}]({target})" if target else text)
+        elif tag == "button":
+            text = done.joined(" ") or done.attrs.get("aria-label", "")
+            around.text.append(f"[Button: {text}]" if text else "")
+        elif tag == "textarea":
+            around.text.append(f"[Textarea: {label or 'text'}]")
+        elif tag == "option" and around.tag == "select":
+            around.blocks += [(0, x) for x in [done.joined(" ")] if x]
+        elif tag == "select":
+            listed = ", ".join(text for _, text in done.blocks)
+            around.text.append(f"[Select: {label or 'select'}{': ' if listed else ''}{listed}]")
+        elif tag in HEADINGS:
+            text = re.sub(r"\s+", " ", done.joined(" "))
+            around.paragraph()
+            if text:
+                around.blocks.append((HEADINGS[tag], f"{'#' * HEADINGS[tag]} {text}"))
+        elif tag in ("td", "th"):
+            around.rows.append([re.sub(r"\s+", " ", done.joined(" ")).replace("|", "\\|")])
+        elif tag == "tr":
+            around.rows.append([x for (x,) in done.rows])
+        elif tag == "table":
+            width = max((len(x) for x in done.rows), default=0)
+            lines = [f"| {' | '.join(x + [''] * (width - len(x)))} |" for x in done.rows]
+            around.paragraph()
+            around.blocks += done.blocks  # a caption, or text astray
+            if width:
+                around.blocks.append((0, "\n".join([lines[0], "|" + " --- |" * width, *lines[1:]])))
+        elif tag in LISTS:
+            done.paragraph()
+            start = done.attrs.get("start", "1")
+            number = int(start) if re.fullmatch("[0-9]{1,9}", start) else 1
+            items = []
+            for n, (_, text) in enumerate(done.blocks, start=number):
+                mark = f"{n}. " if tag == "ol" else "- "
+                items.append(mark + text.replace("\n", "\n" + " " * len(mark)))
+            around.paragraph()
+            if items:
+                around.blocks.append((0, "\n".join(items)))
+        elif tag == "li":
+            text = done.joined("\n")
+            around.paragraph()
+            if text:
+                around.blocks.append((0, text if around.tag in LISTS else f"- {text}"))
+        elif tag == "blockquote":
+            text = done.joined("\n\n")
+            around.paragraph()
+            if text:
+                around.blocks.append((0, "\n".join(f"> {x}".rstrip() for x in text.split("\n"))))
+        else:
+            around.text.append(done.joined(" "))
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.hidden:
+            if tag != "body":
+                self.hidden += [tag] * (tag == self.hidden[-1])
+                return
+            self.hidden.clear()  # a head that nobody closed
+        if tag in HIDDEN:
+            self.hidden.append(tag)
+            return
+        given = {k: v or "" for k, v in attrs}
+        if self.within({"pre"}) is not None:
+            language = next((x.removeprefix("language-") for x in given.get("class", "").split() if x.startswith("language-")), None)
+            if tag == "code" and language:
+                self.stack[self.within({"pre"})].attrs["language"] = language
+            elif tag == "br":
+                self.stack[-1].text.append("\n")
+            return
+        if self.chosen is None and self.wanted is not None and self.wanted(tag, given):
+            self.close_to(1)
+            self.stack[0] = _Open("")
+            self.chosen = tag
+        self.inside += tag == self.chosen
+        top = self.stack[-1]
+        if tag == "body" and self.chosen is None:
+            self.stack = [_Open("")]
+        elif tag == "br":
+            top.text.append("\n")
+        elif tag == "img":
+            source = self.link(given["src"]) if given.get("src") else ""
+            top.text.append(f"![{given.get('alt', '')}]({source})" if source else "")
+        elif tag == "input":
+            name = next((given[x] for x in ("placeholder", "aria-label", "name", "type") if given.get(x)), "text")
+            top.text.append("" if given.get("type", "").lower() == "hidden" else f"[Input: {name}]")
+        elif tag in BLOCKS:
+            self.end_paragraph()
+            if tag == "hr":
+                self.stack[-1].blocks.append((0, "---"))
+        elif tag in FRAMED:
+            if tag not in INLINE and tag not in ("select", "textarea"):
+                self.end_paragraph()
+            if tag in HEADINGS and self.stack[-1].tag in HEADINGS:
+                self.close_to(len(self.stack) - 1)
+            if tag in ENDS and (at := self.within(*ENDS[tag])) is not None:
+                self.close_to(at)
+            if tag in ("td", "th") and self.within({"tr"}, {"table"}) is None:
+                if self.within({"table"}) is None:
+                    return
+                self.stack.append(_Open("tr"))
+            if tag == "tr" and self.within({"table"}) is None:
+                return
+            self.stack.append(_Open(tag, given))
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.hidden:
+            if tag == self.hidden[-1]:
+                self.hidden.pop()
+            return
+        if self.within({"pre"}) is not None and tag != "pre":
+            return
+        if tag in BLOCKS:
+            self.end_paragraph()
+        elif tag in FRAMED:
+            barrier = FRAMED - INLINE if tag in INLINE else {"table"} - {tag}
+            if (at := self.within({tag}, barrier)) is not None:
+                self.close_to(at)
+        if tag == self.chosen and self.result is None:
+            self.inside -= 1
+            if not self.inside:
+                self.result = self.finished()
+
+    def handle_data(self, data: str) -> None:
+        if not self.hidden:
+            raw = self.stack[-1].tag in ("pre", "code")
+            self.stack[-1].text.append(data if raw else re.sub(r"\s+", " ", data))
+
+    def finished(self) -> list[tuple[int, str]]:
+        self.close_to(1)
+        self.stack[0].paragraph()
+        return list(self.stack[0].blocks)
+
+
+def page_blocks(html: str | None, base: str | None, wanted: Callable[[str, dict[str, str]], bool] | None = None) -> list[dict] | None:
+    """Blocks of one page; a tag that the end of the page cuts off goes."""
+    if html is None:
+        return None
+    reader = _Reader(base or "", wanted)
+    cut = html.rfind("<")
+    torn = cut >= 0 and ">" not in html[cut:] and re.match(r"<[A-Za-z/!]", html[cut:cut + 2]) is not None
+    reader.feed(html[:cut] if torn else html)
+    reader.close()
+    found = reader.result if reader.result is not None else reader.finished()
+    return [{"level": level, "text": text} for level, text in found]
+
+
+def _section(blocks: Column, heading: str) -> Column:
+    """The blocks from the first heading that holds ``heading`` up to the next of its level or a higher one; null without one."""
+    level = lambda b: b["level"]
+    flags = F.transform(blocks, lambda b: (level(b) > 0) & F.contains(F.lower(b["text"]), F.lower(F.lit(heading))))
+    start = F.array_position(flags, F.lit(True)).cast("int")
+    rest = F.slice(blocks, start + 1, F.size(blocks))
+    own = level(F.get(blocks, start - 1))
+    end = F.array_position(F.transform(rest, lambda b: level(b).between(1, own)), F.lit(True)).cast("int")
+    part = F.slice(blocks, start, F.when(end > 0, end).otherwise(F.size(blocks)))
+    return F.when(start > 0, part)
+
+
+def pages_to_markdown(pages: DataFrame, selector: str | None = None, heading: str | None = None, html: str = "html", url: str | None = "url",
+                      name: str = "markdown") -> DataFrame:
+    """``pages`` with a Markdown column.
+
+    Headings, paragraphs, nested and numbered lists, tables with a header rule, fenced code, quotes, emphasis, links, images and form controls
+    are kept; scripts, styles, drawings, comments and the head go. Links are made whole against ``url``, if the table has it; those that would
+    run code become their text. ``selector`` (tag, #id, .class) keeps the first element it names, or the whole page where there is none.
+    ``heading`` keeps the section under the first heading that holds it, in any case, up to the next heading of its level or a higher one; null
+    where there is none. A block ends inline elements that nobody closed. A null page stays null, an empty one is empty.
     """
-    text = F.col(html)
-    for pattern, put in RULES:
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(put.replace("{1}", "$1").replace("{2}", "$2")))
-    return pages.withColumn(name, text)
+    wanted = _wanted(selector)
 
+    @F.pandas_udf(BLOCK_TYPE)
+    def read(texts: pd.Series, bases: pd.Series) -> pd.Series:
+        return pd.Series([page_blocks(t, b, wanted) for t, b in zip(texts, bases, strict=True)], dtype=object)
 
-def section(pages: DataFrame, heading: str, markdown: str = "markdown", name: str = "section") -> DataFrame:
-    """From the first heading line that holds ``heading`` (any case) up to the next heading, or null without one."""
-    blocks = F.split(F.concat(F.lit("\n"), F.col(markdown)), "\n(?=#{1,6} )")
-    wanted = F.filter(blocks, lambda b: b.startswith("#") & F.lower(F.substring_index(b, "\n", 1)).contains(heading.lower()))
-    return pages.withColumn(name, F.regexp_replace(F.get(wanted, F.lit(0)), r"[ \n]+$", ""))
+    base = F.col(url) if url in pages.columns else F.lit("")
+    # Kept as a column, so that the expressions below don't read the page again.
+    rows = pages.withColumn("__blocks", read(F.col(html), base.cast("string")))
+    blocks = F.col("__blocks") if heading is None else _section(F.col("__blocks"), heading)
+    text = F.array_join(F.transform(blocks, lambda b: b["text"]), "\n\n")
+    return rows.withColumn(name, text).drop("__blocks")
