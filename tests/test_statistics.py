@@ -136,6 +136,39 @@ def test_greedy_out_of_fold(spark, small):
         assert r.held_dice == pytest.approx(float(np.mean(mean_dice(z, gt, {m: 1.0}, r.threshold, held)))) and r.findings == len(held)
 
 
+def test_folds_search_as_if_alone(spark, small):
+    _, _, stack, keys, truth = small
+    folds = spark.createDataFrame([(c, c % 3) for c in range(6)], "case_id bigint, fold int")
+    names, ts = ["m0", "m1", "m2"], [0.3, 0.4, 0.5]
+    rows = {r.fold: r for r in en.oof_greedy(stack, keys, truth, folds, names, "logit", 3, ts, ts, refit=True).collect()}
+    assert set(rows) == {0, 1, 2, None} and rows[None].held_dice is None and rows[None].findings is None
+    for fold in (1, None):
+        part = lambda df: df if fold is None else df.where(f"case_id % 3 <> {fold}")  # noqa: B023, E731
+        alone = en.choose(en.greedy_forward(part(stack), part(keys), truth, names, "logit", 3, ts, ts))
+        assert (rows[fold].recipe, rows[fold].threshold, rows[fold].fit_dice) == (alone.recipe.name, alone.threshold, pytest.approx(alone.dice))
+    assert en.oof_summary(spark.createDataFrame(list(rows.values()), "strategy string, fold int, recipe string, threshold double, fit_dice double, models int, uniform boolean, "
+                                                "held_dice double, hits bigint, findings bigint")).first()["findings"] == sum(r.findings for f, r in rows.items() if f is not None)
+    none = en.oof_greedy(stack, keys, truth, folds.where("false"), names, "logit", 2, ts, ts)
+    assert none.count() == 0
+
+
+def test_seeds_by_scope(spark, small):
+    z, gt, stack, keys, truth = small
+    both = keys.withColumn("category", F.when(F.col("case_id") % 2 == 0, "even").otherwise("odd"))
+    seeds = {"all": ("m0", "m1", "m1"), "odd": ("m2",), "nowhere": ("m0",)}
+    got = {(r.scope, r.arm): r for r in en.seed_arms(stack, both, truth, ["m0", "m1", "m2"], seeds).collect()}
+    assert set(got) == {(s, a) for s in ("all", "odd") for a in ("seed", "uniform")}
+    odd = {k for k in gt if k[0] % 2 == 1}
+    assert got["all", "seed"].dice == pytest.approx(float(np.mean(mean_dice(z, gt, {0: 1 / 3, 1: 2 / 3}, 0.5, set(gt)))))
+    assert got["odd", "seed"].dice == pytest.approx(float(np.mean(mean_dice(z, gt, {2: 1.0}, 0.5, odd)))) and got["odd", "seed"].basket == "m2"
+    assert got["odd", "uniform"].gain == 0 and got["odd", "seed"].gain == pytest.approx(got["odd", "seed"].dice - got["odd", "uniform"].dice)
+    # From a basket of its own, a scope takes the member that a plain search over its findings takes.
+    odd_only = both.where("category = 'odd'")
+    plain = en.caruana(stack, odd_only, truth, ["m0", "m1", "m2"], 1, seed=("m2",), by_category=False).first()
+    mixed = {r.scope: r for r in en.caruana(stack, both, truth, ["m0", "m1", "m2"], 1, seed=seeds).collect()}
+    assert (mixed["odd"].basket, mixed["odd"].dice) == (plain.basket, plain.dice) and mixed["all"].k == 4 and mixed["even"].k == 1
+
+
 def in_chunks(spark, z, gt, size=7):
     """The same scores as chunk arrays of uneven length, stacked."""
     rows = [(f"m{m}", c, f, n, [float(x) for x in z[(c, f)][m].ravel()[a:a + size]], np.flatnonzero(gt[(c, f)].ravel()[a:a + size]).tolist())

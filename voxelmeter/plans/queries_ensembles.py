@@ -93,7 +93,7 @@ def _fits(recipes, p):
     """SQL views for the best threshold of each of these recipes: ``{p}bt`` (recipe, threshold, dice, hits, findings)."""
     values = " union all ".join("select '" + x.name + "' as recipe, case_id, finding_id, is_gt, round(" + "+".join(f"{w!r}*p_{c}" for c, w in x.weights) + ",12) as v from st" for x in recipes)
     return f"""{p}rv as materialized ({values}), {p}rc as materialized (select recipe, case_id, finding_id, t, count(*) n, count(*) filter (is_gt) tp from {p}rv, (select unnest({FINE})::double as t)
- where v>=t group by all), {p}rm as materialized (select recipe, t, {dice_sql('coalesce(tp,0)', 'coalesce(n,0)', 'coalesce(ng,0)')} as dice from keys k cross join (select distinct recipe from {p}rv)
+ where v>=t group by all), {p}rm as materialized (select recipe, case_id, t, {dice_sql('coalesce(tp,0)', 'coalesce(n,0)', 'coalesce(ng,0)')} as dice from keys k cross join (select distinct recipe from {p}rv)
  cross join (select unnest({FINE})::double as t) left join {p}rc using (recipe, case_id, finding_id, t) left join (select case_id, finding_id, count(*) ng from gt group by all) g using (case_id, finding_id)),
  {p}pt as materialized (select recipe, t as threshold, round(avg(dice),12) as dice, count(*) filter (dice>=0.1) as hits, count(*) as findings from {p}rm group by all),
  {p}bt as materialized (select p.* from {p}pt p join (select recipe, threshold as c from {p}pt where list_contains(list_transform({COARSE}, lambda x: round(x,6)), round(threshold,6))
@@ -154,6 +154,30 @@ def e4b(spark, sf):
     return en.caruana(stack, cats, t, list(ALL), 2, seed=("m0", "m1"), by_category=False)
 
 
+def _seeds(categories):
+    """A basket of three for each scope, two of them copies."""
+    return {"all": ("m0", "m1", "m1")} | {c: (f"m{n % 5}", f"m{(n + 2) % 5}", f"m{(n + 2) % 5}") for n, c in enumerate(sorted(categories))}
+
+
+_SEEDS = _ST + f""", nc as (select category, row_number() over (order by category)-1 as n from (select distinct category from attrs join keys using (case_id, finding_id))),
+ sc as (select 'all' as scope, 0 as a, 1 as b union all select category, n%5, (n+2)%5 from nc),
+ sk as materialized (select case_id, finding_id, scope, a, b from keys join attrs using (case_id, finding_id) join sc on scope='all' or scope=category),
+ pv as materialized (select *, [{",".join(f"p_{c}" for c in ALL)}] as p from st),
+ cn as materialized (select scope, arm, case_id, finding_id, count(*) filter (v>=0.5) as pred, count(*) filter (v>=0.5 and is_gt) as tp from (select scope, case_id, finding_id, is_gt, unnest(['seed','uniform']) as arm,
+ unnest([round((p[a+1]+2*p[b+1])/3,12), round(list_sum(p)/{len(ALL)},12)]) as v from pv join sk using (case_id, finding_id)) group by all),
+ am as materialized (select scope, arm, case when arm='uniform' then '{",".join(ALL)}' else array_to_string(list_sort(['m'||a,'m'||b,'m'||b]),',') end as basket, round(avg(d),12) as dice, count(*) filter (d>=0.1) as hits, count(*) as findings
+ from (select sk.scope, arm, a, b, {dice_sql('coalesce(tp,0)', 'coalesce(pred,0)', 'coalesce(ng,0)')} as d from sk cross join (select unnest(['seed','uniform']) as arm) left join cn using (scope, arm, case_id, finding_id)
+ left join (select case_id, finding_id, count(*) ng from gt group by all) g on g.case_id=sk.case_id and g.finding_id=sk.finding_id) group by all)"""
+
+
+@query("e4_seed_arms", sql(f"select scope, arm, basket, {r('dice')} as dice, hits, findings, {r('dice-max(dice) filter (arm=$$uniform$$) over (partition by scope)')} as gain from am", "keys", "attrs", "scores", "gt", extra=_SEEDS))
+def e4c(spark, sf):
+    stack, _, t = _inputs(spark, sf)
+    cats = checkpointed(fx.with_attributes(fx.finding_keys(spark, sf)).select(*KEY, "category"))
+    names = [x[0] for x in cats.select("category").distinct().collect()]
+    return en.seed_arms(stack, cats, t, list(ALL), _seeds(names))
+
+
 def _refinements():
     """Every state that one pass over (m0, m1) can reach: trials of m0, and trials of m1 from each outcome of m0."""
     start = en.Recipe.of("start", "probability", {"m0": 1.0, "m1": 1.0})
@@ -229,6 +253,35 @@ def e6c(spark, sf):
     return en.selection_frequency(e6(spark, sf), _strategies())
 
 
+@query("e6_oof_categories", sql(f"""select strategy, category, count(*) as findings, {r('avg(dice)')} as dice, count(*) filter (hit) as hits from rec
+ join rm on rm.recipe=rec.recipe and rm.threshold=rec.threshold and rm.case_id%5=rec.fold join attrs using (case_id, finding_id) group by all""", "keys", "attrs", "scores", "gt", extra=_FT))
+def e6d(spark, sf):
+    scored = checkpointed(e2(spark, sf))
+    records = en.oof(scored, _folds(spark, sf), _strategies(), GRID)
+    return en.oof_by_category(records, scored, _folds(spark, sf), fx.with_attributes(fx.finding_keys(spark, sf)))
+
+
+_PAIRS = [x for x in _SETS if len(x.weights) <= 2]
+_CHOOSE = "qualify row_number() over (partition by fold order by hits desc, models, dice desc, recipe)=1"
+_E6_GREEDY = _ST + ", " + _fits(_PAIRS, "f") + f""", pf as materialized (select recipe, t as threshold, (case_id%5)::int as fold, sum(dice) as ds, count(*) filter (dice>=0.1) as hits, count(*) as findings from frm group by all),
+ pa as materialized (select recipe, threshold, sum(ds) ds, sum(hits)::bigint hits, sum(findings)::bigint findings from pf group by all),
+ pt as materialized (select recipe, fold, threshold, round(ds/findings,12) as dice, hits, findings from (select a.recipe, f.fold, a.threshold, a.ds-f.ds as ds, (a.hits-f.hits)::bigint as hits, (a.findings-f.findings)::bigint as findings
+ from pf f join pa a using (recipe, threshold) union all select recipe, -1, threshold, ds, hits, findings from pa)),
+ pb as materialized (select p.*, string_split(recipe,'+') as members, len(string_split(recipe,'+')) as models from pt p join (select recipe, fold, threshold as c from pt
+ where list_contains(list_transform({COARSE}, lambda x: round(x,6)), round(threshold,6)) qualify row_number() over (partition by recipe, fold order by dice desc, hits desc, threshold)=1) using (recipe, fold)
+ where abs(threshold-c)<=0.0400001 qualify row_number() over (partition by p.recipe, p.fold order by dice desc, hits desc, threshold)=1),
+ r1 as materialized (select * exclude (top) from (select *, max(dice) over (partition by fold) as top from pb where models=1) where dice>=top-0.001 {_CHOOSE}),
+ r2 as materialized (select * exclude (top) from (select pb.*, max(pb.dice) over (partition by pb.fold) as top from pb join r1 on r1.fold=pb.fold and list_has_all(pb.members, r1.members) where pb.models=2) where dice>=top-0.001 {_CHOOSE}),
+ wn as materialized (select * exclude (top) from (select *, max(dice) over (partition by fold) as top from (select * from r1 union all select * from r2)) where dice>=top-0.001 {_CHOOSE})"""
+
+
+@query("e6_oof_greedy", sql(f"""select 'greedy' as strategy, nullif(w.fold,-1) as fold, w.recipe, {r('w.threshold')} as threshold, {r('w.dice')} as fit_dice, models::int as models, true as uniform, {r('pf.ds/pf.findings')} as held_dice, pf.hits, pf.findings
+ from wn w left join pf on pf.recipe=w.recipe and pf.threshold=w.threshold and pf.fold=w.fold""", "keys", "scores", "gt", extra=_E6_GREEDY))
+def e6e(spark, sf):
+    stack, keys, t = _inputs(spark, sf)
+    return en.oof_greedy(stack, keys, t, _folds(spark, sf), list(ALL), "probability", 2, FINE, COARSE, refit=True)
+
+
 @query("e7_pairwise", sql(f"""select a.candidate_id as first, b.candidate_id as second, count(*) as findings, {r('corr(a.dice,b.dice)')} as dice_correlation,
  count(*) filter (a.hit<>b.hit) as hit_disagreements, count(*) filter (a.hit and not b.hit) as first_only_hits, count(*) filter (b.hit and not a.hit) as second_only_hits,
  count(*) filter (a.hit or b.hit) as union_hits, {r('avg(greatest(a.dice,b.dice))')} as oracle_dice, {r('avg(greatest(a.dice,b.dice))-greatest(avg(a.dice),avg(b.dice))')} as oracle_gain
