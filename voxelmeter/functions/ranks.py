@@ -128,13 +128,14 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[s
     """Equi-join where a few keys of ``left`` may hold a large share of its rows.
 
     ``right`` is small beside ``left`` (per case, group or finding) and is repeated ``salts`` times;
-    ``left`` rows pick a salt from ``spread``. Left-preserving join types only.
+    ``left`` rows pick a salt from ``spread``. Left-preserving join types only. The repeats are shuffled, never broadcast: Spark's
+    size estimate does not count them.
     """
     if how not in {"inner", "left", "left_semi", "left_anti"}:
         raise ValueError(f"salted_join cannot do {how}")
     left = left.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "__salt"], how).drop("__salt")
+    return left.join(right.hint("merge"), [*on, "__salt"], how).drop("__salt")
 
 
 def trailing_window(df: DataFrame, by: list[str], index: str, lookback: int,
