@@ -166,7 +166,7 @@ def value_profile(findings: DataFrame, voxels: DataFrame, mask: DataFrame,
 
     ``cuts`` maps a column name to ("below" | "above", value). All scopes are voxel-weighted.
     """
-    rows = mask.select(*KEY, *VOXEL).join(voxels.select("case_id", *VOXEL, "value"), ["case_id", *VOXEL])
+    rows = mask.select(*KEY, *VOXEL).join(voxels.select("case_id", *VOXEL, "value").hint("merge"), ["case_id", *VOXEL])  # a grid is never broadcast
     counted = rows.groupBy(*KEY, "value").agg(F.count(F.lit(1)).alias("n"))
     counted = salted_join(counted, findings.select(*KEY, "category"), KEY, ["value"])
     scopes = F.explode(F.array(
