@@ -199,3 +199,8 @@ def test_score_arrays(spark, tmp_path):
             (tmp_path / "a" / "cases" / "x.npy").write_bytes(bad)
         with pytest.raises(Exception, match=why):
             read_score_arrays(spark, str(tmp_path), ["a"]).collect()
+
+
+def test_a_reference_without_its_semicolon_is_text():
+    blocks = markdown.page_blocks('<h1>a&amp;&amp</h1><p>b &ampx; &copy; &#65; &#66 & &; c <a href="/x?a=1&amp;b=2&copy=3">d</a></p>', "http://e.org")
+    assert [b["text"] for b in blocks] == ["# a&&amp", "b &ampx; © A &#66 & &; c [d](http://e.org/x?a=1&b=2&copy=3)"]
