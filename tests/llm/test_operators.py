@@ -506,3 +506,9 @@ def test_more_significant_tokens_than_fit_are_an_error(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
     with pytest.raises(ValueError, match="significant"):
         toxicity.learn(docs, toxicity.training_rows(labels, F.lit(False)))
+
+
+def test_holders_of_words_are_counted_without_a_row_for_each_document(spark):
+    rows = [(n, f"common word{n % 2} common") for n in range(20)] + [(20, None)]
+    got = sorted(tuple(r) for r in sanitisation._holders(make(spark, rows)).collect())
+    assert got == [("common", 20), ("word0", 10), ("word1", 10)]

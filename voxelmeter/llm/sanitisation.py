@@ -124,19 +124,24 @@ def _row_key(text: Column) -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text))
 
 
-def _holders(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(__named, term): a row for each document row and each term of the pairs that it holds."""
-    terms = pairs.select("term").distinct()
+def _holders(documents: DataFrame) -> DataFrame:
+    """(term, holders): in how many document rows each word stands; counted in each task first, without a row for each document and term."""
+    text = F.lower(F.col("text").cast("string"))
+    return documents.where(text.isNotNull()).select(F.explode(_words(text)).alias("term")).groupBy("term").agg(F.count("*").alias("holders"))
+
+
+def _named(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """(__named, __terms): the given terms that each document row holds; no row if none."""
     if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         terms = F.broadcast(terms)  # of bounded size; the words of all documents are not shuffled then
     text = F.col("text").cast("string")
     words = documents.where(text.isNotNull()).select(_row_key(text).alias("__named"), F.explode(_words(F.lower(text))).alias("term"))
-    return checkpointed(words.join(terms, "term"))
+    return words.join(terms, "term").groupBy("__named").agg(F.sort_array(F.collect_set("term")).alias("__terms"))
 
 
 def _disclosing(documents: DataFrame, pairs: DataFrame, holders: DataFrame, disclosure: float) -> DataFrame:
     total = documents.select(F.count("*").alias("docs"))
-    known = pairs.join(holders.groupBy("term").agg(F.count("*").alias("holders")), "term").crossJoin(F.broadcast(total))  # one row
+    known = pairs.join(holders, "term").crossJoin(F.broadcast(total))  # one row
     pmi = F.log(F.col("together") / F.col("contexts") / (F.col("holders") / F.col("docs")))
     content = -F.log(F.least(F.col("times") / F.col("docs"), F.lit(1.0)))
     return known.where((pmi > 0) & (pmi > disclosure * content)).select("entity", "term")
@@ -151,18 +156,18 @@ def disclosing_terms(documents: DataFrame, disclosure: float = DISCLOSURE) -> Da
     half of the entity's. Null texts count as documents without words.
     """
     pairs = _pairs(documents)
-    return _disclosing(documents, pairs, _holders(documents, pairs), disclosure)
+    return _disclosing(documents, pairs, _holders(documents), disclosure)
 
 
 def _with_terms(documents: DataFrame, disclosure: float) -> DataFrame:
     """The rows with ``__terms``: the disclosing terms that each holds, whether or not it names their entity; null if none."""
     pairs = _pairs(documents)
-    holders = _holders(documents, pairs)
-    own = holders.join(_disclosing(documents, pairs, holders, disclosure).select("term").distinct(), "term")
-    terms = checkpointed(own.groupBy("__named").agg(F.sort_array(F.collect_set("term")).alias("__terms")))
-    release(holders)
+    known = checkpointed(_disclosing(documents, pairs, _holders(documents), disclosure).select("term").distinct())
     release(pairs)
-    return documents.join(terms, _row_key(F.col("text").cast("string")) == F.col("__named"), "left").drop("__named")
+    terms = checkpointed(_named(documents, known))
+    release(known)
+    # Holders grow with the input: never broadcast, so that texts are shuffled alike at every size.
+    return documents.join(terms.hint("merge"), _row_key(F.col("text").cast("string")) == F.col("__named"), "left").drop("__named")
 
 
 def _term_pattern(terms: Column) -> Column:
