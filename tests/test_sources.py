@@ -204,3 +204,13 @@ def test_score_arrays(spark, tmp_path):
 def test_a_reference_without_its_semicolon_is_text():
     blocks = markdown.page_blocks('<h1>a&amp;&amp</h1><p>b &ampx; &copy; &#65; &#66 & &; c <a href="/x?a=1&amp;b=2&copy=3">d</a></p>', "http://e.org")
     assert [b["text"] for b in blocks] == ["# a&&amp", "b &ampx; © A &#66 & &; c [d](http://e.org/x?a=1&b=2&copy=3)"]
+
+
+def test_copies_are_judged_by_one_reading_of_their_rows(spark):
+    import random
+
+    from pyspark.sql import functions as F
+    drawn = F.udf(lambda n: random.SystemRandom().random(), "double").asNondeterministic()
+    rows = spark.range(5).select("id", drawn("id").alias("dice")).withColumn("path", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    out = integrity.dedup_candidates(rows, F.col("id"), F.col("dice").cast("string"), ["path"], F.lit(True))
+    assert sorted((r.path, r.status) for r in out.collect()) == [("a", "canonical")] * 5 + [("b", "duplicate")] * 5

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelmeter.functions import (RECOMPOSE_TOLERANCE, exact_quantiles, hash_smallest, hit, row_digest, salted_join)
 from voxelmeter.operators.masks import KEY
+from voxelmeter.session import checkpointed
 
 
 def align(observed: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
@@ -278,7 +279,8 @@ def dedup_candidates(rows: DataFrame, identity: Column, signature: Column, prefe
     The canonical row is the first by the ``prefer`` columns, which must tell rows apart.
     Copies whose metric signature differs from it are conflicts.
     """
-    tagged = rows.withColumn("identity", identity).withColumn("signature", signature).withColumn("eligible", eligible)
+    # Written once: a mean that is worked out again may differ in its last bits, and with it the signature.
+    tagged = checkpointed(rows.withColumn("identity", identity).withColumn("signature", signature).withColumn("eligible", eligible))
     rank = F.struct(*prefer)
     first = tagged.groupBy("identity").agg(F.min(rank).alias("__first"), F.min_by("signature", rank).alias("__sig"))
     out = tagged.join(first, "identity")  # one row per identity on the right, as many as there are rows; hot identities are split by adaptive execution
