@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from voxelmeter.functions import salted_join
+from voxelmeter.functions import salted_join, tied_row_number
 from voxelmeter.operators import grids, masks
 from voxelmeter.plans import fixtures as fx
 from voxelmeter.plans import queries_masks as qm
@@ -47,3 +47,9 @@ def test_written_tables_are_shuffled(spark):
 
 def _broadcasts(df):
     return "".join(x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastHashJoin" in x)
+
+
+def test_cuts_of_buckets_are_worked_out_once(spark):
+    rows = tied_row_number(spark.range(1000).select("id", (F.col("id") % 7).alias("v")), [], "v", "id")
+    assert "percentile_approx" not in rows._jdf.queryExecution().toString()
+    assert [r.rn for r in rows.orderBy("v", "id").collect()] == list(range(1, 1001))

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxelmeter.functions.columns import sha_unit
+from voxelmeter.session import checkpointed
 
 __all__ = ["bucketed_row_number", "hash_rank", "hash_smallest", "with_buckets", "tied_row_number", "ordered_counts",
            "exact_quantiles", "quantiles_of_counts", "salted_join", "trailing_window"]
@@ -53,10 +54,11 @@ def hash_smallest(df: DataFrame, n: int, seed, keys: list[str], by: list[str] |
 def with_buckets(counted: DataFrame, by: list[str], value: str, buckets: int = 64) -> DataFrame:
     """Tag each (group, value) row with an ordered bucket: the number of approximate cut points below it.
 
-    The cuts only balance the work; correctness needs nothing but their order.
+    The cuts only balance the work; correctness needs nothing but their order, and that both sides of a later join see the same ones.
+    They are written once, as approximate percentiles worked out again may differ.
     """
     cuts = [i / buckets for i in range(1, buckets)]
-    edges = counted.groupBy(*by).agg(F.percentile_approx(value, cuts, 2000).alias("__edges"))
+    edges = checkpointed(counted.groupBy(*by).agg(F.percentile_approx(value, cuts, 2000).alias("__edges")), shuffled=bool(by))
     joined = counted.join(edges, by) if by else counted.crossJoin(edges)
 
     below = F.size(F.filter("__edges", lambda e: e < F.col(value)))
