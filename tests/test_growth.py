@@ -80,3 +80,11 @@ def test_a_basket_round_joins_no_row_per_candidate(spark):
     for r in got:
         if r.case_id == 0:
             assert r.pred[:2] == r.pred[2:] and r.tp[:2] == r.tp[2:]  # both baskets are empty
+
+
+def test_a_resampled_image_is_shuffled_by_plane_and_once_more(spark):
+    from voxelmeter.plans import registry
+    registry.load()
+    plan = _plan(registry.QUERIES["c19_resample_image"](spark, SF))
+    assert "SortMergeJoin" not in plan and "__salt" not in plan
+    assert plan.count("Exchange hashpartitioning") <= 5  # two of them make the grids, two are of the join

@@ -108,15 +108,18 @@ def resample_mask(voxels: DataFrame, headers: DataFrame, spacing: tuple[float, f
 
 
 def resample_image(voxels: DataFrame, headers: DataFrame, spacing: tuple[float, float, float]) -> DataFrame:
-    """Trilinear resampling (corners not aligned), one axis at a time.
+    """Trilinear resampling (corners not aligned), two axes and then the third.
 
     Each source voxel sends its weighted value to the outputs whose two taps include it;
-    missing source voxels count as 0.
+    missing source voxels count as 0. Voxels are shuffled by plane, where two axes are done; what is left of a plane goes to the third.
     """
-    grid = with_output_shape(headers, spacing).select("case_id", "shape", "out_shape")
-    rows = salted_join(voxels.select("case_id", *VOXEL, "value"), grid, ["case_id"], VOXEL)
-    for n, a in enumerate(VOXEL):
-        size, out = F.col("shape")[n], F.col("out_shape")[n]
+    grid = with_output_shape(headers, spacing)
+    grid = grid.select("case_id", *[F.col(c)[n].alias(f"__{c}{n}") for c in ("shape", "out_shape") for n in range(3)])
+    planes = grid.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("__shape2") - 1)))
+
+    def taps(rows: DataFrame, n: int, a: str) -> DataFrame:
+        """A row for each output along the axis that the voxel counts for, with its place ``o`` and the weighted value."""
+        size, out = F.col(f"__shape{n}"), F.col(f"__out_shape{n}")
         first = F.floor((F.col(a) - 0.5) * out / size - 1).cast("int")
         last = F.ceil((F.col(a) + 1.5) * out / size).cast("int")
         lo = F.when(F.col(a) == 0, F.lit(0)).otherwise(F.greatest(F.lit(0), first))
@@ -127,13 +130,13 @@ def resample_image(voxels: DataFrame, headers: DataFrame, spacing: tuple[float,
         upper = F.least(base + 1, size - 1)
         weight = (F.when(base == F.col(a), 1 - frac).otherwise(0.0)
                   + F.when(upper == F.col(a), frac).otherwise(0.0))
-        others = [x for x in VOXEL if x != a]
-        rows = (rows.where(lo <= hi).withColumn("o", F.explode(F.sequence(lo, hi))).withColumn("w", weight)
-                .where(F.col("w") > 0)
-                .groupBy("case_id", *others, F.col("o").alias(a))
-                .agg(F.sum(F.col("w") * F.col("value")).alias("value"), F.first("shape").alias("shape"),
-                     F.first("out_shape").alias("out_shape")))
-    return rows.select("case_id", *VOXEL, "value")
+        rows = rows.where(lo <= hi).withColumn("o", F.explode(F.sequence(lo, hi))).withColumn("w", weight).where(F.col("w") > 0)
+        return rows.withColumn("value", F.col("w") * F.col("value")).drop(a, "w").withColumnRenamed("o", a)
+
+    ends = ["__shape2", "__out_shape2"]
+    rows = voxels.select("case_id", *VOXEL, "value").join(planes.hint("shuffle_hash"), ["case_id", "k"])
+    flat = taps(taps(rows, 0, "i"), 1, "j").groupBy("case_id", "k", "i", "j").agg(F.sum("value").alias("value"), *[F.max(c).alias(c) for c in ends])
+    return taps(flat, 2, "k").groupBy("case_id", *VOXEL).agg(F.sum("value").alias("value"))
 
 
 # ------------------------------------------------------------------ C20-C21 intensities
