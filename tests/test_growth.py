@@ -88,3 +88,25 @@ def test_a_resampled_image_is_shuffled_by_plane_and_once_more(spark):
     plan = _plan(registry.QUERIES["c19_resample_image"](spark, SF))
     assert "SortMergeJoin" not in plan and "__salt" not in plan
     assert plan.count("Exchange hashpartitioning") <= 5  # two of them make the grids, two are of the join
+
+
+def test_blocks_are_taken_in_parts():
+    from voxelmeter.operators import distance as dist
+    n = 2_000
+    ranges = {name: pa.array([lo_hi] * n) for name, lo_hi in dict(lo0=0, hi0=11, lo1=0, hi1=9, lo2=0, hi2=7, block=0, wide=12).items()}
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), *ranges.values()], ["case_id", *ranges])
+    parts = list(dist._parts(iter([batch]), None))
+    assert sum((p.column("case_id").to_pylist() for p in parts), []) == list(range(n))
+    assert len(parts) > 5 and all(p.num_rows * 960 <= dist._STACK for p in parts)
+
+
+def test_dilation_over_many_parts_is_that_of_each_case(spark):
+    """More cases in one partition than a part takes."""
+    from voxelmeter.operators import distance as dist
+    cases = spark.range(0, 700, 1, 1).selectExpr("id as case_id")
+    mask = cases.selectExpr("case_id", "cast(case_id % 12 as int) as i", "cast(case_id % 10 as int) as j", "cast(case_id % 8 as int) as k")
+    headers = cases.selectExpr("case_id", "array(12, 10, 8) as shape", "array(0.7D, 0.7D, 1.0D) as spacing")
+    got = {}
+    for r in dist.dilate(mask.coalesce(1), headers, 30.0).groupBy("case_id").count().collect():
+        got[r.case_id] = r["count"]
+    assert got == dict.fromkeys(range(700), 960)

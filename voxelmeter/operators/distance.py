@@ -70,6 +70,25 @@ def _chunks(sizes: np.ndarray) -> Iterator[np.ndarray]:
         lo = hi
 
 
+def _parts(batches: Iterator[pa.RecordBatch], seeds: str | None) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in parts whose ranges to fill (and ``seeds``) come to about _STACK numbers, or one larger row: memory does not grow with a batch."""
+    for batch in batches:
+        names = ["lo0", "hi0", "lo1", "hi1", *(["lo2", "hi2", "block", "wide"] if seeds is None else [])]
+        lo0, hi0, lo1, hi1, *rest = (np.nan_to_num(x).astype(np.int64) for x in _numbers(batch, names))
+        size = np.maximum(hi0 - lo0 + 1, 1) * np.maximum(hi1 - lo1 + 1, 1)
+        if seeds is None:
+            lo2, hi2, block, wide = rest
+            size = np.clip(np.minimum(wide, hi0 - lo0 - block * wide + 1), 1, None) * np.maximum(hi1 - lo1 + 1, 1) * np.maximum(hi2 - lo2 + 1, 1)
+        else:
+            size = size + np.diff(batch.column(seeds).offsets.to_numpy())
+        ends = np.append(0, np.cumsum(size))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + _STACK // 4, side="right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def _numbers(batch: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
     return [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
 
@@ -82,7 +101,7 @@ def _span(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def _sheet_distances(key: list[str], limit: float):
     """Rows of sheets with their seeds to rows (key, block, k, data): squared distances in the sheet, i by j, over the range to fill."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, "i"):
             lists = [batch.column(c) for c in ("i", "j")]
             first = lists[0].offsets.to_numpy().astype(np.int64)
             i, j = (x.flatten().to_numpy().astype(np.int64) for x in lists)
@@ -118,7 +137,7 @@ def _sheet_distances(key: list[str], limit: float):
 def _block_distances(key: list[str], limit: float, asked: bool):
     """Blocks with their sheets to (key, i, j, k, d2): at the asked voxels (null beyond the limit), or at all voxels within the limit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, None):
             names = ["block", "p2", "lo0", "hi0", "lo1", "hi1", "lo2", "hi2", "wide"]
             block, p2, lo0, hi0, lo1, hi1, lo2, hi2, wide = (np.nan_to_num(x).astype(float if c == "p2" else np.int64) for c, x in zip(names, _numbers(batch, names), strict=True))
             sheets, asks = batch.column("sheets").to_pylist(), batch.column("asks") if asked else None
