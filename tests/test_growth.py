@@ -110,3 +110,23 @@ def test_dilation_over_many_parts_is_that_of_each_case(spark):
     for r in dist.dilate(mask.coalesce(1), headers, 30.0).groupBy("case_id").count().collect():
         got[r.case_id] = r["count"]
     assert got == dict.fromkeys(range(700), 960)
+
+
+def test_small_volumes_share_batches():
+    import struct
+
+    import pandas as pd
+
+    from voxelmeter.sources import volumes
+    head = bytearray(352)
+    struct.pack_into("<i", head, 0, 348)
+    struct.pack_into("<8h", head, 40, 3, 3, 2, 4, 1, 1, 1, 1)
+    struct.pack_into("<2h", head, 70, 2, 8)
+    struct.pack_into("<3f", head, 108, 352.0, 1.0, 0.0)
+    head[344:348] = b"n+1\0"
+    files = pd.DataFrame({"path": [f"c{n}" for n in range(50)], "content": [bytes(head) + bytes((x + n) % 3 for x in range(24)) for n in range(50)]})
+    out = list(volumes._voxels("first")(iter([files.iloc[:30], files.iloc[30:]])))
+    assert len(out) == 1 and len(out[0]) == 50 * 16  # one batch, not one per plane
+    row = out[0][out[0].path == "c4"]
+    assert {(r.i, r.j, r.k): r.value for r in row.itertuples()} == {
+        (x % 3, x // 3 % 2, x // 6): float((x + 4) % 3) for x in range(24) if (x + 4) % 3}

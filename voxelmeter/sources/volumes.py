@@ -22,6 +22,7 @@ HEADER_DDL = ("path string, shape array<int>, spacing array<double>, affine arra
               "intercept double, axis_codes string")
 VOXEL_DDL = "path string, channel int, i int, j int, k int, value double"
 BATCH = 1_000_000
+SHARED = 100_000
 HEADER_BYTES = 352
 
 
@@ -58,9 +59,16 @@ def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["path", "shape", "spacing", "affine", "dtype", "slope", "intercept", "axis_codes"])
 
 
+def _frame(held: list[tuple]) -> pd.DataFrame:
+    path, *rest = zip(*held, strict=True)
+    columns = dict(zip(("channel", "i", "j", "k", "value"), (np.concatenate(x) for x in rest), strict=True))
+    return pd.DataFrame({"path": np.repeat(np.array(path, object), [len(x) for x in rest[0]]), **columns})
+
+
 def _voxels(channel_axis: str):
-    """Slab by slab of the two first axes (three with the channel in front), so memory holds one slab and its voxels."""
+    """Slab by slab of the two first axes (three with the channel in front), so memory holds one slab and its voxels; small slabs share a batch."""
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size_held = [], 0
         for batch in batches:
             for path, content in zip(batch.path, batch.content):
                 stream = _opened(content)
@@ -82,7 +90,13 @@ def _voxels(channel_axis: str):
                     for start in range(0, len(hits), BATCH):
                         cut = slice(start, start + BATCH)
                         value = flat[hits[cut]].astype(float) * head["slope"] + head["intercept"]
-                        yield pd.DataFrame({"path": path, "channel": channel[cut], "i": i[cut], "j": j[cut], "k": k[cut], "value": value})
+                        held.append((path, channel[cut], i[cut], j[cut], k[cut], value))
+                        size_held += len(value)
+                        if size_held >= SHARED or len(held) >= SHARED // 16:
+                            yield _frame(held)
+                            held, size_held = [], 0
+        if held:
+            yield _frame(held)
     return decode
 
 
