@@ -130,3 +130,17 @@ def test_small_volumes_share_batches():
     row = out[0][out[0].path == "c4"]
     assert {(r.i, r.j, r.k): r.value for r in row.itertuples()} == {
         (x % 3, x // 3 % 2, x // 6): float((x + 4) % 3) for x in range(24) if (x + 4) % 3}
+
+
+def test_small_arrays_share_batches(tmp_path):
+    from voxelmeter.sources import score_arrays as sa
+    folder = tmp_path / "m0" / "cases"
+    folder.mkdir(parents=True)
+    for n in range(20):
+        np.save(folder / f"c{n}.npy", np.full((2, 3, 4), n, np.float32))
+    reader = sa.ScoreArrayReader({"path": str(tmp_path), "chunk": "5"})
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert len(batches) == 1 and batches[0].num_rows == 20 * 2 * 3
+    rows = batches[0].to_pylist()
+    assert {r["case_id"]: set(r["values"]) for r in rows} == {f"c{n}": {float(n)} for n in range(20)}
+    assert sum(len(r["values"]) for r in rows) == 20 * 24 and all(r["shape"] == [3, 4] for r in rows)

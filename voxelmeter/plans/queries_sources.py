@@ -127,14 +127,19 @@ def _stored_arrays(spark, sf):
     rows = rows.select("case_id", F.explode(F.array(F.lit("m0"), F.lit("m1"))).alias("candidate_id"), F.transform("c", lambda x: x["value"]).alias("values"))
 
     def store(batches):
+        files, root = file_system(path)
+        made = set()
         for batch in batches:
-            for case, candidate, values in zip(*(batch.column(c).to_pylist() for c in ("case_id", "candidate_id", "values")), strict=True):
-                grid = np.array(values, np.float32).reshape(fx.SHAPE)
+            lists = batch.column("values")
+            for n, (case, candidate) in enumerate(zip(batch.column("case_id").to_pylist(), batch.column("candidate_id").to_pylist(), strict=True)):
+                # One array at a time, and never as Python numbers.
+                grid = lists[n].values.to_numpy(zero_copy_only=False).astype(np.float32).reshape(fx.SHAPE)
                 file = io.BytesIO()
                 np.save(file, np.stack([grid, grid + 1]))
-                files, root = file_system(path)
                 folder = f"{root}/{candidate}/cases"
-                files.create_dir(folder)
+                if folder not in made:
+                    files.create_dir(folder)
+                    made.add(folder)
                 with files.open_output_stream(f"{folder}/{case}.npy") as out:
                     out.write(file.getvalue())
             yield pa.RecordBatch.from_arrays([batch.column("case_id")], ["case_id"])

@@ -22,6 +22,7 @@ CHUNK_VOXELS = 1 << 16
 SLICE_BYTES = 64 << 20
 SCHEMA = "candidate_id string, case_id string, finding_id int, chunk int, offset long, shape array<int>, values array<float>"
 _HEADER_BYTES = 1 << 16
+BATCH_VOXELS, BATCH_ROWS = 1 << 18, 2_000  # of one batch: small chunks share it
 
 
 def file_system(path: str):
@@ -47,6 +48,15 @@ def _array_header(raw: bytes, path: str) -> tuple[tuple[int, ...], np.dtype, int
     return shape, kind, stream.tell()
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of chunks as one batch."""
+    *plain, values = zip(*rows, strict=True)
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()))
+    ends = pa.array(np.append(0, np.cumsum([len(v) for v in values])).astype(np.int32))
+    return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(plain, kinds, strict=True)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(values)))],
+                                      ["candidate_id", "case_id", "finding_id", "chunk", "offset", "shape", "values"])
+
+
 class ScoreArrayReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.pattern = options["path"], options.get("pattern", PATTERN)
@@ -73,6 +83,7 @@ class ScoreArrayReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         store, _ = file_system(self.path)
+        rows, held = [], 0
         for path, candidate, case, size, lo, hi in getattr(partition, "ranges", []):
             with store.open_input_file(path) as file:
                 shape, kind, front = _array_header(file.read(min(size, _HEADER_BYTES)), path)
@@ -91,10 +102,13 @@ class ScoreArrayReader(DataSourceReader):
                         values = np.frombuffer(file.read(n * kind.itemsize), kind).astype(np.float32)
                         if not np.isfinite(values).all():
                             raise ValueError(f"{path}: non-finite score in finding {finding}")
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([candidate]), pa.array([case]), pa.array([finding], pa.int32()), pa.array([chunk], pa.int32()), pa.array([chunk * self.chunk], pa.int64()),
-                             pa.array([list(shape[1:])], pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(values))],
-                            ["candidate_id", "case_id", "finding_id", "chunk", "offset", "shape", "values"])
+                        rows.append((candidate, case, finding, chunk, chunk * self.chunk, list(shape[1:]), values))
+                        held += n
+                        if held >= BATCH_VOXELS or len(rows) >= BATCH_ROWS:
+                            yield _batch(rows)
+                            rows, held = [], 0
+        if rows:
+            yield _batch(rows)
 
 
 class ScoreArrays(DataSource):
