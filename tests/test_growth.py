@@ -48,6 +48,45 @@ def test_sweeps_of_the_tables_sort_no_row_per_cut(spark, name):
     assert "Window" not in plan and "explode(sequence" not in plan and "MapInArrow" in plan
 
 
+@pytest.mark.parametrize("batch", ["7", "10000"])
+def test_voxels_become_stacks_over_the_ends_of_batches(spark, batch):
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(5)
+    rows = [(case, f, *(int(x) for x in rng.integers(0, 4, 3)), int(rng.random() < 0.3)) for case in range(6) for f in range(2) for _ in range(60 if case == 2 else 5)]
+    rows += [(None, 0, 1, 1, 1, 1), (7, 0, 0, 0, 0, 0)]
+    frame = spark.createDataFrame(rows, "case_id long, finding_id int, i int, j int, k int, is_gt int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        stack = ch.voxel_stacks(frame, {"b": F.col("i") * 16.0 + F.col("j") * 4 + F.col("k"), "a": F.col("is_gt") * 0.5})
+        plan, got = _plan(stack), stack.collect()
+        flat = ch.unstacked(stack).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for case, f, i, j, k, gt in rows:
+        cell = want.setdefault((case, f), {})
+        cell[i, j, k] = max(gt, cell.get((i, j, k), 0))
+    assert "collect_list" not in plan and plan.count("Exchange") == 1
+    assert len(got) == len(want) and {(r.case_id, r.finding_id) for r in got} == set(want)
+    for r in got:
+        cells = sorted(want[r.case_id, r.finding_id].items())
+        assert (r.chunk, r.candidates) == (0, ["a", "b"]) and r.truth == [n for n, (_, gt) in enumerate(cells) if gt]
+        assert r["values"] == [[0.5 * gt for _, gt in cells], [16.0 * i + 4 * j + k for (i, j, k), _ in cells]]
+    assert len(flat) == 2 * len(want) and {(r.candidate_id, r.case_id, r.finding_id, tuple(r["values"])) for r in flat} == {
+        (c, r.case_id, r.finding_id, tuple(v)) for r in got for c, v in zip(r.candidates, r["values"])}
+
+
+@pytest.mark.parametrize("name", ["d3_sweep", "d5_sweep_summary", "d6_best_threshold", "e2_score_recipes"])
+def test_scores_of_the_tables_are_gathered_in_arrow(spark, name):
+    from voxelmeter.plans import registry
+    registry.load()
+    plan = _plan(registry.QUERIES[name](spark, SF))
+    gathered = plan.split("MapInArrow")
+    assert len(gathered) >= 3 and "collect_list" not in gathered[-1] and "sort_array" not in plan
+    assert "arrays_zip(n" in plan  # counts are unrolled from two arrays of numbers
+
+
 def test_a_batch_is_taken_in_pieces():
     values = pa.array([[[0.5] * n] * 2 for n in (300_000, 10, 200_000, 100_000, 5)], pa.list_(pa.list_(pa.float64())))
     batch = pa.RecordBatch.from_arrays([pa.array(range(5)), values], ["id", "values"])
