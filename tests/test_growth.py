@@ -121,6 +121,17 @@ def test_a_basket_round_joins_no_row_per_candidate(spark):
             assert r.pred[:2] == r.pred[2:] and r.tp[:2] == r.tp[2:]  # both baskets are empty
 
 
+def test_baskets_take_the_category_that_a_stack_carries(spark):
+    from pyspark.sql import functions as F
+    _, frame = _chunk_rows(spark)
+    stack = ch.stacked_chunks(frame)
+    findings = spark.createDataFrame([(case, 0, "1a" if case else "2b") for case in range(3)], "case_id long, finding_id int, category string")
+    truth = spark.createDataFrame([(case, 0, 20) for case in range(3)], "case_id long, finding_id int, n_gt long")
+    carried = stack.withColumn("category", F.when(F.col("case_id") > 0, "1a").otherwise("2b"))
+    a, b = (sorted(tuple(r) for r in en.caruana(x, findings, truth, ["m0", "m1"], 2).collect()) for x in (carried, stack))
+    assert a == b and len(a) == 6
+
+
 def test_a_resampled_image_is_shuffled_by_plane_and_once_more(spark):
     from voxelmeter.plans import registry
     registry.load()
