@@ -265,7 +265,7 @@ def test_searches_and_folds_take_stacks_without_keys(spark):
     assert _table(en.oof_by_category(a, totals, None, None)) == _table(en.oof_by_category(b, rows, folds, keys))
 
 
-@pytest.mark.parametrize("name", ["d7_category_oracle", "e5_coordinate_refine", "d3_sweep", "e3_greedy_forward", "e6_oof_categories"])
+@pytest.mark.parametrize("name", ["d7_category_oracle", "e5_coordinate_refine", "d3_sweep", "e3_greedy_forward", "e6_oof_categories", "d5_sweep_summary"])
 def test_a_query_takes_findings_and_truth_from_its_stacks(spark, monkeypatch, name):
     from voxelmeter.plans import fixtures as fx
     from voxelmeter.plans import registry
